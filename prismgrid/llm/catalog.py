@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from prismgrid.llm import topk
+from prismgrid.llm import secrets, topk
 
-_MODULES = (topk,)
+_MODULES = (secrets, topk)
 
 
 def queries() -> dict:
