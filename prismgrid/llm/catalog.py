@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from prismgrid.llm import secrets, topk
+from prismgrid.llm import decontaminate, mixing, quality, secrets, topk
 
-_MODULES = (secrets, topk)
+_MODULES = (mixing, topk, quality, decontaminate, secrets)
 
 
 def queries() -> dict:
