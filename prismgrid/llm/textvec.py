@@ -97,7 +97,8 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _hash(data: np.ndarray, starts: np.ndarray, lower: bool) -> np.ndarray:
+def hash_from(data: np.ndarray, starts: np.ndarray, lower: bool) -> np.ndarray:
+    """Hash of the bytes from each start to the next, white space left out."""
     table, out, i, n = _BYTE_LOWER if lower else _BYTE, np.empty(len(starts), U64), 0, len(starts)
     while i < n:
         at = int(starts[i])
@@ -122,8 +123,8 @@ def _hash(data: np.ndarray, starts: np.ndarray, lower: bool) -> np.ndarray:
     return fmix(out)
 
 
-def split(texts: pa.Array, lower: bool = False) -> Words:
-    """Words and word hashes of a string array; lower: A-Z hash as a-z."""
+def split(texts: pa.Array, lower: bool = False, hashed: bool = True) -> Words:
+    """Words and word hashes (if asked for) of a string array; lower: A-Z hash as a-z."""
     data, offsets = buffers(texts)
     if not len(data):
         none = np.zeros(0, np.int64)
@@ -137,7 +138,7 @@ def split(texts: pa.Array, lower: bool = False) -> Words:
     end[inner - 1] = word[inner - 1]
     starts = np.flatnonzero(begin)
     ends = np.flatnonzero(end) + 1
-    return Words(data, starts, ends, np.searchsorted(starts, offsets), _hash(data, starts, lower))
+    return Words(data, starts, ends, np.searchsorted(starts, offsets), hash_from(data, starts, lower) if hashed else np.zeros(0, U64))
 
 
 def gram(hashes: np.ndarray, n: int) -> np.ndarray:
