@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from prismgrid.llm import decontaminate, licences, mixing, quality, secrets, tokens, topk
+from prismgrid.llm import decontaminate, licences, lm, mixing, quality, secrets, tokens, topk
 
-_MODULES = (mixing, topk, quality, decontaminate, secrets, licences, tokens)
+_MODULES = (mixing, topk, quality, decontaminate, secrets, licences, tokens, lm)
 
 
 def queries() -> dict:

@@ -131,18 +131,34 @@ def _sum_bucket(table: pa.Table) -> pa.Table:
     out = np.empty(len(flat), np.uint32)
     out[order] = np.minimum(total, 2**32 - 1)[np.cumsum(new) - 1]
     parts = np.split(out, ends[:-1])
-    return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "totals": pa.array([tv.pack(x) for x in parts], pa.binary())})
+    # and one row of the bucket's own: how many keys have a total of 1 or more, of 1, of 2
+    about = tv.pack(np.array([(total >= 1).sum(), (total == 1).sum(), (total == 2).sum()], np.uint32))
+    bucket = table["bucket"].to_pylist()
+    return pa.table({"chunk": pa.array([*table["chunk"].to_pylist(), -1], pa.int64()), "bucket": pa.array([*bucket, bucket[0]], pa.int32()), "totals": pa.array([*(tv.pack(x) for x in parts), about], pa.binary())})
 
 
 def tally(asked: DataFrame) -> DataFrame:
     """Total of each key over all chunks, given back to each chunk that has the key.
 
     asked has the rows of asks(). Keys go to tasks by ranges of their hash, once a chunk
-    however often they occur in it, so that a frequent key is no hot spot. Returns a row a
-    chunk: totals is an array of packed 32-bit numbers, in the order of the chunk's keys.
+    however often they occur in it, so that a frequent key is no hot spot. The result is
+    for answers() and about().
     """
-    sums = asked.groupBy("bucket").applyInArrow(_sum_bucket, _TALLY_OUT)
-    return sums.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "totals"))).alias("answers")).select("chunk", F.col("answers.totals").alias("totals"))
+    return saved(asked.groupBy("bucket").applyInArrow(_sum_bucket, _TALLY_OUT))
+
+
+def answers(tallied: DataFrame, name: str) -> DataFrame:
+    """A row a chunk: packed totals (for totals()) in the order of the chunk's keys."""
+    rows = tallied.where("chunk >= 0").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "totals"))).alias("a"))
+    return rows.select("chunk", F.col("a.totals").alias(name))
+
+
+def about(tallied: DataFrame) -> tuple[int, int, int]:
+    """How many keys have a total of 1 or more, of 1, and of 2: a few numbers from each bucket, summed."""
+    sums = [0, 0, 0]
+    for row in tallied.where("chunk < 0").select("totals").toLocalIterator():
+        sums = [a + int(b) for a, b in zip(sums, tv.unpack(bytes(row.totals), np.uint32), strict=True)]
+    return tuple(sums)
 
 
 def totals(blobs: list[bytes] | None) -> np.ndarray:
