@@ -1,5 +1,85 @@
-"""To be written."""
-STAGES = []
+"""The corpus pipeline: from raw documents to token shards.
+
+STAGES lists (name, function) in order. Each function takes (spark, docs, sf_dir) and
+returns a DataFrame, which is written as Parquet and read again as the next one's docs. All
+but the last keep the columns of documents:
+
+1. quality: documents that the classifier rejects (score under 0.7) go;
+2. near_dedup: of each class of near copies (five words, 0.8) the smallest doc_id stays;
+3. decontaminate: documents that hold a benchmark item (five words, 0.8) go;
+4. mix: all documents, stored in the order that meets the sources' target weights;
+5. tokens: token shards in the stored order; a row a document with its place in them.
+
+The result is doc_id, start, n_tokens, ids_crc32: `start` counts the ids before the document
+in the mixed order.
+"""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from prismgrid.llm import decontaminate, mixing, neardup, quality, tokens
+from prismgrid.llm.common import saved
+from prismgrid.shipping import ship
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality classifier rejects; it is fitted on a bounded sample of labels."""
+    ship(spark)
+    return quality.rejects(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    ship(spark)
+    return neardup.keep_one(docs, words=5, percent=80)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a benchmark item."""
+    ship(spark)
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, sorted by their place in the mixed order; weights follow the square roots of the sources' sizes."""
+    return mixing.in_mixed_order(docs)
+
+
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places, lengths and checksums in the token shards, which hold the documents in their stored order.
+
+    The stored order is that of the files' numbers and the rows in them. Documents that do
+    not come straight from files are taken in order of doc_id.
+    """
+    import public_tokenizers
+
+    ship(spark)
+    try:
+        part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
+        docs = docs.select("doc_id", "text", F.struct(part.alias("part"), F.col("_metadata.row_index").alias("row")).alias("place"))
+    except AnalysisException:
+        docs = docs.select("doc_id", "text", F.col("doc_id").alias("place"))
+    return tokens.read(tokens.write(docs, str(public_tokenizers.path("word_bpe_49k.json")), order="place"))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontaminate", decontaminate_stage),
+    ("mix", mix_stage),
+    ("tokens", tokens_stage),
+]
+
+#: SQL cannot express the classifier, the tokenizer or the checksums; tests hold run() against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = saved(stage(spark, docs, sf_dir))
+    return docs

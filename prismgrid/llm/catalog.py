@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from prismgrid.llm import decontaminate, licences, lm, mixing, quality, repeats, secrets, tokens, topk
+from prismgrid.llm import decontaminate, licences, lm, mixing, neardup, quality, repeats, secrets, tokens, topk
 
-_MODULES = (mixing, topk, quality, decontaminate, secrets, licences, tokens, lm, repeats)
+_MODULES = (mixing, topk, quality, decontaminate, secrets, licences, tokens, lm, repeats, neardup)
 
 
 def queries() -> dict:

@@ -118,11 +118,25 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[at], np.diff(np.r_[at, len(keys)])
 
 
-def _sum_bucket(table: pa.Table) -> pa.Table:
+def _flat(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """All keys of a bucket and where each row's end."""
     keys = [tv.unpack_sorted(x) for x in table["keys"].to_pylist()]
-    ends = np.cumsum([len(k) for k in keys])
-    flat = np.concatenate(keys)
-    del keys
+    return np.concatenate(keys), np.cumsum([len(k) for k in keys])
+
+
+def _own_bucket(table: pa.Table) -> pa.Table:
+    """1 for the keys whose smallest chunk asks, else 0."""
+    flat, ends = _flat(table)
+    chunk = np.repeat(table["chunk"].to_numpy(), np.diff(ends, prepend=0))
+    order = np.lexsort((chunk, flat))
+    flat = flat[order]
+    out = np.empty(len(flat), np.uint32)
+    out[order] = np.r_[True, flat[1:] != flat[:-1]]
+    return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "totals": pa.array([tv.pack(x) for x in np.split(out, ends[:-1])], pa.binary())})
+
+
+def _sum_bucket(table: pa.Table) -> pa.Table:
+    flat, ends = _flat(table)
     counts = np.concatenate([tv.unpack(x, np.uint32) for x in table["counts"].to_pylist()])
     order = np.argsort(flat)
     flat = flat[order]
@@ -147,6 +161,11 @@ def tally(asked: DataFrame) -> DataFrame:
     return saved(asked.groupBy("bucket").applyInArrow(_sum_bucket, _TALLY_OUT))
 
 
+def owners(asked: DataFrame) -> DataFrame:
+    """Like tally(), but each chunk gets 1 for the keys that no chunk with a smaller number has, else 0."""
+    return saved(asked.groupBy("bucket").applyInArrow(_own_bucket, _TALLY_OUT))
+
+
 def answers(tallied: DataFrame, name: str) -> DataFrame:
     """A row a chunk: packed totals (for totals()) in the order of the chunk's keys."""
     rows = tallied.where("chunk >= 0").groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("bucket", "totals"))).alias("a"))
