@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from prismgrid.llm import textvec as tv
 from prismgrid.llm.common import answers, asks, buckets_for, chunked, components, distinct, map_rows, owners, saved, tally, texts_of, totals
@@ -291,7 +292,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
                 _, _, size, prints, _ = _sets(piece.column(at), words)
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(_nodes(prints).to_pylist(), pa.binary(), mask=size == 0)], [*piece.schema.names, "_node"])
 
-    rows = docs.withColumn("text", F.col("text").cast("string")).mapInArrow(named, docs.schema.add("_node", "binary"))
+    rows = docs.withColumn("text", F.col("text").cast("string")).mapInArrow(named, StructType([*docs.schema.fields, StructField("_node", BinaryType())]))
     empty = rows.where("_node is null").drop("_node")
     kept = rows.join(saved(stay), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_of"))).dropDuplicates(["_id", "_of"])
     return kept.select(*docs.columns).unionByName(empty)
