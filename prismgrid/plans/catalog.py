@@ -1,9 +1,571 @@
-"""The filtering queries by name, with their SQL for DuckDB."""
+"""The filtering queries by name, with their SQL for DuckDB.
+
+The queries run over the events table as an image, 100 pixels wide (FIXTURES.md). The SQL is
+a plain definition of what each operator computes: gathers of neighbours by joins.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from prismgrid.functions.metrics import psnr, statistics
+from prismgrid.model import Border, Cluster, FilterSpec, Sampler, Smoother, Variant
+from prismgrid.operators import border, channels, cluster, exact, pca, resample, sampling
+from prismgrid.operators.approximate import cluster_filter, kd_tree_filter, kernel_eigenvalues, lattice_filter, tile_centres
+from prismgrid.operators.patches import im2col
+from prismgrid.operators.spatial import gaussian
+from prismgrid.operators.tiling import from_tiles, tile_index, to_tiles, with_tiles
+from prismgrid.plans.methods import run_cell, run_method
+from prismgrid.sources.grid import events_grid
+
+SS, SR, R = 3.0, 40.0, 3
+_LAMBDA = 0.05
+
+
+def _value(px: DataFrame, name: str = "v", column: str = "f") -> DataFrame:
+    """y, x and the first channel, rounded for comparison."""
+    return px.select("y", "x", F.round(F.get(column, 0), 6).alias(name))
+
+
+def _height(spark, sf_dir: str) -> int:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max(F.floor(F.col("event_id") / 100)) + 1).first()[0]
+
+
+# ---- SQL pieces ----------------------------------------------------------------------
+
+_GRID = """g AS (
+  SELECT CAST(event_id // 100 AS INTEGER) AS y, CAST(event_id % 100 AS INTEGER) AS x, value AS f0, value AS g0,
+         CAST(json_extract_string(props, '$.k') AS DOUBLE) AS g1 FROM events
+), s AS (SELECT CAST(max(y) + 1 AS INTEGER) AS h, 100 AS w FROM g)"""
+
+
+def _mod(a: str, n: str) -> str:
+    return f"((({a}) % ({n}) + ({n})) % ({n}))"
+
+
+def _map(i: str, n: str, kind: int) -> str:
+    """SQL of border.remapped()."""
+    if kind == Border.REPLICATE:
+        return f"least(greatest({i}, 0), {n} - 1)"
+    if kind == Border.WRAP:
+        return _mod(i, n)
+    if kind == Border.REFLECT:
+        m = _mod(i, f"2 * {n}")
+        return f"CASE WHEN {m} < {n} THEN {m} ELSE 2 * {n} - 1 - {m} END"
+    if kind == Border.REFLECT101:
+        m = _mod(i, f"greatest(2 * ({n} - 1), 1)")
+        return f"CASE WHEN {n} = 1 THEN 0 WHEN {m} < {n} THEN {m} ELSE 2 * ({n} - 1) - {m} END"
+    return f"CASE WHEN ({i}) >= 0 AND ({i}) < {n} THEN {i} END"
+
+
+def _taps(r: int, kind: int = Border.REFLECT101) -> str:
+    """A row for each pixel p and tap q of its window: y, x, dy, dx and q's columns."""
+    return f"""tm AS MATERIALIZED (
+  SELECT p.y, p.x, p.g0 AS p0, p.g1 AS p1, a.d AS dy, b.d AS dx, {_map("p.y + a.d", "s.h", kind)} AS qy, {_map("p.x + b.d", "s.w", kind)} AS qx
+  FROM g p CROSS JOIN s CROSS JOIN (SELECT unnest(range(-{r}, {r} + 1)) AS d) a CROSS JOIN (SELECT unnest(range(-{r}, {r} + 1)) AS d) b
+), t AS (SELECT tm.*, q.f0, q.g0, q.g1 FROM tm JOIN g q ON q.y = tm.qy AND q.x = tm.qx)"""
+
+
+def _hdgf(r: int, kind: int = Border.REFLECT101, guide: tuple[str, ...] = ("0", "1")) -> str:
+    d = " + ".join(f"(g{c} - p{c}) * (g{c} - p{c})" for c in guide)
+    w = f"exp(-CAST(dy * dy + dx * dx AS DOUBLE) / {2 * SS * SS}::DOUBLE - ({d}) / {2 * SR * SR}::DOUBLE)"
+    return f"WITH {_GRID}, {_taps(r, kind)} SELECT y, x, round(sum({w} * f0) / sum({w}), 6) AS v FROM t GROUP BY y, x"
+
+
+def _separable(weights: str, r: int = 9, value: str = "f0") -> str:
+    """Two passes along columns and lines with the weights of table k(n, wt)."""
+    return f"""{weights}, m1 AS MATERIALIZED (SELECT p.y, p.x, k.wt, {_map("p.y + k.n", "s.h", Border.REFLECT101)} AS qy FROM g p CROSS JOIN s CROSS JOIN k
+), v1 AS MATERIALIZED (SELECT m1.y, m1.x, sum(wt * q.{value}) AS v FROM m1 JOIN g q ON q.x = m1.x AND q.y = m1.qy GROUP BY m1.y, m1.x
+), m2 AS MATERIALIZED (SELECT p.y, p.x, k.wt, {_map("p.x + k.n", "s.w", Border.REFLECT101)} AS qx FROM v1 p CROSS JOIN s CROSS JOIN k
+), v2 AS (SELECT m2.y, m2.x, sum(wt * q.v) AS v FROM m2 JOIN v1 q ON q.y = m2.y AND q.x = m2.qx GROUP BY m2.y, m2.x)"""
+
+
+def _gauss(r: int = 9) -> str:
+    return f"""e AS (SELECT CAST(unnest(range(-{r}, {r} + 1)) AS INTEGER) AS n), k AS (
+  SELECT n, exp(-CAST(n * n AS DOUBLE) / {2 * SS * SS}::DOUBLE) / (SELECT sum(exp(-CAST(n * n AS DOUBLE) / {2 * SS * SS}::DOUBLE)) FROM e) AS wt FROM e
+)"""
+
+
+def _cosine(r: int = 9, order: int = 2) -> str:
+    t = 2 * r + 1
+    return f"""e AS (SELECT CAST(unnest(range(-{r}, {r} + 1)) AS INTEGER) AS n), gk AS (
+  SELECT n, exp(-CAST(n * n AS DOUBLE) / {2 * SS * SS}::DOUBLE) / (SELECT sum(exp(-CAST(n * n AS DOUBLE) / {2 * SS * SS}::DOUBLE)) FROM e) AS wt FROM e
+), o AS (SELECT CAST(unnest(range(0, {order} + 1)) AS INTEGER) AS o), a AS (
+  SELECT o, CASE WHEN o = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END / {t} * sum(wt * cos(2 * pi() * o * n / {t})) AS a FROM gk CROSS JOIN o GROUP BY o
+), k AS (SELECT n, sum(a * cos(2 * pi() * o * n / {t})) AS wt FROM e CROSS JOIN a GROUP BY n)"""
+
+
+def _centres(n: int) -> str:
+    return f"c AS (SELECT x AS k, g0 AS m0, g1 AS m1 FROM g WHERE y = 0 AND x < {n})"
+
+
+_ASSIGNED = """a AS (
+  SELECT y, x, f0, g0, g1, k, d FROM (
+    SELECT g.*, c.k, (g0 - m0) * (g0 - m0) + (g1 - m1) * (g1 - m1) AS d,
+           row_number() OVER (PARTITION BY y, x ORDER BY (g0 - m0) * (g0 - m0) + (g1 - m1) * (g1 - m1), k) AS n FROM g CROSS JOIN c
+  ) WHERE n = 1
+)"""
+
+
+def _first(px: DataFrame, n: int) -> list[list[float]]:
+    """The guides of the first n pixels, as centres for comparison."""
+    return [list(r.g) for r in px.where(f"y = 0 and x < {n}").orderBy("x").select("g").collect()]
+
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        _QUERIES[name or f.__name__] = f
+        if sql:
+            _SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- the exact filter ----------------------------------------------------------------
+
+
+@_query(_hdgf(R))
+def hdgf_exact(spark, sf_dir):
+    """Joint bilateral filter of the grid, radius 3."""
+    return _value(exact.hdgf(events_grid(spark, sf_dir), sigma_space=SS, sigma_range=SR, radius=R))
+
+
+@_query(_hdgf(R, guide=("0",)))
+def hdgf_self_guided(spark, sf_dir):
+    """Bilateral filter: the signal is its own guide."""
+    px = events_grid(spark, sf_dir).withColumn("g", F.col("f"))
+    return _value(exact.hdgf(px, sigma_space=SS, sigma_range=SR, radius=R))
+
+
+@_query(_hdgf(R))
+def hdgf_tiled(spark, sf_dir):
+    """The same in 5 x 5 tiles."""
+    return _value(exact.hdgf(events_grid(spark, sf_dir), sigma_space=SS, sigma_range=SR, radius=R, divisions=(5, 5)))
+
+
+@_query(_hdgf(2))
+def hdgf_join(spark, sf_dir):
+    """The same as a join and an aggregate, radius 2."""
+    return _value(exact.hdgf(events_grid(spark, sf_dir), sigma_space=SS, sigma_range=SR, radius=2, plan="join"))
+
+
+for _b in (Border.CONSTANT, Border.REPLICATE, Border.REFLECT, Border.WRAP):
+
+    @_query(_hdgf(R, _b), f"hdgf_{_b.name.lower()}")
+    def _bordered(spark, sf_dir, kind=_b):
+        """The filter with another border rule."""
+        return _value(exact.hdgf(events_grid(spark, sf_dir), sigma_space=SS, sigma_range=SR, radius=R, border=kind, tile=(5, 20)))
+
+
+_PATCH = f"""WITH {_GRID}, o AS (SELECT CAST(unnest(range(-1, 2)) AS INTEGER) AS d), bm AS MATERIALIZED (
+  SELECT p.y, p.x, (a.d + 1) * 3 + c.d + 1 AS pos, {_map("p.y + a.d", "s.h", Border.REFLECT101)} AS qy, {_map("p.x + c.d", "s.w", Border.REFLECT101)} AS qx FROM g p CROSS JOIN s CROSS JOIN o a CROSS JOIN o c
+), b AS MATERIALIZED (SELECT bm.y, bm.x, pos, q.f0 AS v FROM bm JOIN g q ON q.y = qy AND q.x = qx)"""
+
+
+@_query(f"""{_PATCH}, u AS (SELECT CAST(unnest(range(-2, 3)) AS INTEGER) AS d), t AS MATERIALIZED (
+  SELECT p.y, p.x, a.d AS dy, c.d AS dx, {_map("p.y + a.d", "s.h", Border.REFLECT101)} AS qy, {_map("p.x + c.d", "s.w", Border.REFLECT101)} AS qx FROM g p CROSS JOIN s CROSS JOIN u a CROSS JOIN u c
+), d AS (
+  SELECT t.y, t.x, t.dy, t.dx, qy, qx, sum((m.v - n.v) * (m.v - n.v)) AS d FROM t JOIN b m ON m.y = t.y AND m.x = t.x JOIN b n ON n.y = qy AND n.x = qx AND n.pos = m.pos GROUP BY ALL
+), w AS (SELECT d.y, d.x, exp(-CAST(dy * dy + dx * dx AS DOUBLE) / {2 * SS * SS}::DOUBLE - d / {2 * SR * SR}::DOUBLE) AS wt, g.f0 FROM d JOIN g ON g.y = qy AND g.x = qx)
+SELECT y, x, round(sum(wt * f0) / sum(wt), 6) AS v FROM w GROUP BY y, x""")
+def nlm_exact(spark, sf_dir):
+    """Non-local means: the guide is the 3 x 3 patch of the signal, radius 2."""
+    px = im2col(events_grid(spark, sf_dir), 1, column="f")
+    return _value(exact.hdgf(px, sigma_space=SS, sigma_range=SR, radius=2))
+
+
+@_query("""WITH p AS (SELECT a.vec_id AS id, b.embedding AS e, exp(-list_sum(list_transform(range(1, 65), lambda i: (CAST(a.embedding[i] AS DOUBLE) - b.embedding[i]) * (CAST(a.embedding[i] AS DOUBLE) - b.embedding[i]))) / 0.5::DOUBLE) AS w FROM embeddings a CROSS JOIN embeddings b)
+SELECT id, round(sum(w * CAST(e[1] AS DOUBLE)) / sum(w), 6) AS v0, round(sum(w * CAST(e[64] AS DOUBLE)) / sum(w), 6) AS v63 FROM p GROUP BY id""")
+def embedding_kernel_smooth(spark, sf_dir):
+    """Every embedding as the mean of all, weighted by the Gaussian of their distance (sigma 0.5)."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("g"))
+    return exact.range_smooth(e, sigma_range=0.5).select("id", F.round(F.get("f", 0), 6).alias("v0"), F.round(F.get("f", 63), 6).alias("v63"))
+
+
+# ---- spatial smoothing ---------------------------------------------------------------
+
+
+@_query(f"WITH {_GRID}, {_separable(_gauss())} SELECT y, x, round(v, 6) AS v FROM v2")
+def gaussian_fir(spark, sf_dir):
+    """Gaussian smoothing with 19 taps an axis."""
+    return _value(gaussian(events_grid(spark, sf_dir), sigma_space=SS, radius=9))
+
+
+@_query(f"WITH {_GRID}, {_separable(_cosine())} SELECT y, x, round(v, 6) AS v FROM v2")
+def gaussian_sliding_cosine(spark, sf_dir):
+    """The same by a cosine series of order 2, in constant time."""
+    return _value(gaussian(events_grid(spark, sf_dir), sigma_space=SS, radius=9, how=Smoother.SLIDING_COSINE, order=2))
+
+
+# ---- borders, channels, resampling ---------------------------------------------------
+
+for _b in Border:
+    _to = f"""WITH {_GRID}, z AS (SELECT CAST(i // (w + 6) AS INTEGER) AS y, CAST(i % (w + 6) AS INTEGER) AS x, h, w FROM s, unnest(range(0, (h + 6) * (w + 6))) AS u(i)),
+zm AS MATERIALIZED (SELECT y, x, {_map("(y - 3)", "h", _b)} AS qy, {_map("(x - 3)", "w", _b)} AS qx FROM z)
+SELECT zm.y, zm.x, round(coalesce(q.f0, 7.0::DOUBLE), 6) AS v FROM zm LEFT JOIN g q ON q.y = qy AND q.x = qx"""
+
+    @_query(_to, f"pad_{_b.name.lower()}")
+    def _padded(spark, sf_dir, kind=_b):
+        """The grid with three more pixels on each side."""
+        return _value(border.pad(events_grid(spark, sf_dir), 3, kind, value=7.0))
+
+
+@_query(f"WITH {_GRID} SELECT y - 2 AS y, x - 10 AS x, round(f0, 6) AS v FROM g WHERE y BETWEEN 2 AND 7 AND x BETWEEN 10 AND 49")
+def crop_recenter(spark, sf_dir):
+    """A rectangle at coordinates from 0."""
+    return _value(border.crop(events_grid(spark, sf_dir), 2, 10, 6, 40))
+
+
+@_query(f"WITH {_GRID} SELECT y, x, 0 AS c, round(g0, 6) AS v FROM g UNION ALL SELECT y, x, 1, round(g1, 6) FROM g")
+def channel_split(spark, sf_dir):
+    """A row for each channel of the guide."""
+    return channels.split(events_grid(spark, sf_dir), "g").select("y", "x", "c", F.round("v", 6).alias("v"))
+
+
+@_query(f"WITH {_GRID} SELECT y, x, round(f0, 6) AS c0, round(g0 * 0.25::DOUBLE, 6) AS c1, round(g1 * 0.25::DOUBLE, 6) AS c2 FROM g")
+def channel_merge_lambda(spark, sf_dir):
+    """The signal's channels, then the guide's times 0.25; split and merged on the way."""
+    px = events_grid(spark, sf_dir)
+    px = px.drop("g").join(channels.merge(channels.split(px, "g"), "g"), ["img_id", "y", "x"])
+    both = channels.concat_scaled(F.col("f"), F.col("g"), 0.25)
+    return px.select("y", "x", *(F.round(F.get(both, i), 6).alias(f"c{i}") for i in range(3)))
+
+
+def _u8(v: str) -> str:
+    return f"CAST(least(greatest(round_even({v}, 0), 0), 255) AS INTEGER)"
+
+
+@_query(f"WITH {_GRID} SELECT y, x, {_u8('f0')} AS c0, {_u8('g1 * 0.5::DOUBLE')} AS c1 FROM g")
+def channel_merge_u8(spark, sf_dir):
+    """Concatenation as 8-bit values, converted after the product."""
+    both = channels.concat_scaled(F.col("f"), F.slice("g", 2, 1), 0.5, u8=True)
+    return events_grid(spark, sf_dir).select("y", "x", *(F.get(both, i).cast("int").alias(f"c{i}") for i in range(2)))
+
+
+@_query(f"WITH {_GRID} SELECT y, x, {_u8('f0 * 1.7::DOUBLE - 20')} AS v FROM g")
+def depth_to_u8(spark, sf_dir):
+    """Values rounded half to even and kept within 0..255."""
+    return events_grid(spark, sf_dir).select("y", "x", channels.to_u8(F.get("f", 0) * 1.7 - 20).alias("v"))
+
+
+@_query(f"WITH {_GRID} SELECT y, x, round(CAST(CAST(g0 AS FLOAT) AS DOUBLE), 5) AS v FROM g")
+def depth_to_float(spark, sf_dir):
+    """Values as 32-bit floats."""
+    return channels.as_float(events_grid(spark, sf_dir), "g").select("y", "x", F.round(F.get("g", 0), 5).alias("v"))
+
+
+@_query(f"WITH {_GRID} SELECT y, x, round(0.3::DOUBLE * g0 + 0.7::DOUBLE * g1, 6) AS v FROM g")
+def alpha_blend(spark, sf_dir):
+    """0.3 of one image and 0.7 of another."""
+    px = events_grid(spark, sf_dir).withColumn("f", channels.blend(F.slice("g", 1, 1), F.slice("g", 2, 1), 0.3))
+    return _value(px)
+
+
+@_query(f"WITH {_GRID} SELECT y, x, round((g0 - g1) * 4, 6) AS v FROM g")
+def diff_amplify(spark, sf_dir):
+    """A difference times 2^2."""
+    px = events_grid(spark, sf_dir).withColumn("f", channels.amplified_difference(F.slice("g", 1, 1), F.slice("g", 2, 1), 2))
+    return _value(px)
+
+
+@_query(f"WITH {_GRID} SELECT y, x, round((g0 + g1) / 2, 6) AS v FROM g")
+def gray_average(spark, sf_dir):
+    """The mean of the channels."""
+    return events_grid(spark, sf_dir).select("y", "x", F.round(channels.average_gray(F.col("g")), 6).alias("v"))
+
+
+@_query(f"WITH {_GRID} SELECT y, x, round(0.5::DOUBLE * g0 + 0.25::DOUBLE * g1, 6) AS c0, round(g1 - g0, 6) AS c1 FROM g")
+def band_preview(spark, sf_dir):
+    """A fixed linear map of the channels."""
+    out = channels.linear_map(F.col("g"), [[0.5, 0.25], [-1.0, 1.0]])
+    return events_grid(spark, sf_dir).select("y", "x", *(F.round(F.get(out, i), 6).alias(f"c{i}") for i in range(2)))
+
+
+@_query(f"{_PATCH} SELECT y, x, CAST(pos AS INTEGER) AS pos, round(v, 6) AS v FROM b")
+def im2col_r1(spark, sf_dir):
+    """3 x 3 patches as channels."""
+    return im2col(events_grid(spark, sf_dir), 1, column="f").select("y", "x", F.posexplode("g").alias("pos", "v")).withColumn("v", F.round("v", 6))
+
+
+@_query(f"WITH {_GRID} SELECT CAST(y // 2 AS INTEGER) AS y, CAST(x // 2 AS INTEGER) AS x, round(avg(f0), 5) AS v FROM g GROUP BY ALL")
+def resize_area_2x(spark, sf_dir):
+    """Means of 2 x 2 pixels."""
+    return resample.shrink(events_grid(spark, sf_dir), 2).select("y", "x", F.round(F.get("f", 0), 5).alias("v"))
+
+
+@_query(f"""WITH {_GRID}, o AS (
+  SELECT g.f0, CAST(a.i AS INTEGER) AS y, CAST(b.i AS INTEGER) AS x,
+         least((g.y + 1) * 0.4::DOUBLE, a.i + 1) - greatest(g.y * 0.4::DOUBLE, a.i) AS wy, least((g.x + 1) * 0.35::DOUBLE, b.i + 1) - greatest(g.x * 0.35::DOUBLE, b.i) AS wx
+  FROM g CROSS JOIN s JOIN (SELECT unnest(range(0, 2000)) AS i) a ON a.i < h * 2 // 5 AND (g.y + 1) * 0.4::DOUBLE > a.i + 1e-9 AND g.y * 0.4::DOUBLE < a.i + 1 - 1e-9
+  JOIN (SELECT unnest(range(0, 35)) AS i) b ON (g.x + 1) * 0.35::DOUBLE > b.i + 1e-9 AND g.x * 0.35::DOUBLE < b.i + 1 - 1e-9
+) SELECT y, x, round(sum(f0 * wy * wx) / sum(wy * wx), 5) AS v FROM o GROUP BY y, x""")
+def resize_area_fraction(spark, sf_dir):
+    """Scaled to 0.4 of the height and 0.35 of the width, by overlap."""
+    h = _height(spark, sf_dir)
+    return resample.resize_area(events_grid(spark, sf_dir), h * 2 // 5, 35, (h, 100)).select("y", "x", F.round(F.get("f", 0), 5).alias("v"))
+
+
+@_query(f"""WITH {_GRID}, z AS (SELECT CAST(i // 130 AS INTEGER) AS y, CAST(i % 130 AS INTEGER) AS x, h FROM s, unnest(range(0, CAST(h * 3 // 5 AS BIGINT) * 130)) AS u(i)),
+zm AS MATERIALIZED (SELECT y, x, y * h // (h * 3 // 5) AS qy, x * 100 // 130 AS qx FROM z)
+SELECT zm.y, zm.x, round(q.f0, 6) AS v FROM zm JOIN g q ON q.y = qy AND q.x = qx""")
+def resize_nearest(spark, sf_dir):
+    """Scaled to 0.6 of the height and 1.3 of the width, nearest pixel."""
+    h = _height(spark, sf_dir)
+    return _value(resample.resize_nearest(events_grid(spark, sf_dir), h * 3 // 5, 130, (h, 100)))
+
+
+@_query(f"""WITH {_GRID}, m AS (SELECT *, CASE WHEN f0 >= 30 THEN f0 END AS u FROM g), n AS (
+  SELECT *, last_value(u IGNORE NULLS) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a,
+         first_value(u IGNORE NULLS) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM m
+) SELECT y, x, round(coalesce(u, least(a, b), f0), 6) AS v FROM n""")
+def fill_occlusion(spark, sf_dir):
+    """Values below 30 filled from the line's nearest others, the smaller one."""
+    return _value(resample.fill_occlusion(events_grid(spark, sf_dir), F.get("f", 0) < 30))
+
+
+@_query(f"WITH {_GRID}, h AS (SELECT CASE WHEN y < 5 THEN 0 ELSE 1 END AS i, * FROM g WHERE y < 10 AND x < 40) SELECT CAST(y % 5 AS INTEGER) AS y, CAST(x + 40 * i AS INTEGER) AS x, round(f0, 6) AS v FROM h")
+def mosaic(spark, sf_dir):
+    """Two images side by side."""
+    px = events_grid(spark, sf_dir).where("y < 10 and x < 40")
+    px = px.withColumns({"img_id": F.when(F.col("y") < 5, 0).otherwise(1), "y": F.col("y") % 5})
+    return _value(resample.mosaic(px, 2, 5, 40))
+
+
+@_query("SELECT CAST(event_id AS INTEGER) AS n, CAST(event_id // 8 AS INTEGER) AS tj, CAST(event_id % 8 AS INTEGER) AS ti FROM events")
+def tile_number(spark, sf_dir):
+    """Row and column of a tile's number in a grid 8 wide."""
+    j, i = tile_index(F.col("event_id"), 8)
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").cast("int").alias("n"), j.alias("tj"), i.alias("ti"))
+
+
+@_query(f"""WITH {_GRID}, t AS (SELECT CAST(a.i AS INTEGER) AS tj, CAST(b.i AS INTEGER) AS ti, h // 5 AS th, 20 AS tw FROM s, (SELECT unnest(range(0, 5)) AS i) a, (SELECT unnest(range(0, 5)) AS i) b)
+SELECT tj, ti, count(*) AS n, round(sum(f0), 4) AS total FROM t JOIN g ON g.y >= tj * th - 3 AND g.y < (tj + 1) * th + 3 AND g.x >= ti * tw - 3 AND g.x < (ti + 1) * tw + 3 GROUP BY tj, ti""")
+def tile_halo(spark, sf_dir):
+    """Pixels that each of 5 x 5 tiles gets with a halo of 3."""
+    rows = with_tiles(events_grid(spark, sf_dir), 3, divisions=(5, 5))
+    return rows.groupBy("tj", "ti").agg(F.count("*").alias("n"), F.round(F.sum(F.get("f", 0)), 4).alias("total"))
+
+
+@_query(f"WITH {_GRID} SELECT y, x, round(f0, 6) AS v FROM g")
+def tile_round_trip(spark, sf_dir):
+    """Pixels packed into tiles with a halo and taken out again."""
+    return _value(from_tiles(to_tiles(events_grid(spark, sf_dir), 3, divisions=(2, 5))))
+
+
+# ---- sampling and clustering ---------------------------------------------------------
+
+
+@_query(f"WITH {_GRID} SELECT y, x, round(f0, 6) AS v FROM g WHERE y % 2 = 0 AND x % 2 = 0")
+def sample_stride(spark, sf_dir):
+    """A quarter of the pixels."""
+    return _value(sampling.stride(events_grid(spark, sf_dir), 0.25))
+
+
+_GRADIENT = f"""WITH {_GRID}, em AS MATERIALIZED (
+  SELECT g.*, {_map("y - 1", "h", Border.REFLECT101)} AS up, {_map("y + 1", "h", Border.REFLECT101)} AS down, {_map("x - 1", "w", Border.REFLECT101)} AS lef, {_map("x + 1", "w", Border.REFLECT101)} AS rig FROM g CROSS JOIN s
+), e AS (
+  SELECT p.y, p.x, p.f0, round((abs(u.g0 - d.g0) / 2 + abs(u.g1 - d.g1) / 2) + (abs(l.g0 - r.g0) / 2 + abs(l.g1 - r.g1) / 2), 6) AS e FROM em p
+  JOIN g u ON u.x = p.x AND u.y = p.up JOIN g d ON d.x = p.x AND d.y = p.down JOIN g l ON l.y = p.y AND l.x = p.lef JOIN g r ON r.y = p.y AND r.x = p.rig
+)"""
+
+
+@_query(f"{_GRADIENT} SELECT y, x, e FROM e")
+def gradient(spark, sf_dir):
+    """Absolute central differences, summed over the guide's channels."""
+    return sampling.with_gradient(events_grid(spark, sf_dir)).select("y", "x", F.round("gradient", 6).alias("e"))
+
+
+@_query(f"{_GRADIENT}, n AS (SELECT *, row_number() OVER (PARTITION BY y // 2, x // 2 ORDER BY e DESC, y, x) AS n FROM e) SELECT y, x, round(f0, 6) AS v FROM n WHERE n = 1")
+def sample_gradient_max(spark, sf_dir):
+    """The pixel with the largest gradient of each 2 x 2 block."""
+    return _value(sampling.gradient_max(events_grid(spark, sf_dir), 0.25))
+
+
+@_query(f"""WITH {_GRID}, q AS (SELECT CAST(CAST(floor(g0 / 50) AS BIGINT) AS VARCHAR) || ',' || CAST(CAST(floor(g1 / 50) AS BIGINT) AS VARCHAR) AS cell, count(*) AS n, avg(g0) AS a, avg(g1) AS b FROM g GROUP BY cell)
+SELECT cell, n, round(a, 6) AS m0, round(b, 6) AS m1 FROM q ORDER BY n DESC, cell LIMIT 8""")
+def quantize_div(spark, sf_dir):
+    """The eight fullest cells of a regular grid over the guide."""
+    out = cluster.uniform_cells(events_grid(spark, sf_dir), 50, 8)
+    return out.select("cell", "n", *(F.round(F.get("mu", i), 6).alias(f"m{i}") for i in range(2)))
+
+
+@_query(f"WITH {_GRID}, {_centres(5)}, {_ASSIGNED} SELECT y, x, CAST(k AS INTEGER) AS k, round(d, 5) AS d FROM a")
+def kmeans_assign(spark, sf_dir):
+    """The nearest of five centres."""
+    px = events_grid(spark, sf_dir)
+    return cluster.assign(px, _first(px, 5)).select("y", "x", "k", F.round("d", 5).alias("d"))
+
+
+@_query(f"WITH {_GRID}, {_centres(5)}, {_ASSIGNED} SELECT CAST(k AS INTEGER) AS k, round(sum(1.0::DOUBLE), 6) AS weight, round(sum(g0) / count(*), 6) AS m0, round(sum(g1) / count(*), 6) AS m1 FROM a GROUP BY k")
+def kmeans_step(spark, sf_dir):
+    """The means of the pixels nearest to five centres."""
+    px = events_grid(spark, sf_dir)
+    return cluster.step(px, _first(px, 5)).select("k", F.round("weight", 6).alias("weight"), *(F.round(F.get("mu", i), 6).alias(f"m{i}") for i in range(2)))
+
+
+@_query(f"""WITH {_GRID}, {_centres(5)}, {_ASSIGNED}, b AS (SELECT *, 1 - exp(-d / 1250.0::DOUBLE) AS wt FROM a)
+SELECT CAST(k AS INTEGER) AS k, round(sum(wt), 6) AS weight, round(sum(wt * g0) / sum(wt), 6) AS m0, round(sum(wt * g1) / sum(wt), 6) AS m1 FROM b GROUP BY k HAVING sum(wt) > 1e-12""")
+def gauss_inv_means_step(spark, sf_dir):
+    """The same with weights that vanish near a centre (sigma 25)."""
+    px = events_grid(spark, sf_dir)
+    return cluster.step(px, _first(px, 5), sigma=25.0).select("k", F.round("weight", 6).alias("weight"), *(F.round(F.get("mu", i), 6).alias(f"m{i}") for i in range(2)))
+
+
+@_query(f"""WITH {_GRID}, w AS (SELECT max(g0) - min(g0) >= max(g1) - min(g1) AS z, median(g0) AS a, median(g1) AS b FROM g),
+p AS (SELECT g0, g1, CASE WHEN z THEN g0 > a ELSE g1 > b END AS side FROM g CROSS JOIN w)
+SELECT round(median(g0), 6) AS m0, round(median(g1), 6) AS m1 FROM p GROUP BY side""")
+def median_cut_1level(spark, sf_dir):
+    """The medians of the two halves along the wider channel."""
+    px = events_grid(spark, sf_dir)
+    mu = cluster.box_centres(px, cluster.cut_boxes(px, 2))
+    return spark.createDataFrame([tuple(m) for m in mu], "m0 double, m1 double").select(F.round("m0", 6).alias("m0"), F.round("m1", 6).alias("m1"))
+
+
+def _soft(k: int) -> str:
+    taps = f"""q AS (SELECT g.y, g.x, g.f0, c.k, exp(-((g0 - m0) * (g0 - m0) + (g1 - m1) * (g1 - m1)) / {2 * SR * SR}::DOUBLE) AS c, sqrt((g0 - m0) * (g0 - m0) + (g1 - m1) * (g1 - m1)) AS far FROM g CROSS JOIN c),
+w AS MATERIALIZED (SELECT p.y, p.x, a.d AS dy, b.d AS dx, {_map("p.y + a.d", "s.h", Border.REFLECT101)} AS qy, {_map("p.x + b.d", "s.w", Border.REFLECT101)} AS qx FROM g p CROSS JOIN s CROSS JOIN (SELECT unnest(range(-3, 4)) AS d) a CROSS JOIN (SELECT unnest(range(-3, 4)) AS d) b),
+h AS (SELECT w.y, w.x, q.k, sum(exp(-CAST(dy * dy + dx * dx AS DOUBLE) / {2 * SS * SS}::DOUBLE) * c * f0) / sum(exp(-CAST(dy * dy + dx * dx AS DOUBLE) / {2 * SS * SS}::DOUBLE) * c) AS h FROM w JOIN q ON q.y = qy AND q.x = qx GROUP BY w.y, w.x, q.k)"""
+    return f"WITH {_GRID}, {_centres(k)}, {taps}"
+
+
+def _blended(spark, sf_dir, **changes):
+    import numpy as np
+
+    from prismgrid.functions import lowrank
+    from prismgrid.operators.tiling import apply_tiles
+
+    px = events_grid(spark, sf_dir)
+    mu = np.array(_first(px, 4))
+    spec = FilterSpec(sigma_space=SS, sigma_range=SR, radius=R, variant=Variant.SOFT, smoother=Smoother.FIR, soft_lambda=_LAMBDA).but(**changes)
+    return _value(apply_tiles(px, lambda b: lowrank.filtered(b.image("f"), b.image("g"), mu, spec, R), R, divisions=(5, 5)))
+
+
+@_query(f"""{_soft(4)} SELECT h.y, h.x, round(sum(exp(-{_LAMBDA}::DOUBLE * far) * h) / sum(exp(-{_LAMBDA}::DOUBLE * far)), 6) AS v FROM h JOIN q USING (y, x, k) GROUP BY h.y, h.x""")
+def soft_interp_k4(spark, sf_dir):
+    """Four component images blended by the distance to their centres."""
+    return _blended(spark, sf_dir)
+
+
+@_query(f"{_soft(4)} SELECT y, x, round(h, 6) AS v FROM h WHERE k = 2")
+def component_image(spark, sf_dir):
+    """One component image alone."""
+    return _blended(spark, sf_dir, component=2)
+
+
+@_query(f"""{_soft(4)}, n AS (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY far, k) AS n FROM q),
+m AS (SELECT a.y, a.x, a.k AS k1, b.k AS k2, CASE WHEN a.far + b.far > 0 THEN b.far / (a.far + b.far) ELSE 1 END AS t FROM n a JOIN n b ON a.y = b.y AND a.x = b.x AND a.n = 1 AND b.n = 2)
+SELECT m.y, m.x, round(t * a.h + (1 - t) * b.h, 6) AS v FROM m JOIN h a ON a.y = m.y AND a.x = m.x AND a.k = k1 JOIN h b ON b.y = m.y AND b.x = m.x AND b.k = k2""")
+def linear_interp_k4(spark, sf_dir):
+    """Four component images, blended linearly between the two nearest centres."""
+    return _blended(spark, sf_dir, variant=Variant.INTERPOLATION)
+
+
+# ---- components, metrics -------------------------------------------------------------
+
+
+@_query(f"WITH {_GRID} SELECT round(avg(g0), 4) AS m0, round(avg(g1), 4) AS m1, round(covar_pop(g0, g0), 3) AS c00, round(covar_pop(g0, g1), 3) AS c01, round(covar_pop(g1, g1), 3) AS c11 FROM g")
+def pca_covariance(spark, sf_dir):
+    """Mean and covariance of the guide from the moments that PCA uses."""
+    m = pca.moments(events_grid(spark, sf_dir))
+    mean = [F.get("total", i) / F.col("n") for i in range(2)]
+    cov = {f"c{i}{j}": F.round(F.get("gram", i * 2 + j) / F.col("n") - mean[i] * mean[j], 3) for i, j in ((0, 0), (0, 1), (1, 1))}
+    return m.select(*(F.round(v, 4).alias(f"m{i}") for i, v in enumerate(mean)), *(v.alias(k) for k, v in cov.items()))
+
+
+@_query(f"WITH {_GRID}, t AS (SELECT g0, g1, CAST(y // (h // 5) AS INTEGER) AS tj, CAST(x // 20 AS INTEGER) AS ti FROM g CROSS JOIN s) SELECT tj, ti, round(covar_pop(g0, g0), 3) AS c00, round(covar_pop(g0, g1), 3) AS c01, round(covar_pop(g1, g1), 3) AS c11 FROM t GROUP BY tj, ti")
+def tile_covariance(spark, sf_dir):
+    """Covariance of the guide in each of 5 x 5 tiles."""
+    rows = with_tiles(events_grid(spark, sf_dir), 0, divisions=(5, 5))
+    g = [F.get("g", i) for i in range(2)]
+    return rows.groupBy("tj", "ti").agg(*(F.round(F.covar_pop(g[i], g[j]), 3).alias(f"c{i}{j}") for i, j in ((0, 0), (0, 1), (1, 1))))
+
+
+@_query(f"WITH {_GRID}, m AS (SELECT avg(g0) AS a, avg(g1) AS b, covar_pop(g0, g0) AS p, covar_pop(g0, g1) AS q, covar_pop(g1, g1) AS r FROM g), l AS (SELECT *, (p + r) / 2 + sqrt((p - r) * (p - r) / 4 + q * q) AS l1 FROM m) SELECT round(l1, 3) AS l1, round(p + r - l1, 3) AS l2 FROM l")
+def pca_eigenvalues(spark, sf_dir):
+    """The eigenvalues of the guide's covariance."""
+    return pca.fit(events_grid(spark, sf_dir), 2).select(F.round(F.get("eigenvalues", 0), 3).alias("l1"), F.round(F.get("eigenvalues", 1), 3).alias("l2"))
+
+
+@_query(f"WITH {_GRID}, {_separable(_gauss())}, er AS (SELECT avg((f0 - v) * (f0 - v)) AS mse FROM g JOIN v2 USING (y, x)) SELECT 0 AS img_id, round(mse, 5) AS mse, round(10 * log10(65025 / mse), 6) AS psnr_db FROM er")
+def psnr_blur_vs_src(spark, sf_dir):
+    """The smoothed grid against the grid."""
+    px = events_grid(spark, sf_dir)
+    return psnr(px, gaussian(px, sigma_space=SS, radius=9)).select("img_id", F.round("mse", 5).alias("mse"), F.round("psnr_db", 6).alias("psnr_db"))
+
+
+@_query(f"WITH {_GRID}, {_separable(_gauss())}, er AS (SELECT avg((f0 - v) * (f0 - v)) AS mse FROM g JOIN v2 USING (y, x) CROSS JOIN s WHERE y BETWEEN 3 AND h - 4 AND x BETWEEN 3 AND 96) SELECT 0 AS img_id, round(mse, 5) AS mse, round(10 * log10(65025 / mse), 6) AS psnr_db FROM er")
+def psnr_cropped(spark, sf_dir):
+    """The same without three pixels at the edges."""
+    px = events_grid(spark, sf_dir)
+    return psnr(px, gaussian(px, sigma_space=SS, radius=9), crop=3).select("img_id", F.round("mse", 5).alias("mse"), F.round("psnr_db", 6).alias("psnr_db"))
+
+
+@_query("SELECT event_type AS method, count(value) AS n, round(median(value), 6) AS median, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max, round(stddev_pop(value), 6) AS std FROM events GROUP BY event_type")
+def run_stats(spark, sf_dir):
+    """Median, mean, extremes and deviation by group, as for repeated runs."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("method"), "value")
+    out = statistics(e, "value", "method")
+    return out.withColumns({c: F.round(c, 6) for c in ("median", "mean", "std")})
+
+
+@_query("""WITH r AS (SELECT event_type AS method, user_id % 5 AS k, median(value) AS m FROM events GROUP BY ALL), b AS (SELECT k, m FROM r WHERE method = (SELECT min(event_type) FROM events))
+SELECT r.method, r.k, round(r.m - b.m, 6) AS gain FROM r JOIN b USING (k)""")
+def gain_vs_baseline(spark, sf_dir):
+    """Medians less that of a baseline with the same setting."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("method"), (F.col("user_id") % 5).alias("k"), "value")
+    med = statistics(e, "value", "method", "k")
+    base = e.agg(F.min("method").alias("base"))
+    med = med.crossJoin(F.broadcast(base))
+    at = F.max(F.when(F.col("method") == F.col("base"), F.col("median"))).over(Window.partitionBy("k"))
+    return med.withColumn("gain", F.round(F.col("median") - at, 6)).where("gain is not null").select("method", "k", "gain")
+
+
+# ---- what SQL cannot express ---------------------------------------------------------
+
+_SPEC = FilterSpec(sigma_space=SS, sigma_range=SR, divisions=(5, 5), k=8, iterations=5)
+
+
+def _free(name: str, run):
+    _query(None, name)(run)
+
+
+for _variant in (Variant.NYSTROM, Variant.SOFT, Variant.INTERPOLATION):
+    _free(f"cluster_{_variant}", lambda s, d, v=_variant: _value(cluster_filter(events_grid(s, d), _SPEC.but(variant=v))))
+for _c in Cluster:
+    _free(f"centres_{_c}", lambda s, d, c=_c: tile_centres(events_grid(s, d), _SPEC.but(cluster=c, sampler=Sampler.NEAREST, divisions=(1, 5))).select("tj", "ti", "k", F.get("mu", 0).alias("m0"), F.get("mu", 1).alias("m1"), "weight"))
+for _c in (Cluster.RANDOM_SAMPLE, Cluster.KMEANS, Cluster.KMEANS_PP, Cluster.GAUSS_INV_MEANS_PP, Cluster.KMEANS_MEDIANCUT, Cluster.QUANTIZE_DIV):
+    _free(f"table_{_c}", lambda s, d, c=_c: s.createDataFrame([(k, *m) for k, m in enumerate(cluster.fit(events_grid(s, d), c, 4, 3))], "k int, m0 double, m1 double"))
+_free("sample_dither_gradient", lambda s, d: _value(sampling.dither(events_grid(s, d), 0.25, divisions=(5, 5))))
+_free("sample_dither_dog", lambda s, d: _value(sampling.dither(events_grid(s, d), 0.25, by_dog=True, sigma=1.0, divisions=(5, 5))))
+_free("sample_importance", lambda s, d: _value(sampling.importance(events_grid(s, d), 0.25)))
+_free("sample_cubic", lambda s, d: _value(sampling.cubic(events_grid(s, d), 0.25, divisions=(5, 5))))
+_free("hdgf_tile_pca", lambda s, d: _value(exact.hdgf_tile_pca(events_grid(s, d), sigma_space=SS, sigma_range=SR, pca_dim=1, divisions=(5, 5))))
+_free("pca_project", lambda s, d: _value(pca.project(events_grid(s, d), 1), column="g"))
+_free("pca_project_tiles", lambda s, d: _value(pca.project_tiles(events_grid(s, d), 1, divisions=(5, 5))))
+_free("patch_pca", lambda s, d: _value(pca.patch_pca(events_grid(s, d), 1, 3), column="g"))
+_free("patch_pca_tiles", lambda s, d: _value(pca.patch_pca_tiles(events_grid(s, d), 1, 3, divisions=(5, 5))))
+_free("pca_reconstruction_psnr", lambda s, d: pca.reconstruction_psnr(events_grid(s, d), 1).select("img_id", "psnr_db"))
+_free("lattice", lambda s, d: _value(lattice_filter(events_grid(s, d), _SPEC)))
+_free("lattice_tile_pca", lambda s, d: _value(lattice_filter(events_grid(s, d), _SPEC, pca_dim=1)))
+_free("kd_tree", lambda s, d: _value(kd_tree_filter(events_grid(s, d), _SPEC.but(sigma_space=2.0))))
+_free("kd_tree_tile_pca", lambda s, d: _value(kd_tree_filter(events_grid(s, d), _SPEC.but(sigma_space=2.0), pca_dim=1)))
+_free("nlm_tile_pca", lambda s, d: _value(cluster_filter(events_grid(s, d), _SPEC, pca_dim=3, patch=1)))
+_free("kernel_eigenvalues", lambda s, d: kernel_eigenvalues(tile_centres(events_grid(s, d), _SPEC), SR))
+_free("add_noise", lambda s, d: _value(channels.add_noise(events_grid(s, d), 15.0)))
+for _code in (0, 1, 2, 4):
+    _free(f"method_{_code}_nlm", lambda s, d, c=_code: _value(run_method(c, events_grid(s, d), _SPEC, nlm=True)))
+_free("cell_exact_nlm", lambda s, d: _value(run_cell(0, 0, 1, events_grid(s, d), _SPEC.but(radius=2))))
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
