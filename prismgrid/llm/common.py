@@ -74,6 +74,38 @@ def chunked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int,
         yield part + k, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+_TEXTS = "chunk long, n_texts long, n_bytes long, ids binary, no_id binary, offsets binary, texts binary"
+
+
+def text_chunks(docs: DataFrame, most: int) -> DataFrame:
+    """doc_id and text of all rows as a saved table with a row for about `most` bytes of text, for texts_in().
+
+    Texts are compressed, so that what passes through Spark is small, and read again at
+    each pass; joins on chunk move only the other side.
+    """
+
+    def pack(batches):
+        for chunk, batch in chunked(batches, most):
+            data, offsets = tv.buffers(batch.column("text"))
+            ids = batch.column("doc_id").cast(pa.int64())
+            row = {
+                "chunk": chunk, "n_texts": batch.num_rows, "n_bytes": len(data), "ids": tv.pack(ids.fill_null(0).to_numpy(zero_copy_only=False)),
+                "no_id": tv.pack(np.asarray(ids.is_null()).astype(np.uint8)), "offsets": tv.pack(offsets), "texts": pa.compress(pa.py_buffer(data), codec="zstd", asbytes=True),
+            }
+            yield pa.RecordBatch.from_pylist([row])
+
+    return saved(texts_of(docs, "doc_id").mapInArrow(pack, _TEXTS), bucket="chunk")
+
+
+def texts_in(row: pa.RecordBatch) -> tuple[pa.Array, pa.Array]:
+    """(ids, texts) of a row of text_chunks()."""
+    get = lambda c: row.column(c)[0].as_py()
+    offsets = tv.unpack(get("offsets"), np.int64)
+    data = pa.decompress(get("texts"), decompressed_size=int(offsets[-1]), codec="zstd")
+    texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets)), data])
+    return pa.array(tv.unpack(get("ids"), np.int64), mask=tv.unpack(get("no_id"), np.uint8).astype(bool)), texts
+
+
 def texts_of(df: DataFrame, *columns: str) -> DataFrame:
     """Only the columns asked for; text as a string, null as empty."""
     return df.select(*columns, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -85,7 +117,7 @@ TALLY_IN = "chunk long, bucket int, keys binary, counts binary"
 _TALLY_OUT = "chunk long, bucket int, totals binary"
 
 
-def buckets_for(items: int, each: int = 3_000_000) -> int:
+def buckets_for(items: int, each: int = 1_000_000) -> int:
     """How many ranges of hashes to count apart, so that one holds about `each` entries."""
     return max(8, math.ceil(items / each))
 
@@ -199,21 +231,48 @@ def map_rows(fn: Callable[[dict], Iterator[pa.RecordBatch] | list[pa.RecordBatch
 # ---- connected components ------------------------------------------------------------
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node with an edge; root is the component's smallest node.
+def _forest(batches):
+    """The edges of a partition as a forest: (u, v) with v the smallest node that u is connected to here."""
+    parent: dict = {}
+
+    def top(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
 
-    Alternates the large-star and small-star steps (Kiveris et al., 2014) until the edges
-    stay as they are. No step needs the neighbours of one node together: minima are
-    partial aggregates and the joins are ones whose skewed partitions can be split.
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            parent.setdefault(a, a)
+            parent.setdefault(b, b)
+            a, b = top(a), top(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    pairs = [(x, top(x)) for x in parent]
+    pairs = [(x, r) for x, r in pairs if x != r]
+    for i in range(0, len(pairs), 100_000):
+        u, v = zip(*pairs[i : i + 100_000], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", each: int = 500_000, most_rounds: int = 60) -> DataFrame:
+    """(node, root) for every node (binary) with an edge to another; root is the component's smallest node.
+
+    Partitions of about `each` edges become forests where they are; one partition is done
+    with that. The forests of several are joined by the large-star and small-star steps
+    (Kiveris et al., 2014) until the edges stay as they are. No step needs the neighbours
+    of one node together: minima are partial aggregates, and the joins are ones whose
+    skewed partitions can be split.
     """
-    edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
-    edges = saved(edges)
+    edges = saved(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v"))
+    parts = max(1, math.ceil(edges.count() / each))
+    edges = saved((edges.repartition(parts) if parts > 1 else edges.coalesce(1)).mapInArrow(_forest, "u binary, v binary"))
     before = None
-    for _ in range(most_rounds):
+    for _ in range(most_rounds if parts > 1 else 0):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         # large star: neighbours above u go to the least of u and its neighbours
-        large = saved(both.join(low, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = saved(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = saved(large.groupBy("u").agg(F.min("v").alias("m")))
         # small star: neighbours below u, and u itself, go to the least of them
         linked = large.join(low, "u")
@@ -224,5 +283,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
             break
         before = now
     else:
-        raise RuntimeError("components: no end after the allowed rounds")
+        if parts > 1:
+            raise RuntimeError("components: no end after the allowed rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

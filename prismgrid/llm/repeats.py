@@ -23,10 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismgrid.llm import textvec as tv
-from prismgrid.llm.common import answers, asks, buckets_for, chunked, distinct, map_rows, saved, tally, texts_of, totals
+from prismgrid.llm.common import answers, asks, buckets_for, distinct, map_rows, tally, text_chunks, texts_in, totals
 
-WORDS, CHUNK = 35, 4 << 20
-_CHUNKS = "chunk long, n_words long, ids array<long>, texts array<string>"
+WORDS, CHUNK = 35, 2 << 20
 
 
 def levels(n: int) -> list[int]:
@@ -37,59 +36,63 @@ def levels(n: int) -> list[int]:
     return [*out, n]
 
 
-def _chunks(batches):
-    kind = pa.list_(pa.string())
-    for chunk, batch in chunked(batches, CHUNK):
-        w = tv.split(batch.column("text"), hashed=False)
-        yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([len(w.starts)]), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([batch.column("text").to_pylist()], kind)], ["chunk", "n_words", "ids", "texts"])
-
-
 def _least(h: np.ndarray, m: int) -> np.ndarray:
     """For each place the place of the smallest of m values from there on, the leftmost if there are several."""
-    at, size = np.arange(len(h)), 1
-    while 2 * size <= m:
-        a, b = at[:-size], at[size:]
-        at, size = np.where(h[a] <= h[b], a, b), 2 * size
-    if size < m:
-        a, b = at[: len(h) - m + 1], at[m - size :]
-        at = np.where(h[a] <= h[b], a, b)
+    at, size = np.arange(len(h), dtype=np.int32), 1
+    while size < m:
+        step = min(size, m - size)
+        left = h[:-step] <= h[step:]
+        h, at, size = np.where(left, h[:-step], h[step:]), np.where(left, at[:-step], at[step:]), size + step
     return at
 
 
-def _parts(hashes: np.ndarray, alive: np.ndarray, n: int, size: int, second: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(the part that stands for each alive window, hashes of all parts of this size)."""
-    h = tv.gram(tv.fmix(hashes + np.uint64(0x2545F4914F6CDD1D)) if second else hashes, size)
-    return (alive, h) if size == n else (_least(h, n - size + 1)[alive], h)
-
-
 class _Chunk:
-    """A chunk's windows, judged level by level."""
+    """A chunk's windows, judged level by level. Texts without windows left are not looked at again."""
 
     def __init__(self, row: pa.RecordBatch, n: int):
         self.n, self.number = n, row.column("chunk")[0].as_py()
-        self.ids, self.texts = row.column("ids").flatten(), row.column("texts").flatten()
-        self.words = tv.split(self.texts)
-        self.alive = self.words.windows(n)
+        self.ids, texts = texts_in(row)
+        self.words = tv.split(texts)
+        self.hashes, self.index = self.words.hashes, None
+        self.alive = self.words.windows(n).astype(np.int32)
+        self._drop()
+
+    def _drop(self) -> None:
+        """Leaves out the words of texts without windows: hashes holds the rest, index their places."""
+        w = self.words
+        place = self.alive if self.index is None else self.index[self.alive]
+        live = np.zeros(len(w.first) - 1, bool)
+        live[np.searchsorted(w.first, place, "right") - 1] = True
+        keep = np.repeat(live, w.counts)
+        self.index = np.flatnonzero(keep).astype(np.int32)
+        self.hashes = w.hashes[self.index]
+        self.alive = (np.cumsum(keep, dtype=np.int32) - 1)[place]
 
     def ask(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct keys, their counts, place of each alive window's key)."""
-        size = levels(self.n)[level]
-        part, h = _parts(self.words.hashes, self.alive, self.n, size, level == len(levels(self.n)) - 1)
+        """(distinct keys, their counts, key of each alive window)."""
+        size, last = levels(self.n)[level], level == len(levels(self.n)) - 1
+        if not len(self.alive):
+            return self.hashes[:0], np.zeros(0, np.int64), self.hashes[:0]
+        h = tv.gram(tv.fmix(self.hashes + np.uint64(0x2545F4914F6CDD1D)) if last else self.hashes, size)
+        part = self.alive if size == self.n else _least(h, self.n - size + 1)[self.alive]
         chosen = np.zeros(len(h), bool)
         chosen[part] = True
-        keys, counts = distinct(h[chosen])
-        return keys, counts, part if not len(part) else np.searchsorted(keys, h[part])
+        return *distinct(h[chosen]), h[part]
 
     def judge(self, level: int, blobs) -> None:
-        if len(self.alive):
-            _, _, place = self.ask(level)
-            self.alive = self.alive[totals(blobs)[place] > 1]
+        """Leaves the windows whose part is in more than one place."""
+        keys, _, own = self.ask(level)
+        if len(own):
+            twice = keys[totals(blobs) > 1]
+            at = np.minimum(np.searchsorted(twice, own), len(twice) - 1) if len(twice) else None
+            self.alive = self.alive[twice[at] == own] if len(twice) else self.alive[:0]
+            self._drop()
 
     def removed(self) -> np.ndarray:
         """Whether each word is covered by a window that is left."""
-        step = np.zeros(len(self.words.starts) + 1, np.int64)
-        step[self.alive] += 1
-        np.subtract.at(step, self.alive + self.n, 1)
+        step, at = np.zeros(len(self.words.starts) + 1, np.int32), self.index[self.alive]
+        step[at] += 1
+        np.subtract.at(step, at + self.n, 1)
         return np.cumsum(step[:-1]) > 0
 
     def kept(self) -> tuple[np.ndarray, pa.Array, pa.Array]:
@@ -139,9 +142,8 @@ def remove_repeats(docs: DataFrame, n: int = WORDS) -> DataFrame:
     texts of fewer than n words lose nothing. Repeated rows repeat each other, whatever
     their ids are; every row gives one row. Columns other than doc_id and text are ignored.
     """
-    rows = texts_of(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
-    chunks = saved(rows.mapInArrow(_chunks, _CHUNKS), bucket="chunk")
-    words = int(chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0])
+    chunks = text_chunks(docs, CHUNK)
+    words = int(chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]) // 5  # about
     judged, sizes = chunks, levels(n)
     asked_by = "chunk long, bucket int, keys binary, counts binary"
     for level, size in enumerate(sizes):
