@@ -28,7 +28,7 @@ from prismgrid.llm import textvec as tv
 from prismgrid.llm.common import about, answers, asks, buckets_for, chunked, map_rows, saved, tally, texts_of, totals
 
 #: Order of the model, the m of each order above the first, and text bytes in a chunk.
-ORDER, STRENGTH, CHUNK = 2, 100.0, 8 << 20
+ORDER, STRENGTH, CHUNK = 2, 100.0, 4 << 20
 _END, _START = (int(x) for x in tv.fmix(np.array([11, 13], np.uint64)))
 
 _CHUNKS = "chunk long, n_tokens long, n_train long, n_texts long, n_keys long, ids binary, no_id binary, held binary, counts binary, keys binary, codes binary"
