@@ -28,11 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from prismgrid.llm import textvec as tv
-from prismgrid.llm.common import answers, asks, buckets_for, chunked, components, distinct, map_rows, owners, saved, tally, texts_of, totals
+from prismgrid.llm.common import answers, asks, buckets_for, components, distinct, map_rows, owners, saved, tally, text_chunks, texts_in, totals
 
 #: Values of a sketch; nodes of a list whose pairs are all candidates; nodes of a block.
-SKETCH, SHORT, NODES, CHUNK = 256, 12, 256, 4 << 20
-_CHUNKS = "chunk long, n_words long, ids array<long>, texts array<string>"
+SKETCH, SHORT, NODES, CHUNK = 256, 12, 256, 2 << 20
 _ASKED = "chunk long, bucket int, keys binary, counts binary"
 
 
@@ -65,18 +64,13 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int, k: int = SKETCH) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _chunks(batches):
-    for chunk, batch in chunked(batches, CHUNK):
-        w = tv.split(batch.column("text"), hashed=False)
-        yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([len(w.starts)]), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([batch.column("text").to_pylist()], pa.list_(pa.string()))], ["chunk", "n_words", "ids", "texts"])
-
-
 class _Chunk:
     """A chunk's shingle sets and their fingerprints."""
 
     def __init__(self, row: pa.RecordBatch, words: int):
-        self.number, self.ids = row.column("chunk")[0].as_py(), row.column("ids").flatten()
-        self.text, self.shingle, self.size, self.prints, _ = _sets(row.column("texts").flatten(), words)
+        self.number = row.column("chunk")[0].as_py()
+        self.ids, texts = texts_in(row)
+        self.text, self.shingle, self.size, self.prints, _ = _sets(texts, words)
         self.cut = np.concatenate([[0], np.cumsum(self.size)])
         self.keys, first = np.unique(self.prints[:, 0], return_index=True)
         on = self.size[first] > 0  # without shingles: no node
@@ -126,16 +120,15 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, k: int = SKETCH)
     one through any number of links of at least percent/100; null ids are left out of
     account. Rows with the same id are rows of their own. Extra columns are ignored.
     """
-    rows = texts_of(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
-    chunks = saved(rows.mapInArrow(_chunks, _CHUNKS), bucket="chunk")
-    size = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"), F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("docs")).first()
+    chunks = text_chunks(docs, CHUNK)
+    size = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("n_texts"), F.lit(0)).alias("docs")).first()
 
     def listed(row):
         c = _Chunk(row, words)
         nodes = _nodes(c.prints)
         yield pa.RecordBatch.from_arrays([c.ids, pa.array(c.size.astype(np.int64)), pa.array(nodes.to_pylist(), pa.binary(), mask=c.size == 0)], ["doc_id", "n_shingles", "node"])
 
-    every = saved(chunks.select("chunk", "ids", "texts").mapInArrow(map_rows(listed), "doc_id long, n_shingles long, node binary"))
+    every = saved(chunks.mapInArrow(map_rows(listed), "doc_id long, n_shingles long, node binary"))
 
     def ask_prints(row):
         c = _Chunk(row, words)
@@ -143,7 +136,7 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, k: int = SKETCH)
 
     mine = answers(owners(chunks.mapInArrow(map_rows(ask_prints), _ASKED)), "own")
     chunks = chunks.join(mine, "chunk", "left")
-    buckets = buckets_for(min(size.words, k * size.docs))
+    buckets = buckets_for(min(size.bytes // 5, k * size.docs))
 
     def ask_values(row):
         c = _Chunk(row, words)
@@ -196,7 +189,7 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, k: int = SKETCH)
             some = at[a : a + 500]
             yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in some], pa.binary()), pa.array([c.shingle[c.cut[i] : c.cut[i + 1]].tobytes() for i in some], pa.binary())], ["node", "shingles"])
 
-    sets = saved(chunks.select("chunk", "ids", "texts").join(where, "chunk").mapInArrow(map_rows(whole), "node binary, shingles binary"))
+    sets = saved(chunks.drop("own").join(where, "chunk").mapInArrow(map_rows(whole), "node binary, shingles binary"))
 
     def verify(batches):
         for batch in batches:
@@ -235,7 +228,7 @@ def _blocks(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     nodes = nodes.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     nodes = nodes.select("group", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
-    def compare(key, table: pa.Table) -> pa.Table:
+    def compare(key, table):
         i, j = key[1].as_py(), key[2].as_py()
         names, root = table["node"].to_pylist(), table["root"].to_pylist()
         block = table["block"].to_numpy()
