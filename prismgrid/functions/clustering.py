@@ -98,8 +98,13 @@ def _bic(x: np.ndarray, mu: np.ndarray) -> float:
 
 
 def _x_means(x: np.ndarray, k: int, spec: FilterSpec, rng: np.random.Generator) -> np.ndarray:
-    """Clusters split in two while the Bayesian information criterion improves, up to k."""
+    """Two clusters, each split in two while the Bayesian information criterion improves, up to k.
+
+    From two on: of evenly spread clusters the first split alone gains nothing by that criterion.
+    """
     mu = x.mean(0, keepdims=True)
+    if min(k, len(x)) > 1:
+        mu, _ = _lloyd(x, _seed_pp(x, 2, rng, spec.trials), spec.iterations)
     while len(mu) < k:
         of, out = distances(x, mu).argmin(1), []
         for i, centre in enumerate(mu):

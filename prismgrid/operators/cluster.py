@@ -91,9 +91,10 @@ def plus_plus(px: DataFrame, k: int, seed: int = 0, trials: int = 3, column: str
     return mu
 
 
-def uniform_cells(px: DataFrame, size: float, k: int, column: str = "g", dims: int = 2) -> DataFrame:
+def uniform_cells(px: DataFrame, size: float, k: int, column: str = "g", dims: int = 2, origin: list[float] | None = None) -> DataFrame:
     """cell (its index along each channel as one string), n, mu: the k fullest cells of a grid of this size."""
-    cell = F.concat_ws(",", *(F.floor(F.get(column, c) / F.lit(float(size))).cast("long").cast("string") for c in range(dims)))
+    at = origin or [0.0] * dims
+    cell = F.concat_ws(",", *(F.floor((F.get(column, c) - F.lit(float(at[c]))) / F.lit(float(size))).cast("long").cast("string") for c in range(dims)))
     sums = px.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), *(F.avg(F.get(column, c)).alias(f"_m{c}") for c in range(dims)))
     return sums.orderBy(F.desc("n"), "cell").limit(k).select("cell", "n", F.array(*(F.col(f"_m{c}") for c in range(dims))).alias("mu"))
 
@@ -146,12 +147,13 @@ def fit(px: DataFrame, method: Cluster, k: int, iterations: int = 10, seed: int
     if method == Cluster.RANDOM_SAMPLE:
         return random_sample(px, k, seed, column)
     if method == Cluster.QUANTIZE_DIV:
-        edge = [F.max(F.get(column, c)) - F.min(F.get(column, c)) for c in range(dims)]
-        span = max(v or 0 for v in px.agg(*edge).first()) or 1.0
+        edge = px.agg(*(f(F.get(column, c)) for f in (F.min, F.max) for c in range(dims))).first()
+        low = [v or 0.0 for v in edge[:dims]]
+        span = max((b or 0.0) - a for a, b in zip(low, edge[dims:], strict=True)) * (1 + 1e-9) or 1.0
         per = 1
         while per**dims < k:
             per += 1
-        return [list(r.mu) for r in uniform_cells(px, span / per, k, column, dims).collect()]
+        return [list(r.mu) for r in uniform_cells(px, span / per, k, column, dims, low).collect()]
     if method in (Cluster.MEDIANCUT_MEDIAN, Cluster.QUANTIZE_WAN, Cluster.KMEANS_MEDIANCUT, Cluster.KMEANS_WAN):
         median = method in (Cluster.MEDIANCUT_MEDIAN, Cluster.KMEANS_MEDIANCUT)
         mu = box_centres(px, cut_boxes(px, k, median, column, dims), median, column, dims)

@@ -478,12 +478,13 @@ def pca_covariance(spark, sf_dir):
     return m.select(*(F.round(v, 4).alias(f"m{i}") for i, v in enumerate(mean)), *(v.alias(k) for k, v in cov.items()))
 
 
-@_query(f"WITH {_GRID}, t AS (SELECT g0, g1, CAST(y // (h // 5) AS INTEGER) AS tj, CAST(x // 20 AS INTEGER) AS ti FROM g CROSS JOIN s) SELECT tj, ti, round(covar_pop(g0, g0), 3) AS c00, round(covar_pop(g0, g1), 3) AS c01, round(covar_pop(g1, g1), 3) AS c11 FROM t GROUP BY tj, ti")
+@_query(f"WITH {_GRID}, t AS (SELECT g0, g1, CAST(y // (h // 5) AS INTEGER) AS tj, CAST(x // 20 AS INTEGER) AS ti FROM g CROSS JOIN s) SELECT tj, ti, round(sqrt(covar_pop(g0, g0)), 5) AS s0, round(sqrt(covar_pop(g1, g1)), 5) AS s1, round(covar_pop(g0, g1) / sqrt(covar_pop(g0, g0) * covar_pop(g1, g1)), 5) AS r FROM t GROUP BY tj, ti")
 def tile_covariance(spark, sf_dir):
-    """Covariance of the guide in each of 5 x 5 tiles."""
+    """Covariance of the guide in each of 5 x 5 tiles, as deviations and correlation."""
     rows = with_tiles(events_grid(spark, sf_dir), 0, divisions=(5, 5))
     g = [F.get("g", i) for i in range(2)]
-    return rows.groupBy("tj", "ti").agg(*(F.round(F.covar_pop(g[i], g[j]), 3).alias(f"c{i}{j}") for i, j in ((0, 0), (0, 1), (1, 1))))
+    v = [F.covar_pop(c, c) for c in g]
+    return rows.groupBy("tj", "ti").agg(*(F.round(F.sqrt(v[i]), 5).alias(f"s{i}") for i in range(2)), F.round(F.covar_pop(*g) / F.sqrt(v[0] * v[1]), 5).alias("r"))
 
 
 @_query(f"WITH {_GRID}, m AS (SELECT avg(g0) AS a, avg(g1) AS b, covar_pop(g0, g0) AS p, covar_pop(g0, g1) AS q, covar_pop(g1, g1) AS r FROM g), l AS (SELECT *, (p + r) / 2 + sqrt((p - r) * (p - r) / 4 + q * q) AS l1 FROM m) SELECT round(l1, 3) AS l1, round(p + r - l1, 3) AS l2 FROM l")
