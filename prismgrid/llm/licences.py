@@ -73,7 +73,7 @@ RULES = (
 # Fixed value: every known sentence has one of these.
 HINT = r"(?i)licen[sc]|copyright|permission|rights reserved|redistribution|public domain|as[ -]is|may not use this|neither the name|later version|spdx"
 
-_CUT = re.compile(r"(?<=[.!?;:])\s+|[\n\r]+")
+_CUT = re.compile(r"(?<=[.!?;:])(?<!Identifier:)\s+|[\n\r]+")
 _DROP = re.compile(r"[^\w.+]+|_+|(?<!\d)\.|\.(?!\d)")
 _HINTED, _KNOWN = re.compile(HINT), tuple((name, re.compile(p)) for name, p in SENTENCES)
 

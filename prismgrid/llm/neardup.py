@@ -275,19 +275,24 @@ def _blocks(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row of each class of groups(), that with the smallest doc_id, with the columns of docs; rows without words all stay."""
+    free = "_"
+    while any(c.startswith(free) for c in docs.columns):  # names that the columns of docs do not have
+        free += "_"
+    ident, node, name = f"{free}id", f"{free}of", f"{free}node"
     found = groups(docs, words, percent)
-    stay = found.where("node is not null and (doc_id <=> component_id)").select(F.col("doc_id").alias("_id"), F.col("node").alias("_of")).distinct()
+    stay = found.where("node is not null and (doc_id <=> component_id)").select(F.col("doc_id").alias(ident), F.col("node").alias(node)).distinct()
+    docs = docs.withColumn("text", F.col("text").cast("string"))
     at = docs.columns.index("text")
 
     def named(batches):
         for batch in batches:
             for piece in tv.slices(batch):
                 _, _, size, prints, _ = _sets(piece.column(at), words)
-                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(_nodes(prints).to_pylist(), pa.binary(), mask=size == 0)], [*piece.schema.names, "_node"])
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(_nodes(prints).to_pylist(), pa.binary(), mask=size == 0)], [*piece.schema.names, name])
 
-    rows = docs.withColumn("text", F.col("text").cast("string")).mapInArrow(named, StructType([*docs.schema.fields, StructField("_node", BinaryType())]))
-    empty = rows.where("_node is null").drop("_node")
-    kept = rows.join(saved(stay), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_node") == F.col("_of"))).dropDuplicates(["_id", "_of"])
+    rows = docs.mapInArrow(named, StructType([*docs.schema.fields, StructField(name, BinaryType())]))
+    empty = rows.where(F.col(name).isNull()).drop(name)
+    kept = rows.join(saved(stay), F.col("doc_id").eqNullSafe(F.col(ident)) & (F.col(name) == F.col(node))).dropDuplicates([ident, node])
     return kept.select(*docs.columns).unionByName(empty)
 
 

@@ -78,6 +78,7 @@ class Model:
     bias: float
     slope: float
     shift: float
+    known: bool = True  # fitted on rows of both classes
 
     def margins(self, text: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
         total = np.bincount(text, self.weights[feature], n)
@@ -114,7 +115,7 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: i
     n = 1 << BITS
     y = np.where(labels > 0, 1.0, -1.0)
     if not len(y) or (y == y[0]).all():
-        return Model(np.zeros(n), np.ones(n), 0.0, 0.0, 0.0 if not len(y) else 4.0 * y[0])
+        return Model(np.zeros(n), np.ones(n), 0.0, 0.0, 0.0 if not len(y) else 4.0 * y[0], known=False)
     order = np.random.default_rng(seed).permutation(len(y))
     held = order[: len(y) // 5] if len(y) >= 50 else order
     train = order[len(y) // 5 :] if len(y) >= 50 else order
@@ -179,14 +180,20 @@ def score(docs: DataFrame, model: Model, columns: list[str], schema: str) -> Dat
 
 
 def rejects(spark, docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """docs without the rows whose score is below the threshold, with the columns it came with."""
+    """docs without the rows whose score is below the threshold, with the columns it came with.
+
+    Where the labels do not have rows of both classes, nothing is known and all rows stay.
+    """
     model = train(docs, labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
+    if not model.known:
+        return docs
     held = spark.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
+            at = batch.schema.get_field_index("text")
             for piece in tv.slices(batch):
-                yield piece.filter(pa.array(held.value.scores(piece.column("text")) >= threshold))
+                yield piece.filter(pa.array(held.value.scores(piece.column(at)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 

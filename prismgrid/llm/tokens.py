@@ -374,7 +374,7 @@ def write(docs: DataFrame, tokenizer: str, end: int = END, shard: int = SHARD, o
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq - 1], pa.int32()), "n_tokens": pa.array([len(tokens)], pa.int64()), "file": pa.array([file], pa.binary())})
 
         for batch in batches:
-            for piece in tv.slices(batch):
+            for piece in tv.slices(batch, most=min(tv.SLICE_BYTES, 4 * shard)):
                 tokens, counts = coder.encode(piece.column("text"), end)
                 held_ids.append(piece.column("doc_id").cast(pa.int64()))
                 held_counts.append(counts)

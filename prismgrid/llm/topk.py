@@ -1,6 +1,6 @@
 """Exact top-k inner-product search with multi-resolution segment statistics.
 
-Vectors are cut into 1, 4, 16, ... equal segments. From the mean m and the standard
+Vectors are cut into 1, 4, 16 and 32 equal segments. From the mean m and the standard
 deviation s of each segment of two vectors, the squared distance is at least
 len * sum((m1-m2)^2 + (s1-s2)^2), and so the inner product (|a|^2 + |b|^2 - d^2) / 2 is at
 most len * sum(m1*m2 + s1*s2). Resolutions run from coarse to fine; a pair goes on only
@@ -36,7 +36,7 @@ def usable(vector: Column) -> Column:
 
 
 def _levels(dim: int) -> list[int]:
-    out = [n for n in (1, 4, 16, 64) if dim % n == 0 and n * 2 <= dim]
+    out = [n for n in (1, 4, 16, 32) if dim % n == 0 and n * 2 <= dim]
     return out or ([1] if dim else [])
 
 
@@ -66,16 +66,25 @@ def best_in_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarr
         return none, none, none, 0
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
-    # a floor for each query: k rows of different ids that score well at the coarsest look, other than its own
-    _, first = np.unique(ids, return_index=True)
-    seeds = first[np.argsort(-np.einsum("ij,ij->i", x[first].astype(float), x[first].astype(float)), kind="stable")[: 4 * (k + 1)]]
-    score = _products(q, x[seeds]).astype(float)
-    score[q_ids[:, None] == ids[seeds][None, :]] = -np.inf
-    floor = np.sort(score, axis=1)[:, -k] if len(seeds) >= k else np.full(len(q), -np.inf)
     alive = q_ids[:, None] != ids[None, :]
+    floor = np.full(len(q), -np.inf)
+    slack = 1e-6 + 1e-9 * np.linalg.norm(q.astype(float), axis=1) * np.linalg.norm(x.astype(float), axis=1).max()  # for rounding
+    few = np.unique(ids, return_counts=True)[1].max() + k  # so many rows have k different ids at least
     for parts in _levels(x.shape[1]):
         bound = _stats(q.astype(float), parts) @ _stats(x.astype(float), parts).T
-        alive &= bound * (1 + 1e-9) + 1e-6 * (1 + np.abs(bound)) >= floor[:, None]
+        bound += slack[:, None]
+        bound[~alive] = -np.inf
+        if len(ids) > few:  # the most promising rows, exactly: the k-th best of different ids is a floor
+            seeds = np.argpartition(-bound, few, axis=1)[:, : few + 1]
+            score = np.einsum("qd,qsd->qs", q.astype(float), x[seeds].astype(float))
+            ok = np.isfinite(np.take_along_axis(bound, seeds, 1))
+            for i in range(len(q)):
+                best: dict = {}
+                for c, v in zip(ids[seeds[i, ok[i]]].tolist(), score[i, ok[i]].tolist(), strict=True):
+                    best[c] = max(best.get(c, -np.inf), v)
+                if len(best) >= k:
+                    floor[i] = max(floor[i], sorted(best.values())[-k] - slack[i])
+        alive &= bound >= floor[:, None]
     qi, xi = np.nonzero(alive)
     if not len(qi):
         return none, none, none, 0
