@@ -84,22 +84,29 @@ def kd_tree(p: np.ndarray, f: np.ndarray, diagonal: float = 1.0, reach: float =
         stack += [at[~left], at[left]]
     mu = np.array([p[at].mean(0) for at in leaves])
     ones = np.concatenate([f, np.ones((len(p), 1))], axis=1)
-    v = np.zeros((len(mu), ones.shape[1]))
+    c = int(np.argmax(np.ptp(p, axis=0)))  # only leaves in reach along the longest side are looked at
+    mu = mu[np.argsort(mu[:, c], kind="stable")]
 
-    def weights(a: np.ndarray, var: float) -> np.ndarray:
-        d = np.maximum((a * a).sum(1)[:, None] + (mu * mu).sum(1)[None, :] - 2 * a @ mu.T, 0)
-        return np.where(d <= reach * reach * var, np.exp(-d / (2 * var)), 0)
+    def near(a: np.ndarray, var: float):
+        """(rows of a, leaves, their weights) in pieces; a pixel's own leaf is always in reach."""
+        order = np.argsort(a[:, c], kind="stable")
+        far = reach * np.sqrt(var)
+        for i in range(0, len(a), 512):
+            rows = order[i : i + 512]
+            x = a[rows]
+            lo, hi = np.searchsorted(mu[:, c], [x[0, c] - far, x[-1, c] + far])
+            m = mu[lo:hi]
+            d = np.maximum((x * x).sum(1)[:, None] + (m * m).sum(1)[None, :] - 2 * x @ m.T, 0)
+            yield rows, slice(lo, hi), np.where(d <= far * far, np.exp(-d / (2 * var)), 0)
 
-    step = max(1, 4_000_000 // max(1, len(mu)))
-    for a in range(0, len(p), step):
-        w = weights(p[a : a + step], 0.25)
-        w[np.arange(len(w)), w.argmax(1)] += 1e-9  # a pixel has its nearest leaf at least
-        v += (w / w.sum(1, keepdims=True)).T @ ones[a : a + step]
-    v = np.concatenate([weights(mu[a : a + step], 0.5) @ v for a in range(0, len(mu), step)])
+    v = np.zeros((len(mu), ones.shape[1]))
+    for rows, at, w in near(p, 0.25):
+        v[at] += (w / np.maximum(w.sum(1, keepdims=True), 1e-300)).T @ ones[rows]
+    blurred = np.zeros_like(v)
+    for rows, at, w in near(mu, 0.5):
+        blurred[rows] = w @ v[at]
     out = np.empty_like(f)
-    for a in range(0, len(p), step):
-        w = weights(p[a : a + step], 0.25)
-        w[np.arange(len(w)), w.argmax(1)] += 1e-9
-        o = w @ v
-        out[a : a + step] = o[:, :-1] / np.maximum(o[:, -1:], 1e-12)
+    for rows, at, w in near(p, 0.25):
+        o = w @ blurred[at]
+        out[rows] = o[:, :-1] / np.maximum(o[:, -1:], 1e-300)
     return out
