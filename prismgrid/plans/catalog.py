@@ -10,14 +10,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismgrid.functions.metrics import psnr, statistics
-from prismgrid.model import Border, Cluster, FilterSpec, Sampler, Smoother, Variant
+from prismgrid.model import Border, Cluster, FilterSpec, Sampler, Signal, Smoother, Variant
 from prismgrid.operators import border, channels, cluster, exact, pca, resample, sampling
 from prismgrid.operators.approximate import cluster_filter, kd_tree_filter, kernel_eigenvalues, lattice_filter, tile_centres
 from prismgrid.operators.patches import im2col
 from prismgrid.operators.spatial import gaussian
 from prismgrid.operators.tiling import from_tiles, tile_index, to_tiles, with_tiles
 from prismgrid.plans.methods import run_cell, run_method
-from prismgrid.sources.grid import events_grid
+from prismgrid.sources.grid import events_grid, part_grid
+from prismgrid.sources.images import stacked
+from prismgrid.sources.scenes import framed
 
 SS, SR, R = 3.0, 40.0, 3
 _LAMBDA = 0.05
@@ -527,6 +529,125 @@ def gain_vs_baseline(spark, sf_dir):
     return med.withColumn("gain", F.round(F.col("median") - at, 6)).where("gain is not null").select("method", "k", "gain")
 
 
+def _basis(group: str = "") -> str:
+    """SQL of the first component of two channels (v0, v1), by the closed form, for each group."""
+    by = f"{group}, " if group else ""
+    tail = f" GROUP BY {group}" if group else ""
+    return f"""cm AS (SELECT {by}covar_pop(g0, g0) AS p, covar_pop(g0, g1) AS q, covar_pop(g1, g1) AS r FROM t{tail}),
+cl AS (SELECT *, (p + r) / 2 + sqrt((p - r) * (p - r) / 4 + q * q) AS l1 FROM cm),
+cu AS (SELECT *, CASE WHEN abs(l1 - r) >= abs(l1 - p) THEN l1 - r ELSE q END AS a, CASE WHEN abs(l1 - r) >= abs(l1 - p) THEN q ELSE l1 - p END AS b FROM cl),
+cv AS (SELECT *, (CASE WHEN (CASE WHEN abs(a) >= abs(b) THEN a ELSE b END) < 0 THEN -1 ELSE 1 END) / sqrt(a * a + b * b) AS z FROM cu)"""
+
+
+@_query(f"WITH {_GRID}, t AS (SELECT * FROM g), {_basis()} SELECT y, x, round(g0 * a * z + g1 * b * z, 5) AS v FROM g CROSS JOIN cv")
+def pca_project(spark, sf_dir):
+    """The guide's first component over the whole image."""
+    return pca.project(events_grid(spark, sf_dir), 1).select("y", "x", F.round(F.get("g", 0), 5).alias("v"))
+
+
+@_query(f"WITH {_GRID}, t AS (SELECT g.*, CAST(y // (h // 5) AS INTEGER) AS tj, CAST(x // 20 AS INTEGER) AS ti FROM g CROSS JOIN s), {_basis('tj, ti')} SELECT y, x, round(g0 * a * z + g1 * b * z, 5) AS v FROM t JOIN cv USING (tj, ti)")
+def pca_project_tiles(spark, sf_dir):
+    """The guide's first component in each of 5 x 5 tiles."""
+    return pca.project_tiles(events_grid(spark, sf_dir), 1, divisions=(5, 5)).select("y", "x", F.round(F.get("f", 0), 5).alias("v"))
+
+
+@_query(f"WITH {_GRID}, t AS (SELECT * FROM g), {_basis()} SELECT 0 AS img_id, round(10 * log10(65025 / ((p + r - l1) / 2)), 5) AS psnr_db FROM cv")
+def pca_reconstruction_psnr(spark, sf_dir):
+    """The guide against its reconstruction from one component: what is lost is the second eigenvalue."""
+    return pca.reconstruction_psnr(events_grid(spark, sf_dir), 1).select("img_id", F.round("psnr_db", 5).alias("psnr_db"))
+
+
+_TILE_PCA = f"""WITH {_GRID}, zt AS (SELECT CAST(a.i AS INTEGER) AS tj, CAST(b.i AS INTEGER) AS ti FROM (SELECT unnest(range(0, 5)) AS i) a, (SELECT unnest(range(0, 5)) AS i) b),
+zp AS MATERIALIZED (
+  SELECT tj, ti, {_map("(tj * (h // 5) + a.d)", "h", Border.REFLECT101)} AS qy, {_map("(ti * 20 + b.d)", "w", Border.REFLECT101)} AS qx
+  FROM zt CROSS JOIN s JOIN (SELECT unnest(range(-8, 300)) AS d) a ON a.d < h // 5 + 8 CROSS JOIN (SELECT unnest(range(-8, 28)) AS d) b
+), tb AS (SELECT tj, ti, g0, g1 FROM zp JOIN g ON g.y = qy AND g.x = qx), {_basis("tj, ti").replace("FROM t ", "FROM tb ")}, {_taps(R)},
+n AS (SELECT t.*, CAST(y // (h // 5) AS INTEGER) AS tj, CAST(x // 20 AS INTEGER) AS ti FROM t CROSS JOIN s),
+m AS (SELECT n.y, n.x, n.f0, exp(-CAST(dy * dy + dx * dx AS DOUBLE) / {2 * SS * SS}::DOUBLE - pow(((g0 - p0) * a + (g1 - p1) * b) * z, 2) / {2 * SR * SR}::DOUBLE) AS wt FROM n JOIN cv USING (tj, ti))
+SELECT y, x, round(sum(wt * f0) / sum(wt), 5) AS v FROM m GROUP BY y, x"""
+
+
+@_query(_TILE_PCA)
+def hdgf_tile_pca(spark, sf_dir):
+    """The exact filter with each tile's guide reduced to its first component."""
+    out = exact.hdgf_tile_pca(events_grid(spark, sf_dir), sigma_space=SS, sigma_range=SR, pca_dim=1, radius=R, divisions=(5, 5))
+    return out.select("y", "x", F.round(F.get("f", 0), 5).alias("v"))
+
+
+# ---- sources, signals, sizes ---------------------------------------------------------
+
+
+def _halves(spark, sf_dir):
+    """The grid's even and odd lines as two images of one channel."""
+    px = events_grid(spark, sf_dir)
+    one = lambda k, c: px.where(F.col("y") % 2 == k).select("img_id", F.floor(F.col("y") / 2).cast("int").alias("y"), "x", F.slice("g", c, 1).alias("f"))
+    return one(0, 1), one(1, 2)
+
+
+@_query(f"WITH {_GRID} SELECT CAST(a.y // 2 AS INTEGER) AS y, a.x, round(a.g0, 6) AS f0, round(a.g0, 6) AS c0, round(b.g1 * 0.5::DOUBLE, 6) AS c1 FROM g a JOIN g b ON b.y = a.y + 1 AND b.x = a.x WHERE a.y % 2 = 0")
+def pair_images(spark, sf_dir):
+    """One image guided by itself and another, scaled by a half."""
+    a, b = _halves(spark, sf_dir)
+    out = channels.guided(a, b, Signal.RGBIR, 0.5)
+    return out.select("y", "x", F.round(F.get("f", 0), 6).alias("f0"), *(F.round(F.get("g", i), 6).alias(f"c{i}") for i in range(2)))
+
+
+@_query(f"WITH {_GRID} SELECT CAST(a.y // 2 AS INTEGER) AS y, a.x, round(b.g1, 6) AS f0, round(a.g0, 6) AS c0, round(b.g1 * 0.5::DOUBLE, 6) AS c1 FROM g a JOIN g b ON b.y = a.y + 1 AND b.x = a.x WHERE a.y % 2 = 0")
+def signal_depth(spark, sf_dir):
+    """The second image filtered, guided by both."""
+    a, b = _halves(spark, sf_dir)
+    out = channels.guided(a, b, Signal.RGBD, 0.5)
+    return out.select("y", "x", F.round(F.get("f", 0), 6).alias("f0"), *(F.round(F.get("g", i), 6).alias(f"c{i}") for i in range(2)))
+
+
+@_query(f"WITH {_GRID} SELECT CAST(a.y // 2 AS INTEGER) AS y, a.x, round(a.g0, 6) AS f0, round(b.g1, 6) AS c0, round(a.g0 * 0.5::DOUBLE, 6) AS c1 FROM g a JOIN g b ON b.y = a.y + 1 AND b.x = a.x WHERE a.y % 2 = 0")
+def signal_flash(spark, sf_dir):
+    """The first image filtered, guided by the second and itself."""
+    a, b = _halves(spark, sf_dir)
+    out = channels.guided(a, b, Signal.FNF, 0.5)
+    return out.select("y", "x", F.round(F.get("f", 0), 6).alias("f0"), *(F.round(F.get("g", i), 6).alias(f"c{i}") for i in range(2)))
+
+
+@_query(f"WITH {_GRID} SELECT a.y % 2 AS y, a.x, round(a.f0, 6) AS c0, round(b.f0, 6) AS c1, round(c.f0, 6) AS c2 FROM g a JOIN g b ON b.y = a.y + 2 AND b.x = a.x JOIN g c ON c.y = a.y + 4 AND c.x = a.x WHERE a.y < 2")
+def stack_bands(spark, sf_dir):
+    """Three images of one channel as one image of three."""
+    px = events_grid(spark, sf_dir).where("y < 6").withColumn("band", F.floor(F.col("y") / 2)).withColumn("y", F.col("y") % 2)
+    return stacked(px, F.col("band")).select("y", "x", *(F.round(F.get("f", i), 6).alias(f"c{i}") for i in range(3)))
+
+
+@_query(f"""WITH {_GRID}, zm AS MATERIALIZED (SELECT g.y, g.x, 2 + {_map("(g.y - 2)", "(h - 4)", Border.REFLECT101)} AS qy, 2 + {_map("(g.x - 2)", "(w - 4)", Border.REFLECT101)} AS qx FROM g CROSS JOIN s)
+SELECT zm.y, zm.x, round(q.f0, 6) AS v FROM zm JOIN g q ON q.y = qy AND q.x = qx""")
+def frame_anew(spark, sf_dir):
+    """The image without two pixels at the edges, which are then made by reflection."""
+    return _value(framed(events_grid(spark, sf_dir), 2, (_height(spark, sf_dir), 100)))
+
+
+@_query("SELECT CAST(event_id AS INTEGER) AS n, CAST(event_id // 32 * 32 AS INTEGER) AS low, CAST((event_id + 7) // 8 * 8 AS INTEGER) AS high FROM events")
+def round_sizes(spark, sf_dir):
+    """Sizes rounded down to multiples of 32 and up to multiples of 8."""
+    n = F.col("event_id")
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(n.cast("int").alias("n"), channels.floor_to(n, 32).cast("int").alias("low"), channels.ceil_to(n, 8).cast("int").alias("high"))
+
+
+@_query(f"WITH {_GRID} SELECT y, x, round(f0, 6) AS c0, round(f0, 6) AS c1, round(f0, 6) AS c2 FROM g")
+def gray_to_color(spark, sf_dir):
+    """One channel in three."""
+    out = channels.replicate(F.get("f", 0))
+    return events_grid(spark, sf_dir).select("y", "x", *(F.round(F.get(out, i), 6).alias(f"c{i}") for i in range(3)))
+
+
+@_query(f"WITH {_GRID} SELECT y, x, round(f0, 6) AS v FROM g")
+def method_copy(spark, sf_dir):
+    """The method that filters nothing."""
+    return _value(run_method(-1, events_grid(spark, sf_dir), _SPEC))
+
+
+@_query("SELECT CAST(p_partkey // 20 AS INTEGER) AS y, CAST(p_partkey % 20 AS INTEGER) AS x, CAST(p_size AS DOUBLE) AS c0, round(p_retailprice, 6) AS c1 FROM part")
+def table_as_grid(spark, sf_dir):
+    """Another table as an image of two channels."""
+    return part_grid(spark, sf_dir).select("y", "x", F.get("f", 0).alias("c0"), F.round(F.get("f", 1), 6).alias("c1"))
+
+
 # ---- what SQL cannot express ---------------------------------------------------------
 
 _SPEC = FilterSpec(sigma_space=SS, sigma_range=SR, divisions=(5, 5), k=8, iterations=5)
@@ -546,12 +667,8 @@ _free("sample_dither_gradient", lambda s, d: _value(sampling.dither(events_grid(
 _free("sample_dither_dog", lambda s, d: _value(sampling.dither(events_grid(s, d), 0.25, by_dog=True, sigma=1.0, divisions=(5, 5))))
 _free("sample_importance", lambda s, d: _value(sampling.importance(events_grid(s, d), 0.25)))
 _free("sample_cubic", lambda s, d: _value(sampling.cubic(events_grid(s, d), 0.25, divisions=(5, 5))))
-_free("hdgf_tile_pca", lambda s, d: _value(exact.hdgf_tile_pca(events_grid(s, d), sigma_space=SS, sigma_range=SR, pca_dim=1, divisions=(5, 5))))
-_free("pca_project", lambda s, d: _value(pca.project(events_grid(s, d), 1), column="g"))
-_free("pca_project_tiles", lambda s, d: _value(pca.project_tiles(events_grid(s, d), 1, divisions=(5, 5))))
 _free("patch_pca", lambda s, d: _value(pca.patch_pca(events_grid(s, d), 1, 3), column="g"))
 _free("patch_pca_tiles", lambda s, d: _value(pca.patch_pca_tiles(events_grid(s, d), 1, 3, divisions=(5, 5))))
-_free("pca_reconstruction_psnr", lambda s, d: pca.reconstruction_psnr(events_grid(s, d), 1).select("img_id", "psnr_db"))
 _free("lattice", lambda s, d: _value(lattice_filter(events_grid(s, d), _SPEC)))
 _free("lattice_tile_pca", lambda s, d: _value(lattice_filter(events_grid(s, d), _SPEC, pca_dim=1)))
 _free("kd_tree", lambda s, d: _value(kd_tree_filter(events_grid(s, d), _SPEC.but(sigma_space=2.0))))
