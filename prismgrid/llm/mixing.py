@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismgrid.llm.common import saved
+
 #: Documents in a block; slots in a period (about, and at least one a source); ranges a source is numbered by.
 BLOCK, PERIOD, RANGES = 64, 1000, 1021
 
@@ -23,19 +25,18 @@ def _key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
-def numbered(docs: DataFrame, *keep: str) -> DataFrame:
-    """key, nr (from 0 in each source, in order of doc_id mod RANGES and doc_id), doc_id, source and the columns to keep.
+def _parted(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, source, key, part and the columns to keep: each source in RANGES parts by doc_id."""
+    part = F.coalesce(F.pmod("doc_id", F.lit(RANGES)), F.lit(-1)).cast("int")
+    return docs.select("doc_id", "source", *keep).withColumns({"key": _key(F.col("source")), "part": part})
 
-    A source is numbered in RANGES parts side by side, so that a large one is no single task.
-    """
-    rows = docs.select("doc_id", "source", *keep).withColumns({"key": _key(F.col("source")), "part": F.coalesce(F.pmod("doc_id", F.lit(RANGES)), F.lit(-1)).cast("int")})
-    # counted by a numbering of its own: the parts' sizes are summed map-side
+
+def _sizes(rows: DataFrame) -> DataFrame:
+    """key, part, n, offset (rows of the source in parts before), total (of the source): counted map-side, a few rows a source."""
     size = rows.groupBy("key", "part").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    size = size.select("key", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    own = Window.partitionBy("key", "part").orderBy("doc_id")
-    rows = rows.withColumn("nr", F.row_number().over(own) - 1).join(size, ["key", "part"])
-    return rows.withColumn("nr", (F.col("nr") + F.col("offset")).cast("long")).drop("offset", "part")
+    every = Window.partitionBy("key")
+    before = every.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return size.select("key", "part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), F.sum("n").over(every).alias("total"))
 
 
 def shares(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, period: int = PERIOD) -> DataFrame:
@@ -44,7 +45,11 @@ def shares(docs: DataFrame, weights: dict[str, float] | None = None, power: floa
     weights: target weights by source (sources without one get no weight of their own but
     one slot a period). None: in proportion to the number of documents to this power.
     """
-    n = docs.groupBy(_key(F.col("source")).alias("key")).agg(F.count("*").alias("n"))
+    return _slots(docs.groupBy(_key(F.col("source")).alias("key")).agg(F.count("*").alias("n")), weights, power, period)
+
+
+def _slots(n: DataFrame, weights: dict[str, float] | None, power: float, period: int) -> DataFrame:
+    """shares() from the sources' sizes (key, n)."""
     if weights is None:
         n = n.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(power)))
     else:
@@ -88,17 +93,24 @@ def one_period(shares: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block: int = BLOCK, period: int = PERIOD, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, block, slot, position (all from 0) and the columns to keep: the documents' places in the mixed order.
 
-    Every row gets one place; places run from 0 without gaps. A null source is a source of
+    A source's documents are in order of doc_id mod RANGES, then doc_id, so that a large source
+    is numbered by many tasks. Every row gets one place; places run from 0 without gaps. A null source is a source of
     its own; null ids come first in theirs, and rows with the same id in any order next to
     each other. Empty tables give no rows. Other columns are ignored.
     """
+    rows = _parted(docs, *keep)
+    size = saved(_sizes(rows))
     # the period's table has about `period` rows, or one a source if that is more
-    plan = F.broadcast(one_period(shares(docs, weights, power, period)))
-    rows = numbered(docs, *keep).withColumn("block", F.floor(F.col("nr") / block))
-    blocks = rows.groupBy("key", "block").agg(F.count("*").alias("n"))
+    counts = size.groupBy("key").agg(F.sum("n").alias("n"))
+    plan = F.broadcast(saved(one_period(_slots(counts, weights, power, period))))
+    first, last = F.ceil(F.col("offset") / block), F.floor((F.col("offset") + F.col("n") - 1) / block)
+    # the blocks that begin in each part, with their slots
+    blocks = size.where(first <= last).select("key", "total", F.explode(F.sequence(first, last)).alias("block"))
+    blocks = blocks.select("key", "block", F.least(F.lit(block), F.col("total") - F.col("block") * block).alias("n"))
     blocks = blocks.join(plan.select("key", "slots", "period").distinct(), "key")
     blocks = blocks.withColumn("j0", (F.col("block") % F.col("slots")).cast("int")).join(plan.select("key", "j0", "slot0"), ["key", "j0"])
     blocks = blocks.select("key", "block", "n", F.floor(F.col("block") / F.col("slots")).alias("turn"), "slot0", (F.floor(F.col("block") / F.col("slots")) * F.col("period") + F.col("slot0")).alias("slot"))
+    # where each begins: sums over groups of periods, periods, and slots of a period
     blocks = blocks.withColumn("group", F.floor(F.col("turn") / 4096))
     before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     turns = blocks.groupBy("group", "turn").agg(F.sum("n").alias("n"))
@@ -106,8 +118,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     turns = turns.select("group", "turn", F.coalesce(F.sum("n").over(before("group", "turn")), F.lit(0)).alias("t_start"))
     blocks = blocks.withColumn("b_start", F.coalesce(F.sum("n").over(before("turn", "slot0")), F.lit(0)))
     blocks = blocks.join(turns, ["group", "turn"]).join(groups, "group").select("key", "block", "slot", (F.col("g_start") + F.col("t_start") + F.col("b_start")).alias("start"))
-    out = rows.join(blocks, ["key", "block"])
-    return out.select("doc_id", "source", F.col("block").cast("long").alias("block"), F.col("slot").cast("long").alias("slot"), (F.col("start") + F.col("nr") % block).cast("long").alias("position"), *keep)
+    # a row for each part with the blocks that it reaches: documents are joined where they have been numbered
+    reached = size.select("key", "part", F.explode(F.sequence(F.floor(F.col("offset") / block), last)).alias("block")).join(blocks, ["key", "block"])
+    reached = reached.groupBy("key", "part").agg(F.sort_array(F.collect_list(F.struct("block", "slot", "start"))).alias("_b"))
+    where = size.select("key", "part", "offset").join(reached, ["key", "part"])
+    rows = rows.withColumn("nr", F.row_number().over(Window.partitionBy("key", "part").orderBy("doc_id")) - 1).join(where, ["key", "part"])
+    rows = rows.withColumn("nr", F.col("nr") + F.col("offset")).withColumn("_at", F.get("_b", (F.floor(F.col("nr") / block) - F.get("_b", 0)["block"]).cast("int")))
+    place = [F.col("_at.block").cast("long").alias("block"), F.col("_at.slot").cast("long").alias("slot"), (F.col("_at.start") + F.col("nr") % block).cast("long").alias("position")]
+    return rows.select("doc_id", "source", *place, *keep)
 
 
 def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
