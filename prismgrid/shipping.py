@@ -9,11 +9,18 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package to the session's Python files, once: executors fetch it from the driver."""
+    """Adds the package to the session's Python files, once: executors fetch it from the driver.
+
+    Batches for Python workers are set to fewer rows, unless the session has its own size:
+    rows with texts are large, and a batch is held by the JVM and by the worker.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH) == "10000":  # the default
+        spark.conf.set(_BATCH, "2000")
     if context.applicationId in _SHIPPED:
         return
     root = Path(__file__).parent
