@@ -13,6 +13,7 @@ and no allow-list rule knows it.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -51,7 +52,6 @@ ALLOW = (
     r"(?i)example|sample|placeholder|changeme|dummy|xxxx|test_?key",
     r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     r"(?i)^(?:0123456789abcdef)+$|^(?:abcdefghijklmnopqrstuvwxyz)",
-    r"^(?:.)\1*$",
     r"^[A-Z]?[a-z]+(?:[-_/][A-Z]?[a-z]+)*$",
 )
 
@@ -113,7 +113,7 @@ def entropy_spans(text: Column, cls: Entropy, rank: int) -> Column:
         known = F.lit(False)
         for rule in ALLOW:
             known = known | s.rlike(rule)
-        return F.when(~s.rlike(cls.needs) | known, F.lit(False)).otherwise(top_entropy(s, cls) >= cls.bits)
+        return F.when(~s.rlike(cls.needs) | known, F.lit(False)).otherwise(top_entropy(s, cls) >= cls.bits - 1e-9)
 
     return F.transform(F.filter(runs, keep), lambda m: _span(m["start"], rank, cls.kind, m["start"] + F.length(m["match"])))
 
@@ -157,3 +157,37 @@ def op8_secrets(spark, sf_dir: str) -> DataFrame:
         F.sha2(_joined(base), 256).alias("base_sha256"),
         _joined(F.concat(base, "entropy")).alias("spans"),
     )
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _sql_entropy(cls: Entropy) -> str:
+    """SQL of entropy_spans()' conditions on a run m."""
+    w, m = cls.window, "lower(m)" if cls.kind == "entropy_hex" else "m"
+    needs = " AND ".join(f"regexp_matches(m, '{c}')" for c in re.findall(r"\.\*(\[[^]]+\])", cls.needs))
+    known = " OR ".join(f"regexp_matches(m, {_quoted(rule)})" for rule in ALLOW)
+    count = f"({w} - length(replace(substr({m}, i, {w}), c, '')))"
+    top = f"list_max(list_transform(range(1, length(m) - {w} + 2), lambda i: log2({w}) - list_sum(list_transform(list_distinct(string_split(substr({m}, i, {w}), '')), lambda c: {count} * log2({count}))) / {w}))"
+    return f"CASE WHEN {needs} AND NOT ({known}) THEN {top} >= {cls.bits} - 1e-9 ELSE FALSE END"
+
+
+def _sql() -> str:
+    rules = [(kind, p, f"length({f'regexp_extract(m, {_quoted(f"^(?:{p})$")}, {g})' if g else 'm'}) >= {n}") for kind, (p, g, n) in ((k, (_LONG.get(k, v[0]), *v[1:])) for k, v in BASE.items())]
+    rules += [(c.kind, f"[{c.chars}]{{{c.window},}}", _sql_entropy(c)) for c in CLASSES]
+    found = " UNION ALL ".join(f"SELECT doc_id, {rank} AS rank, '{kind}' AS kind, string_split_regex(text, {_quoted(p)}) AS gap, regexp_extract_all(text, {_quoted(p)}) AS m FROM t" for rank, (kind, p, _) in enumerate(rules))
+    good = " ".join(f"WHEN rank = {rank} THEN {test}" for rank, (_, _, test) in enumerate(rules))
+    counts = ", ".join(f"count(*) FILTER (rank = {rank}) AS n_{kind}" for rank, kind in enumerate(BASE))
+    joined = "string_agg(kind || ':' || (stop - length(m)) || ':' || stop, ',' ORDER BY stop - length(m), rank)"
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), f AS ({found}),
+u AS (SELECT doc_id, rank, kind, unnest(range(1, len(m) + 1)) AS i, unnest(list_slice(gap, 1, len(m))) AS gap, unnest(m) AS m FROM f),
+p AS (SELECT *, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, rank ORDER BY i) AS BIGINT) AS stop FROM u),
+g AS (SELECT * FROM p WHERE CASE {good} END),
+a AS (SELECT doc_id, {counts}, {joined} FILTER (rank < {len(BASE)}) AS base, {joined} AS spans FROM g GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN a USING (doc_id)
+"""
+
+
+SQL = {"op8_secrets": _sql()}
