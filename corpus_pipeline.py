@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismgrid.llm import decontaminate, mixing, neardup, quality, tokens
-from prismgrid.llm.common import saved
+from prismgrid.llm.common import saved, scratch
 from prismgrid.shipping import ship
 
 
@@ -48,11 +48,11 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.in_mixed_order(docs)
 
 
-def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
     """Places, lengths and checksums in the token shards, which hold the documents in their stored order.
 
     The stored order is that of the files' numbers and the rows in them. Documents that do
-    not come straight from files are taken in order of doc_id.
+    not come straight from files are taken in order of doc_id. path: where the shards stay.
     """
     import public_tokenizers
 
@@ -62,7 +62,7 @@ def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         docs = docs.select("doc_id", "text", F.struct(part.alias("part"), F.col("_metadata.row_index").alias("row")).alias("place"))
     except AnalysisException:
         docs = docs.select("doc_id", "text", F.col("doc_id").alias("place"))
-    return tokens.read(tokens.write(docs, str(public_tokenizers.path("word_bpe_49k.json")), order="place"))
+    return tokens.read(tokens.write(docs, str(public_tokenizers.path("word_bpe_49k.json")), order="place", path=path))
 
 
 STAGES = [
@@ -77,9 +77,10 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
+def run(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """All stages over the documents table. path: a new folder for the token shards, which else go with the driver."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir))
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scratch(spark):
+            docs = saved(stage(spark, docs, sf_dir), keep=True)
+    return saved(tokens_stage(spark, docs, sf_dir, path))

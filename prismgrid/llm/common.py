@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import math
 import tempfile
 import uuid
@@ -28,27 +29,45 @@ def shared_folder(spark: SparkSession) -> str:
     return at
 
 
-def _remove_later(spark: SparkSession, path: str) -> None:
-    def remove() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-        except Exception:  # the session may have ended  # noqa: BLE001
-            pass
+_SCRATCH: list[list[tuple[str, str]]] = []
 
-    atexit.register(remove)
 
+def _remove(spark: SparkSession, path: str, table: str) -> None:
+    try:
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    except Exception:  # the session may have ended  # noqa: BLE001
+        pass
 
-def saved(df: DataFrame, bucket: str | None = None) -> DataFrame:
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are saved inside go at its end, but for those saved with keep: results must not read the others."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path, table in _SCRATCH.pop():
+            _remove(spark, path, table)
+
+
+def saved(df: DataFrame, bucket: str | None = None, keep: bool = False) -> DataFrame:
     """df as a table written to the shared folder: cuts the lineage and survives lost executors.
 
     bucket: lay the table out by this column, so that joins on it move only the other side.
+    The table goes with the innermost scratch(), with the one around that if keep, or when
+    the driver ends.
     """
     spark = df.sparkSession
     name = f"prismgrid_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark).rstrip('/')}/{name}"
-    _remove_later(spark, path)
+    around = _SCRATCH[: len(_SCRATCH) - keep]
+    if around:
+        around[-1].append((path, name if bucket else ""))
+    else:
+        atexit.register(_remove, spark, path, name if bucket else "")
     if bucket is None:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
@@ -72,6 +91,8 @@ def chunked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int,
             size += n
     if held:
         yield part + k, pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    held.clear()
+    tv.give_back()
 
 
 _TEXTS = "chunk long, n_texts long, n_bytes long, ids binary, no_id binary, offsets binary, texts binary"
@@ -224,6 +245,7 @@ def map_rows(fn: Callable[[dict], Iterator[pa.RecordBatch] | list[pa.RecordBatch
         for batch in batches:
             for i in range(batch.num_rows):
                 yield from fn(batch.slice(i, 1))
+        tv.give_back()
 
     return run
 
@@ -264,25 +286,27 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", each: int = 500_000
     of one node together: minima are partial aggregates, and the joins are ones whose
     skewed partitions can be split.
     """
-    edges = saved(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v"))
-    parts = max(1, math.ceil(edges.count() / each))
-    edges = saved((edges.repartition(parts) if parts > 1 else edges.coalesce(1)).mapInArrow(_forest, "u binary, v binary"))
-    before = None
-    for _ in range(most_rounds if parts > 1 else 0):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        # large star: neighbours above u go to the least of u and its neighbours
-        large = saved(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = saved(large.groupBy("u").agg(F.min("v").alias("m")))
-        # small star: neighbours below u, and u itself, go to the least of them
-        linked = large.join(low, "u")
-        small = linked.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = saved(small.distinct())
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        if parts > 1:
-            raise RuntimeError("components: no end after the allowed rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    with scratch(edges.sparkSession):
+        edges = saved(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v"))
+        parts = max(1, math.ceil(edges.count() / each))
+        edges = saved((edges.repartition(parts) if parts > 1 else edges.coalesce(1)).mapInArrow(_forest, "u binary, v binary"))
+        before = None
+        for _ in range(most_rounds if parts > 1 else 0):
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+            # large star: neighbours above u go to the least of u and its neighbours
+            large = saved(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+            low = saved(large.groupBy("u").agg(F.min("v").alias("m")))
+            # small star: neighbours below u, and u itself, go to the least of them
+            linked = large.join(low, "u")
+            small = linked.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+            edges = saved(small.distinct())
+            now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+            if now == before:
+                break
+            before = now
+        else:
+            if parts > 1:
+                raise RuntimeError("components: no end after the allowed rounds")
+        out = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        return saved(out, keep=True)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from prismgrid.llm import textvec as tv
-from prismgrid.llm.common import answers, asks, buckets_for, components, distinct, map_rows, owners, saved, tally, text_chunks, texts_in, totals
+from prismgrid.llm.common import answers, asks, buckets_for, components, distinct, map_rows, owners, saved, scratch, tally, text_chunks, texts_in, totals
 
 #: Values of a sketch; nodes of a list whose pairs are all candidates; nodes of a block.
 SKETCH, SHORT, NODES, CHUNK = 256, 12, 256, 2 << 20
@@ -120,100 +120,101 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, k: int = SKETCH)
     one through any number of links of at least percent/100; null ids are left out of
     account. Rows with the same id are rows of their own. Extra columns are ignored.
     """
-    chunks = text_chunks(docs, CHUNK)
-    size = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("n_texts"), F.lit(0)).alias("docs")).first()
-
-    def listed(row):
-        c = _Chunk(row, words)
-        nodes = _nodes(c.prints)
-        yield pa.RecordBatch.from_arrays([c.ids, pa.array(c.size.astype(np.int64)), pa.array(nodes.to_pylist(), pa.binary(), mask=c.size == 0)], ["doc_id", "n_shingles", "node"])
-
-    every = saved(chunks.mapInArrow(map_rows(listed), "doc_id long, n_shingles long, node binary"))
-
-    def ask_prints(row):
-        c = _Chunk(row, words)
-        return [asks(c.number, c.keys, np.ones(len(c.keys)), buckets_for(size.docs))] if len(c.keys) else []
-
-    mine = answers(owners(chunks.mapInArrow(map_rows(ask_prints), _ASKED)), "own")
-    chunks = chunks.join(mine, "chunk", "left")
-    buckets = buckets_for(min(size.bytes // 5, k * size.docs))
-
-    def ask_values(row):
-        c = _Chunk(row, words)
-        keys, counts = distinct(c.sketches(c.own(row.column("own")[0].as_py()), k)[0])
-        return [asks(c.number, keys, counts, buckets)] if len(keys) else []
-
-    common = answers(tally(chunks.mapInArrow(map_rows(ask_values), _ASKED)), "freq")
-
-    def first_values(row):
-        c = _Chunk(row, words)
-        own = c.own(row.column("own")[0].as_py())
-        values, n = c.sketches(own, k)
-        if not len(values):
-            return
-        freq = totals(row.column("freq")[0].as_py())[np.searchsorted(distinct(values)[0], values)].astype(np.int64)
-        owner = np.repeat(np.arange(len(own)), n)
-        weight = np.bincount(owner, np.log2(freq)) / n
-        order = np.lexsort((values, freq, owner))  # rarest first
-        rank = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
-        least = np.array([overlap(int(x), percent, k) for x in c.size[own]])
-        use = order[(rank <= (n - least)[owner]) & (freq[order] > 1)]
-        nodes = _nodes(c.prints[own])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(values[use].view(np.int64)), nodes.take(pa.array(owner[use])), pa.array(c.size[own][owner[use]].astype(np.int64)), pa.array(weight[owner[use]]), pa.array(np.full(len(use), c.number))],
-            ["value", "node", "n", "weight", "chunk"],
-        )
-
-    lists = saved(chunks.join(common, "chunk", "left").mapInArrow(map_rows(first_values), "value long, node binary, n long, weight double, chunk long"))
-    about = saved(lists.groupBy("value").agg(F.count("*").alias("count"), F.max(F.struct("weight", "node", "n")).alias("hub")).where("count > 1").select("value", "count", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
-    some = lists.select("value", "node", "n")
-    short = about.where(F.col("count") <= SHORT).select("value")
-    own = saved(some.join(short, "value"))
-    pairs = own.join(own.select("value", F.col("node").alias("other"), F.col("n").alias("other_n")), "value").where("node < other")
-    star = some.join(about.where(F.col("count") > SHORT), "value").where("node != hub").select("value", "node", "n", F.col("hub").alias("other"), F.col("hub_n").alias("other_n"))
-    alike = 100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")
-    both = pairs.select("node", "n", "other", "other_n").unionByName(star.select("node", "n", "other", "other_n")).where(alike)
-    pairs = saved(both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
-
-    # whole sets of the nodes that are compared
-    long = some.join(about.where(F.col("count") > SHORT).select("value"), "value").select("node")
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(long).distinct()
-    where = lists.groupBy("node").agg(F.min("chunk").alias("chunk")).join(needed, "node").groupBy("chunk").agg(F.collect_list("node").alias("nodes"))
-
-    def whole(row):
-        c = _Chunk(row, words)
-        wanted = set(row.column("nodes")[0].as_py())
-        nodes = _nodes(c.prints).to_pylist()
-        at = [int(i) for i in c.first if nodes[i] in wanted]
-        for a in range(0, len(at), 500):
-            some = at[a : a + 500]
-            yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in some], pa.binary()), pa.array([c.shingle[c.cut[i] : c.cut[i + 1]].tobytes() for i in some], pa.binary())], ["node", "shingles"])
-
-    sets = saved(chunks.drop("own").join(where, "chunk").mapInArrow(map_rows(whole), "node binary, shingles binary"))
-
-    def verify(batches):
-        for batch in batches:
-            a, b = batch.column("set_a"), batch.column("set_b")
-            ok = [linked(np.frombuffer(a[i].as_py(), np.uint64), np.frombuffer(b[i].as_py(), np.uint64), percent, k) for i in range(batch.num_rows)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    sided = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
-    links = saved(sided.mapInArrow(verify, "a binary, b binary"))
-    roots = saved(components(links))
-
-    # long lists that are not one component yet
-    lists = some.join(about.where(F.col("count") > SHORT).select("value"), "value").select("value", "node").join(roots, "node", "left")
-    lists = saved(lists.select("value", "node", F.coalesce("root", "node").alias("root")))
-    open_lists = saved(lists.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("value"))
-    left = saved(lists.join(open_lists, "value"))
-    if left.limit(1).count():
-        more = saved(_blocks(left, sets, percent))
-        roots = saved(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
-
-    low = saved(every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low")))
-    low = saved(low.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")))
-    best = saved(low.groupBy("root").agg(F.min("low").alias("component_id")))
-    of = saved(low.join(best, "root").select("node", "component_id"))
+    with scratch(docs.sparkSession):
+        chunks = text_chunks(docs, CHUNK)
+        size = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("n_texts"), F.lit(0)).alias("docs")).first()
+
+        def listed(row):
+            c = _Chunk(row, words)
+            nodes = _nodes(c.prints)
+            yield pa.RecordBatch.from_arrays([c.ids, pa.array(c.size.astype(np.int64)), pa.array(nodes.to_pylist(), pa.binary(), mask=c.size == 0)], ["doc_id", "n_shingles", "node"])
+
+        every = saved(chunks.mapInArrow(map_rows(listed), "doc_id long, n_shingles long, node binary"), keep=True)
+
+        def ask_prints(row):
+            c = _Chunk(row, words)
+            return [asks(c.number, c.keys, np.ones(len(c.keys)), buckets_for(size.docs))] if len(c.keys) else []
+
+        mine = answers(owners(chunks.mapInArrow(map_rows(ask_prints), _ASKED)), "own")
+        chunks = chunks.join(mine, "chunk", "left")
+        buckets = buckets_for(min(size.bytes // 5, k * size.docs))
+
+        def ask_values(row):
+            c = _Chunk(row, words)
+            keys, counts = distinct(c.sketches(c.own(row.column("own")[0].as_py()), k)[0])
+            return [asks(c.number, keys, counts, buckets)] if len(keys) else []
+
+        common = answers(tally(chunks.mapInArrow(map_rows(ask_values), _ASKED)), "freq")
+
+        def first_values(row):
+            c = _Chunk(row, words)
+            own = c.own(row.column("own")[0].as_py())
+            values, n = c.sketches(own, k)
+            if not len(values):
+                return
+            freq = totals(row.column("freq")[0].as_py())[np.searchsorted(distinct(values)[0], values)].astype(np.int64)
+            owner = np.repeat(np.arange(len(own)), n)
+            weight = np.bincount(owner, np.log2(freq)) / n
+            order = np.lexsort((values, freq, owner))  # rarest first
+            rank = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+            least = np.array([overlap(int(x), percent, k) for x in c.size[own]])
+            use = order[(rank <= (n - least)[owner]) & (freq[order] > 1)]
+            nodes = _nodes(c.prints[own])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(values[use].view(np.int64)), nodes.take(pa.array(owner[use])), pa.array(c.size[own][owner[use]].astype(np.int64)), pa.array(weight[owner[use]]), pa.array(np.full(len(use), c.number))],
+                ["value", "node", "n", "weight", "chunk"],
+            )
+
+        lists = saved(chunks.join(common, "chunk", "left").mapInArrow(map_rows(first_values), "value long, node binary, n long, weight double, chunk long"))
+        about = saved(lists.groupBy("value").agg(F.count("*").alias("count"), F.max(F.struct("weight", "node", "n")).alias("hub")).where("count > 1").select("value", "count", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
+        some = lists.select("value", "node", "n")
+        short = about.where(F.col("count") <= SHORT).select("value")
+        own = saved(some.join(short, "value"))
+        pairs = own.join(own.select("value", F.col("node").alias("other"), F.col("n").alias("other_n")), "value").where("node < other")
+        star = some.join(about.where(F.col("count") > SHORT), "value").where("node != hub").select("value", "node", "n", F.col("hub").alias("other"), F.col("hub_n").alias("other_n"))
+        alike = 100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")
+        both = pairs.select("node", "n", "other", "other_n").unionByName(star.select("node", "n", "other", "other_n")).where(alike)
+        pairs = saved(both.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+
+        # whole sets of the nodes that are compared
+        long = some.join(about.where(F.col("count") > SHORT).select("value"), "value").select("node")
+        needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(long).distinct()
+        where = lists.groupBy("node").agg(F.min("chunk").alias("chunk")).join(needed, "node").groupBy("chunk").agg(F.collect_list("node").alias("nodes"))
+
+        def whole(row):
+            c = _Chunk(row, words)
+            wanted = set(row.column("nodes")[0].as_py())
+            nodes = _nodes(c.prints).to_pylist()
+            at = [int(i) for i in c.first if nodes[i] in wanted]
+            for a in range(0, len(at), 500):
+                some = at[a : a + 500]
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in some], pa.binary()), pa.array([c.shingle[c.cut[i] : c.cut[i + 1]].tobytes() for i in some], pa.binary())], ["node", "shingles"])
+
+        sets = saved(chunks.drop("own").join(where, "chunk").mapInArrow(map_rows(whole), "node binary, shingles binary"))
+
+        def verify(batches):
+            for batch in batches:
+                a, b = batch.column("set_a"), batch.column("set_b")
+                ok = [linked(np.frombuffer(a[i].as_py(), np.uint64), np.frombuffer(b[i].as_py(), np.uint64), percent, k) for i in range(batch.num_rows)]
+                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+        sided = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
+        links = saved(sided.mapInArrow(verify, "a binary, b binary"))
+        roots = components(links)
+
+        # long lists that are not one component yet
+        lists = some.join(about.where(F.col("count") > SHORT).select("value"), "value").select("value", "node").join(roots, "node", "left")
+        lists = saved(lists.select("value", "node", F.coalesce("root", "node").alias("root")))
+        open_lists = saved(lists.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("value"))
+        left = saved(lists.join(open_lists, "value"))
+        if left.limit(1).count():
+            more = saved(_blocks(left, sets, percent))
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+        low = saved(every.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low")))
+        low = saved(low.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")))
+        best = saved(low.groupBy("root").agg(F.min("low").alias("component_id")))
+        of = saved(low.join(best, "root").select("node", "component_id"), keep=True)
     found = every.join(of, "node").select("doc_id", "n_shingles", "node", "component_id")
     return found.unionByName(every.where("node is null").select("doc_id", "n_shingles", "node", F.col("doc_id").alias("component_id")))
 
@@ -300,3 +301,19 @@ def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Classes of documents with three-word shingles and a similarity of 0.85 or more."""
     found = groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), words=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+SQL = {
+    "op3_near_dedup": """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' ')) END) AS g FROM d
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), meet AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), link AS MATERIALIZED (SELECT a, b FROM meet JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(min(reach.b), d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(min(reach.b), d.doc_id)) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id, n.n
+""",
+}

@@ -109,6 +109,12 @@ def test_shards_hold_all_ids(odd, odd_texts, library):
     assert sum(tokens.read_shard(bytes(f.file))[2].rank(2) for f in files) == ids.count(2)
 
 
+def test_shards_stay_where_they_are_wanted(spark, odd, tmp_path):
+    path = str(tmp_path / "shards")
+    a = sorted(tuple(r) for r in tokens.read(tokens.write(odd.where("doc_id is not null"), FILE, path=path)).collect())
+    assert a == sorted(tuple(r) for r in tokens.read(spark.read.parquet(path)).collect())
+
+
 def test_tokens_of_nothing(nothing):
     assert tokens.read(tokens.write(nothing, FILE)).count() == 0
 
