@@ -129,6 +129,7 @@ def contained(docs: DataFrame, items: DataFrame, words: int = WORDS, share: floa
                     t, i, n = (np.array([x[c] for x in found], np.int64) for c in range(3))
                     size = np.array([len(block.sets[x]) for x in i], np.int64)
                     yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array(t)), pa.array(block.ids[i], pa.int64()), pa.array(size, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "item_id", "n_item", "n_found"])
+            tv.give_back()
 
         part = docs.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
@@ -147,6 +148,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, words: int = WORDS, share:
                     keep = np.ones(piece.num_rows, bool)
                     keep[[t for t, _, _ in held.value.search(*tv.shingle_sets(tv.split(piece.column(piece.schema.get_field_index("text")), lower=True), words))]] = False
                     yield piece.filter(pa.array(keep))
+            tv.give_back()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -160,6 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 text, feature = features(piece.column("text"))
                 cut = np.searchsorted(text, np.arange(piece.num_rows + 1))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("label"), pa.array([tv.pack(feature[a:b].astype(np.uint32)) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["doc_id", "label", "features"])
+        tv.give_back()
 
     rows = texts_of(docs, "doc_id").join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text")
     got = rows.mapInArrow(run, "doc_id long, label int, features binary").toArrow().to_pydict()
@@ -175,6 +176,7 @@ def score(docs: DataFrame, model: Model, columns: list[str], schema: str) -> Dat
         for batch in batches:
             for piece in tv.slices(batch):
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in columns), pa.array(held.value.scores(piece.column("text")), pa.float64())], [*columns, "score"])
+        tv.give_back()
 
     return docs.mapInArrow(run, f"{schema}, score double")
 
@@ -194,6 +196,7 @@ def rejects(spark, docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -
             at = batch.schema.get_field_index("text")
             for piece in tv.slices(batch):
                 yield piece.filter(pa.array(held.value.scores(piece.column(at)) >= threshold))
+        tv.give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -32,7 +32,7 @@ from prismgrid.llm.common import saved, texts_of
 
 MAGIC, STEP = b"PGWM", 512
 #: Ids in a shard, about; words whose ids a worker remembers.
-SHARD, REMEMBER = 4_000_000, 2_000_000
+SHARD, REMEMBER = 4_000_000, 1_500_000
 END = 2
 
 
@@ -244,8 +244,9 @@ class Encoder:
         letters = np.array([self.plain is not None and x.isalpha() and "\u03c2" not in x for x in low], bool)
         if letters.any():
             own = [x for x, y in zip(low, letters.tolist(), strict=True) if y]
-            text = " ".join(own)
-            flat = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, kind)
+            # some words at a time: the library holds a hundred bytes and more for each token
+            some = (" ".join(own[i : i + 4096]) for i in range(0, len(own), 4096))
+            flat = np.concatenate([np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, kind) for text in some])
             stop = np.flatnonzero(self.last[flat]) + 1
             if len(stop) == len(own):
                 size[letters] = np.diff(stop, prepend=0)
@@ -254,7 +255,7 @@ class Encoder:
                 letters[:] = False
         rest = np.flatnonzero(~letters)
         if len(rest):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)]
+            ids = [e.ids for i in range(0, len(rest), 4096) for e in self.tokenizer.encode_batch_fast([words[j] for j in rest[i : i + 4096]], add_special_tokens=False)]
             size[rest] = [len(x) for x in ids]
             parts.append(np.array([x for one in ids for x in one], kind))
         # the letters' ids stand before the others': put them into the words' order
@@ -341,8 +342,11 @@ def _plain(spec: str):
 _SHARDS = "part int, seq int, n_tokens long, file binary"
 
 
-def write(docs: DataFrame, tokenizer: str, end: int = END, shard: int = SHARD, order: str = "doc_id", partitions: int | None = None) -> DataFrame:
-    """Encodes all texts and writes the shard files to the shared folder, in ascending `order`; returns their table.
+def write(docs: DataFrame, tokenizer: str, end: int = END, shard: int = SHARD, order: str = "doc_id", partitions: int | None = None, path: str | None = None) -> DataFrame:
+    """Encodes all texts and writes the shard files, in ascending `order`; returns their table.
+
+    path: a folder for them that stays; without it they are in the shared folder while the
+    driver runs.
 
     docs: doc_id, text and `order`; other columns are ignored. tokenizer: the path of a
     tokenizers file. Null texts count as empty and have the end id alone; rows of the same
@@ -383,8 +387,13 @@ def write(docs: DataFrame, tokenizer: str, end: int = END, shard: int = SHARD, o
                     yield out()
         if held_ids:
             yield out()
+        tv.give_back()
 
-    return saved(rows.mapInArrow(run, _SHARDS))
+    files = rows.mapInArrow(run, _SHARDS)
+    if path is None:
+        return saved(files)
+    files.write.parquet(path)
+    return spark.read.schema(_SHARDS).parquet(path)
 
 
 _DOCS = "doc_id long, part int, seq int, nr long, start long, n_tokens long, ids_crc32 long"
@@ -406,6 +415,7 @@ def read(shards: DataFrame) -> DataFrame:
                     [doc_ids, pa.array(np.full(n, row.column("part")[0].as_py()), pa.int32()), pa.array(np.full(n, row.column("seq")[0].as_py()), pa.int32()), pa.array(np.arange(n)), pa.array(stop - counts), pa.array(counts), pa.array(crc, pa.int64())],
                     ["doc_id", "part", "seq", "nr", "start", "n_tokens", "ids_crc32"],
                 )
+        tv.give_back()
 
     docs = shards.select("part", "seq", "file").mapInArrow(run, _DOCS)
     # where each shard begins: sums over the partitions (a row each), then over each one's shards
