@@ -57,8 +57,8 @@ def _slots(n: DataFrame, weights: dict[str, float] | None, power: float, period:
         for name, w in weights.items():
             cases = F.when(F.col("key") == _key(F.lit(name)), F.lit(float(w))).otherwise(cases)
         n = n.withColumn("w", cases)
-    total = n.agg(F.sum("w").alias("total"))
-    return n.crossJoin(F.broadcast(total)).select("key", F.greatest(F.lit(1), F.floor(period * F.col("w") / F.greatest("total", F.lit(1e-300)))).cast("int").alias("slots"))
+    total = F.greatest(F.sum("w").over(Window.partitionBy(F.lit(0))), F.lit(1e-300))  # a row a source
+    return n.select("key", F.greatest(F.lit(1), F.floor(period * F.col("w") / total)).cast("int").alias("slots"))
 
 
 def one_period(shares: DataFrame) -> DataFrame:
