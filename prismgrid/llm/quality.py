@@ -127,7 +127,7 @@ def fit(sets: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: i
     rows = []
     for i in train:
         v = ratio[sets[i]]
-        rows.append((np.append(sets[i], n), np.append(v / max(np.sqrt(v @ v), 1e-12), 1.0)))
+        rows.append((np.append(sets[i], n).astype(np.int32), np.append(v / max(np.sqrt(v @ v), 1e-12), 1.0).astype(np.float32)))
     share = (y[train] > 0).mean()
     weight = np.where(y[train] > 0, 0.5 / share, 0.5 / (1 - share))
     w = _descend(rows, y[train], cost * weight, epochs, seed)
@@ -165,7 +165,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = texts_of(docs, "doc_id").join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text")
     got = rows.mapInArrow(run, "doc_id long, label int, features binary").toArrow().to_pydict()
     order = sorted(range(len(got["doc_id"])), key=lambda i: (got["doc_id"][i], got["features"][i]))  # the same in every run
-    return fit([tv.unpack(got["features"][i], np.uint32).astype(np.int64) for i in order], np.array([got["label"][i] for i in order]))
+    labels = np.array([got["label"][i] for i in order])
+    sets = [tv.unpack(got["features"][i], np.uint32).astype(np.int32) for i in order]
+    del got
+    model = fit(sets, labels)
+    del sets
+    tv.give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, columns: list[str], schema: str) -> DataFrame:
