@@ -53,10 +53,11 @@ def scratch(spark: SparkSession):
             _remove(spark, path, table)
 
 
-def saved(df: DataFrame, bucket: str | None = None, keep: bool = False) -> DataFrame:
+def saved(df: DataFrame, bucket: str | None = None, keep: bool = False, dealt: bool = False) -> DataFrame:
     """df as a table written to the shared folder: cuts the lineage and survives lost executors.
 
-    bucket: lay the table out by this column, so that joins on it move only the other side.
+    bucket: lay the table out by this column, so that joins on it move only the other side;
+    dealt: with a shuffle before, for one file a bucket in place of one a task and bucket.
     The table goes with the innermost scratch(), with the one around that if keep, or when
     the driver ends.
     """
@@ -72,6 +73,8 @@ def saved(df: DataFrame, bucket: str | None = None, keep: bool = False) -> DataF
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if dealt:
+        df = df.repartition(n, bucket)
     df.write.bucketBy(n, bucket).option("path", path).format("parquet").saveAsTable(name)
     return spark.table(name)
 
@@ -115,7 +118,7 @@ def text_chunks(docs: DataFrame, most: int) -> DataFrame:
             }
             yield pa.RecordBatch.from_pylist([row])
 
-    return saved(texts_of(docs, "doc_id").mapInArrow(pack, _TEXTS), bucket="chunk")
+    return saved(texts_of(docs, "doc_id").mapInArrow(pack, _TEXTS), bucket="chunk", dealt=True)
 
 
 def texts_in(row: pa.RecordBatch) -> tuple[pa.Array, pa.Array]:
