@@ -2,11 +2,14 @@
 
 Documents of a source are numbered and cut into blocks. Block j of a source with weight w
 is released at slot floor(j / w) and due at slot ceil((j + 1) / w); at each slot the
-released block that is due first runs. As the weights sum to one, every slot is used,
-every deadline is met, and at every slot each source is within one block of its share
-(Baruah et al., 1996). Weights are whole numbers of slots in a period, so the schedule
-repeats with the period: one period is simulated in a single expression, and a block's
-slot follows by arithmetic. A source that has run out leaves its slots to the others.
+released block that is due first runs. As the weights sum to one, every deadline is met, and
+at every slot each source that has blocks left is within one block of its share (Baruah et
+al., 1996). Weights are taken as they are. A source that has run out leaves its slots to the
+others; when no block is released, the clock moves on to the next release.
+
+The schedule runs from the first block to the last in frames of FRAME blocks: one pass over a
+row of the sources keeps their states where frames begin, and frames then list their blocks
+side by side. A step looks at every source with blocks left.
 """
 
 from __future__ import annotations
@@ -16,8 +19,10 @@ from pyspark.sql import functions as F
 
 from prismgrid.llm.common import saved
 
-#: Documents in a block; slots in a period (about, and at least one a source); ranges a source is numbered by.
+#: Documents in a block; slots in a period where one is asked for (about, and at least one a source); ranges a source is numbered by.
 BLOCK, PERIOD, RANGES = 64, 1000, 1021
+#: Blocks in a frame of the schedule (at least one a source); how near to a whole number a time is taken for it.
+FRAME, NEAR = 1000, 1e-13
 
 
 def _key(source: Column) -> Column:
@@ -48,49 +53,87 @@ def shares(docs: DataFrame, weights: dict[str, float] | None = None, power: floa
     return _slots(docs.groupBy(_key(F.col("source")).alias("key")).agg(F.count("*").alias("n")), weights, power, period)
 
 
+def _weights(n: DataFrame, weights: dict[str, float] | None, power: float) -> DataFrame:
+    """The sources' sizes (key, n) with their weights w, which need not sum to one."""
+    if weights is None:
+        return n.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(power)))
+    cases = F.lit(0.0)
+    for name, w in weights.items():
+        cases = F.when(F.col("key") == _key(F.lit(name)), F.lit(float(w))).otherwise(cases)
+    return n.withColumn("w", cases)
+
+
 def _slots(n: DataFrame, weights: dict[str, float] | None, power: float, period: int) -> DataFrame:
     """shares() from the sources' sizes (key, n)."""
-    if weights is None:
-        n = n.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(power)))
-    else:
-        cases = F.lit(0.0)
-        for name, w in weights.items():
-            cases = F.when(F.col("key") == _key(F.lit(name)), F.lit(float(w))).otherwise(cases)
-        n = n.withColumn("w", cases)
+    n = _weights(n, weights, power)
     total = F.greatest(F.sum("w").over(Window.partitionBy(F.lit(0))), F.lit(1e-300))  # a row a source
     return n.select("key", F.greatest(F.lit(1), F.floor(period * F.col("w") / total)).cast("int").alias("slots"))
 
 
-def one_period(shares: DataFrame) -> DataFrame:
-    """key, slots, period, j, slot: the slot of each block j < slots of each source in one period; earliest deadline first.
+def _block(late: Column, pace: Column, blocks: Column, i: Column, j: Column) -> Column:
+    """Block j of source i with its times, null if there is none."""
+    whole = lambda x: F.least(x, F.lit(1e18)).cast("long")
+    release = whole(F.floor(j * pace * (1 + NEAR) + NEAR).cast("double"))
+    due = whole(F.ceil((j + 1) * pace * (1 - NEAR) - NEAR).cast("double"))
+    return F.when(j < blocks, F.struct(late.alias("late"), release.alias("release"), due.alias("due"), i.alias("i"), j.alias("j"), pace.alias("pace"), blocks.alias("blocks")))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _run(state: Column, steps: Column, listed: bool) -> Column:
+    """The state (t: the clock, next: the sources' next blocks) after some steps; listed: the blocks that they run instead."""
+    ran = F.array().cast("array<struct<slot:bigint,i:int,j:bigint>>")
+
+    def step(acc: Column, _: Column) -> Column:
+        ready = F.transform(acc["next"], lambda x: F.when(x.isNotNull(), F.struct(x["late"].alias("late"), F.greatest(x["release"], acc["t"]).alias("slot"), x["due"].alias("due"), x["i"].alias("i"), x["j"].alias("j"))))
 
-    The table of shares has a row a source; it becomes one row of arrays.
+        def after(p: Column) -> Column:
+            following = F.transform(acc["next"], lambda x: F.when(x["i"] == p["i"], _block(x["late"], x["pace"], x["blocks"], x["i"], x["j"] + 1)).otherwise(x))
+            out = [F.array_append(acc["ran"], F.struct(p["slot"].alias("slot"), p["i"].alias("i"), p["j"].alias("j"))).alias("ran")] if listed else []
+            return F.struct((p["slot"] + 1).alias("t"), following.alias("next"), *out)
+
+        return _let(F.array_min(ready), after)
+
+    start = F.struct(state["t"].alias("t"), state["next"].alias("next"), *([ran.alias("ran")] if listed else []))
+    done = (lambda acc: acc["ran"]) if listed else (lambda acc: F.struct(acc["t"].alias("t"), F.array_compact(acc["next"]).alias("next")))
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), steps), start, step, done)
+
+
+def schedule(sources: DataFrame, frame: int = FRAME) -> DataFrame:
+    """key, block, slot, turn, nr: the slot of every block of each source (key, w, blocks); earliest deadline first.
+
+    turn and nr: the block's frame and its place there. Sources of no weight come after all
+    others, in turn. The table of sources has a row a source; it becomes one row of arrays.
     """
-    one = shares.agg(F.sort_array(F.collect_list(F.struct("key", "slots"))).alias("s"))
-    one = one.select("s", F.aggregate("s", F.lit(0), lambda a, x: a + x["slots"]).alias("period")).where("size(s) > 0")
-    period = F.col("period").cast("long")
-
-    def step(acc: Column, t: Column) -> Column:
-        due = F.transform(
-            F.arrays_zip(F.col("s"), acc["done"].alias("done")),
-            lambda x, i: F.when(
-                F.floor(x["done"] * period / x["s"]["slots"]) <= t,
-                F.struct(F.ceil((x["done"] + 1) * period / x["s"]["slots"]).cast("long").alias("due"), i.alias("i")),
-            ),
-        )
-        pick = F.array_min(due)["i"]
-        return F.struct(
-            F.transform(acc["done"], lambda d, i: d + (i == pick).cast("int")).alias("done"),
-            F.array_append(acc["out"], F.struct(t.alias("slot"), pick.alias("i"), F.get(acc["done"], pick).alias("j"))).alias("out"),
-        )
-
-    start = F.struct(F.transform("s", lambda x: F.lit(0)).alias("done"), F.array().cast("array<struct<slot:int,i:int,j:int>>").alias("out"))
-    run = F.aggregate(F.sequence(F.lit(0), F.col("period") - 1), start, step, lambda acc: acc["out"])
-    rows = one.select("s", "period", F.explode(run).alias("b"))
-    return rows.select(F.get("s", F.col("b.i"))["key"].alias("key"), F.get("s", F.col("b.i"))["slots"].alias("slots"), "period", F.col("b.j").alias("j0"), F.col("b.slot").alias("slot0"))
-
-
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block: int = BLOCK, period: int = PERIOD, keep: tuple[str, ...] = ()) -> DataFrame:
+    every = Window.partitionBy(F.lit(0))  # a row a source
+    w = F.when(F.col("w") > 0, F.col("w")).otherwise(F.lit(0.0))
+    late = (w == 0).cast("int")
+    pace = F.when(w == 0, F.sum(late).over(every).cast("double")).otherwise(F.sum(w).over(every) / F.when(w > 0, w))
+    one = sources.where("blocks > 0").select("key", late.alias("late"), pace.alias("pace"), F.col("blocks").cast("long").alias("blocks"))
+    one = one.agg(F.sort_array(F.collect_list(F.struct("key", "late", "pace", "blocks"))).alias("s")).where("size(s) > 0")
+    one = one.select("s", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["blocks"]).alias("total"), F.greatest(F.lit(frame), F.size("s")).cast("long").alias("frame"))
+    first = F.transform("s", lambda x, i: _block(x["late"], x["pace"], x["blocks"], i, F.lit(0).cast("long")))
+    begin = F.struct(F.lit(0).cast("long").alias("t"), first.alias("next"))
+    later = F.filter(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / F.col("frame"))), lambda k: k > 0)
+    move = lambda acc, _: _let(_run(acc["now"], F.col("frame"), False), lambda now: F.struct(now.alias("now"), F.array_append(acc["all"], now).alias("all")))
+    states = F.aggregate(later, F.struct(begin.alias("now"), F.array(begin).alias("all")), move, lambda acc: acc["all"])
+    frames = one.select(F.col("s.key").alias("keys"), "total", "frame", F.posexplode(states).alias("turn", "state")).withColumn("turn", F.col("turn").cast("long")).repartition("turn")
+    steps = F.least(F.col("frame"), F.col("total") - F.col("turn") * F.col("frame"))
+    rows = frames.select("keys", "turn", F.posexplode(_run(F.col("state"), steps, True)).alias("nr", "b"))
+    return rows.select(F.get("keys", F.col("b.i")).alias("key"), F.col("b.j").alias("block"), F.col("b.slot").alias("slot"), "turn", "nr")
+
+
+def one_period(shares: DataFrame) -> DataFrame:
+    """key, slots, period, j, slot: the slot of each block j < slots of each source in one period; earliest deadline first."""
+    plan = schedule(shares.select("key", F.col("slots").cast("double").alias("w"), F.col("slots").alias("blocks")))
+    sizes = shares.select("key", "slots", F.sum("slots").over(Window.partitionBy(F.lit(0))).cast("int").alias("period"))
+    return plan.join(sizes, "key").select("key", "slots", "period", F.col("block").cast("int").alias("j0"), F.col("slot").cast("int").alias("slot0"))
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block: int = BLOCK, period: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, block, slot, position (all from 0) and the columns to keep: the documents' places in the mixed order.
 
     A source's documents are in order of doc_id mod RANGES, then doc_id, so that a large source
@@ -100,23 +143,22 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     """
     rows = _parted(docs, *keep)
     size = saved(_sizes(rows))
-    # the period's table has about `period` rows, or one a source if that is more
     counts = size.groupBy("key").agg(F.sum("n").alias("n"))
-    plan = F.broadcast(saved(one_period(_slots(counts, weights, power, period))))
-    first, last = F.ceil(F.col("offset") / block), F.floor((F.col("offset") + F.col("n") - 1) / block)
-    # the blocks that begin in each part, with their slots
-    blocks = size.where(first <= last).select("key", "total", F.explode(F.sequence(first, last)).alias("block"))
-    blocks = blocks.select("key", "block", F.least(F.lit(block), F.col("total") - F.col("block") * block).alias("n"))
-    blocks = blocks.join(plan.select("key", "slots", "period").distinct(), "key")
-    blocks = blocks.withColumn("j0", (F.col("block") % F.col("slots")).cast("int")).join(plan.select("key", "j0", "slot0"), ["key", "j0"])
-    blocks = blocks.select("key", "block", "n", F.floor(F.col("block") / F.col("slots")).alias("turn"), "slot0", (F.floor(F.col("block") / F.col("slots")) * F.col("period") + F.col("slot0")).alias("slot"))
-    # where each begins: sums over groups of periods, periods, and slots of a period
+    blocks_of = F.ceil(F.col("n") / block).alias("blocks")
+    if period is None:
+        sources = _weights(counts, weights, power).select("key", "w", blocks_of)
+    else:
+        sources = _slots(counts, weights, power, period).join(counts, "key").select("key", F.col("slots").cast("double").alias("w"), blocks_of)
+    last = F.floor((F.col("offset") + F.col("n") - 1) / block)
+    blocks = saved(schedule(sources)).join(counts.withColumnRenamed("n", "total"), "key")
+    blocks = blocks.select("key", "block", F.least(F.lit(block), F.col("total") - F.col("block") * block).alias("n"), "turn", "nr", "slot")
+    # where each begins: sums over groups of frames, frames, and blocks of a frame
     blocks = blocks.withColumn("group", F.floor(F.col("turn") / 4096))
     before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     turns = blocks.groupBy("group", "turn").agg(F.sum("n").alias("n"))
     groups = turns.groupBy("group").agg(F.sum("n").alias("n")).select("group", F.coalesce(F.sum("n").over(Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("g_start"))
     turns = turns.select("group", "turn", F.coalesce(F.sum("n").over(before("group", "turn")), F.lit(0)).alias("t_start"))
-    blocks = blocks.withColumn("b_start", F.coalesce(F.sum("n").over(before("turn", "slot0")), F.lit(0)))
+    blocks = blocks.withColumn("b_start", F.coalesce(F.sum("n").over(before("turn", "nr")), F.lit(0)))
     blocks = blocks.join(turns, ["group", "turn"]).join(groups, "group").select("key", "block", "slot", (F.col("g_start") + F.col("t_start") + F.col("b_start")).alias("start"))
     # a row for each part with the blocks that it reaches: documents are joined where they have been numbered
     reached = size.select("key", "part", F.explode(F.sequence(F.floor(F.col("offset") / block), last)).alias("block")).join(blocks, ["key", "block"])
@@ -128,7 +170,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     return rows.select("doc_id", "source", *place, *keep)
 
 
-def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block: int = BLOCK, period: int | None = None) -> DataFrame:
     """All rows of docs with all its columns, sorted by their place in the mixed order."""
     packed = docs.select(F.col("doc_id"), F.col("source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return mix(packed, weights, power, block, period, keep=("row",)).orderBy("position").select("row.*")

@@ -137,6 +137,23 @@ def test_mixing_deviates_less_than_a_block(spark):
     assert out.groupby(["source", "block"]).size().max() <= 8 and out.groupby("slot").source.nunique().max() == 1
 
 
+@pytest.mark.parametrize("weights", [None, {"hot": 0.9995, "s0": 0.0005}])
+def test_mixing_follows_the_weights_themselves(spark, weights):
+    sizes = {"hot": 2000, **{f"s{k}": 211 for k in range(19)}} if weights is None else {"hot": 5000, "s0": 20, "unnamed": 3}
+    df = spark.createDataFrame([(i, s) for s, n in sizes.items() for i in range(n)], "doc_id long, source string")
+    out = sorted((r.slot, r.position, r.source) for r in mixing.mix(df, weights, block=1).collect())
+    assert [p for _, p, _ in out] == list(range(sum(sizes.values())))
+    w = {s: math.sqrt(n) if weights is None else weights.get(s, 0) for s, n in sizes.items()}
+    done, left = Counter(), dict(sizes)
+    for t, (slot, _, s) in enumerate(out):
+        if not all(left[k] for k in w if w[k]):
+            break
+        done[s], left[s] = done[s] + 1, left[s] - 1
+        assert slot == t and all(abs(done[k] - w[k] / sum(w.values()) * (t + 1)) < 1 for k in w)
+    assert t > 3900
+    assert weights is None or [s for *_, s in out[-3:]] == ["unnamed"] * 3
+
+
 def test_mixing_of_odd_rows(spark, odd, nothing):
     out = mixing.mix(odd, block=2, period=10).collect()
     assert sorted(r.position for r in out) == list(range(odd.count()))
