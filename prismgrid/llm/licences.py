@@ -1,7 +1,8 @@
 """Licence scanning by sentence rules.
 
-Texts are cut into sentences; a sentence is normalised (lower case, marks and runs of space
-to one space) and mapped to the identifier of a known licence sentence, if it is one. The
+Texts are cut into sentences, which may run over several lines; their lines are normalised
+(lower case, marks and runs of space to one space, so that comment marks go) and whole lines
+are mapped to the identifier of a known licence sentence, if they are one. The
 sequence of a document's identifiers is then matched against ordered rules, the most
 specific first; a rule takes the identifiers that it matches, so that later rules see what
 is left (the approach of German, Manabe and Inoue, 2010). Sentences that are known but
@@ -21,13 +22,15 @@ from pyspark.sql import functions as F
 from prismgrid.llm import textvec as tv
 from prismgrid.llm.common import texts_of
 
-# Known licence sentences, as patterns over whole normalised sentences. The first that fits gives the identifier.
+# Known licence sentences, as patterns over whole lines of normalised sentences. The first that fits gives the identifier.
+# A space is also a line end, but not after .*, which stays on its line; (?s:...) goes over lines. _SUBJECT is what is licensed.
+_SUBJECT = r"(?:(?:.* )?(?:is|are) )?"
 SENTENCES = (
     ("spdx", r"(?:.* )?spdx license identifier (?P<spdx>[a-z0-9. +]+)"),
-    ("apache2", r"(?:this \w+ is |this project is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?apache license,? version 2(?:\.0)?(?: the license)?"),
+    ("apache2", _SUBJECT + r"(?:licensed|released|distributed) under (?:the )?(?:terms of the )?apache license,? version 2(?:\.0)?(?: the license)?"),
     ("apache_limits", r"you may not use this (?:file|work|software) except in compliance with the license"),
     ("apache_asis", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis.*"),
-    ("mit", r"(?:this \w+ is |this project is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?mit license"),
+    ("mit", _SUBJECT + r"(?:licensed|released|distributed) under (?:the )?(?:terms of the )?mit license"),
     ("mit_grant", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files.*"),
     ("mit_notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("isc_grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted.*"),
@@ -35,18 +38,18 @@ SENTENCES = (
     ("bsd_grant", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("bsd_source", r"(?:\d )?redistributions of source code must retain the above copyright notice.*"),
     ("bsd_binary", r"(?:\d )?redistributions in binary form must reproduce the above copyright notice.*"),
-    ("bsd_endorse", r"(?:\d )?neither the name of .* may be used to endorse or promote products.*"),
-    ("bsd", r"(?:this \w+ is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?(?P<bsd>[23]) clause bsd license"),
-    ("gpl", r"(?:this \w+ is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu general public license,? version (?P<gpl>[23])(?:\.0)?(?P<gplplus> or(?: any)? later(?: version)?)?"),
-    ("lgpl", r"(?:this \w+ is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu lesser general public license,? version (?P<lgpl>2\.1|3)(?:\.0)?"),
-    ("agpl", r"(?:this \w+ is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu affero general public license,? version 3(?:\.0)?"),
+    ("bsd_endorse", r"(?:\d )?neither the name of (?s:.*?) may be used to endorse or promote products.*"),
+    ("bsd", _SUBJECT + r"(?:licensed|released|distributed) under (?:the )?(?:terms of the )?(?P<bsd>[23]) clause bsd license"),
+    ("gpl", _SUBJECT + r"(?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu general public license,? version (?P<gpl>[23])(?:\.0)?(?P<gplplus> or(?: any)? later(?: version)?)?"),
+    ("lgpl", _SUBJECT + r"(?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu lesser general public license,? version (?P<lgpl>2\.1|3)(?:\.0)?"),
+    ("agpl", _SUBJECT + r"(?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu affero general public license,? version 3(?:\.0)?"),
     ("or_later", r"(?:either version \d of the license )?or at your option any later version"),
     ("mpl", r"this source code form is subject to the terms of the mozilla public license v 2\.0"),
-    ("cc", r"(?:this \w+ is )?(?:licensed|released|distributed) under (?:the )?(?:terms of the )?(?:cc|creative commons) (?P<cc>by(?: nc| nd| sa)*|0)(?: (?P<ccv>\d\.\d))?(?: license)?"),
-    ("public_domain", r"(?:this \w+ is |released into |dedicated to )(?:in )?the public domain"),
+    ("cc", _SUBJECT + r"(?:licensed|released|distributed) under (?:the )?(?:terms of the )?(?:cc|creative commons) (?P<cc>by(?: nc| nd| sa)*|0)(?: (?P<ccv>\d\.\d))?(?: license)?"),
+    ("public_domain", r"(?:(?:.* )?(?:is|are) |released into |dedicated to )(?:in )?the public domain"),
     ("reserved", r"(?:copyright .* )?all rights reserved"),
     ("copyright", r"copyright (?:c )?\d{4}.*"),
-    ("any_licence", r"(?:this \w+ is )?(?:licensed|released|distributed) under .*(?:licen[sc]e|cc by).*"),
+    ("any_licence", _SUBJECT + r"(?:licensed|released|distributed) under (?s:.*?)(?:licen[sc]e|cc by).*"),
 )
 # Ordered rules, (licence, identifiers in order). A name in braces is what the sentence's pattern took.
 RULES = (
@@ -71,11 +74,17 @@ RULES = (
     ("Proprietary", ("reserved",)),
 )
 # Fixed value: every known sentence has one of these.
-HINT = r"(?i)licen[sc]|copyright|permission|rights reserved|redistribution|public domain|as[ -]is|may not use this|neither the name|later version|spdx"
+HINT = r"(?i)licen[sc]|copyright|permission|rights\W+reserved|redistribution|public\W+domain|as\W+is|may not use this|neither\W+the\W+name|later\W+version|spdx"
+# Known sentences of which only the beginning is given: they go on to the end of the sentence, or to the next that is known.
+OPEN = ("apache_asis", "mit_grant", "isc_grant", "asis", "bsd_source", "bsd_binary", "bsd_endorse")
 
-_CUT = re.compile(r"(?<=[.!?;:])(?<!Identifier:)\s+|[\n\r]+")
+_CUT = re.compile(r"(?<=[.!?;:])(?<!Identifier:)(?<!\b[vV]\.)\s+|[\n\r]+")
+_WORD, _VERSION = re.compile(r"[^\W_]"), re.compile(r"\b[vV]\.\Z")
+_LIST = re.compile(r"[^\w\n\r(]*\(?(?:\d{1,2}|[a-uw-zA-UW-Z])[.)](?:\s|\Z)|[ \t]*[-+\u2022]\s")
 _DROP = re.compile(r"[^\w.+]+|_+|(?<!\d)\.|\.(?!\d)")
-_HINTED, _KNOWN = re.compile(HINT), tuple((name, re.compile(p)) for name, p in SENTENCES)
+_LINES = re.compile(r"(\[[^\]]*\]|\.\* )| ")
+_HINTED = re.compile(HINT)
+_KNOWN = tuple((name, re.compile(f"^(?:{_LINES.sub(lambda m: m[1] or '[ \n]', p)})$", re.M)) for name, p in SENTENCES)
 
 
 @dataclass(frozen=True)
@@ -93,22 +102,62 @@ def normalised(sentence: str) -> str:
     return _DROP.sub(" ", sentence.lower()).strip()
 
 
-def sentences(text: str) -> list[Found]:
-    """The known licence sentences of a text, in order. Sentences end at a mark before space, and at line ends."""
-    out, a = [], 0
-    ends = [(m.start(), m.end()) for m in _CUT.finditer(text)] + [(len(text), len(text))]
-    for stop, after in ends:
-        s = text[a:stop]
-        if _HINTED.search(s):
-            s = re.sub(r"\s+", " ", normalised(s))
-            for name, pattern in _KNOWN:
-                if m := pattern.fullmatch(s):
-                    out.append(Found(name, a, stop, m.groupdict()))
-                    break
+def _joined(text: str) -> list[list[tuple[int, int]]]:
+    """The sentences of a text, each as the places of its lines.
+
+    Sentences end at a mark before space, at an empty line (or one of marks alone), and before
+    a list mark; not at other line ends, where a text may have been wrapped.
+    """
+    out, a, on = [], 0, False
+    for stop, after in [*((m.start(), m.end()) for m in _CUT.finditer(text)), (len(text), len(text))]:
+        if not _WORD.search(text, a, stop):
+            on = False
+        else:
+            if not on or _LIST.match(text, a, stop):
+                out.append([])
+            out[-1].append((a, stop))
+            gap = text[stop:after]
+            on = (text[stop - 1] not in ".!?;:" or bool(_VERSION.search(text, max(a, stop - 2), stop))) and gap.count("\n") < 2 and gap.count("\r") < 2
         a = after
     return out
 
 
+def _in_sentence(text: str, lines: list[tuple[int, int]]) -> list[Found]:
+    """The known sentences among the lines of one sentence."""
+    norm = [re.sub(r"\s+", " ", normalised(text[a:b])) for a, b in lines]
+    s, starts, stops, at = "\n".join(norm), {}, {}, 0
+    for i, line in enumerate(norm):
+        starts[at], stops[at + len(line)] = i, i
+        at += len(line) + 1
+    free, found = [(0, len(s))], []
+    for name, pattern in _KNOWN:
+        left = []
+        for a, b in free:
+            for m in pattern.finditer(s, a, b):
+                found.append((starts[m.start()], stops[m.end()], name, m.groupdict()))
+                if m.start() > a:
+                    left.append((a, m.start() - 1))
+                a = m.end() + 1
+            if a < b:
+                left.append((a, b))
+        free = left
+    found.sort(key=lambda f: f[0])
+    out = []
+    for (i, j, name, took), (after, *_) in zip(found, [*found[1:], (len(lines),)], strict=False):
+        stop = lines[after - 1 if name in OPEN else j][1]
+        out.append(Found(name, lines[i][0], stop, {k: v and v.replace("\n", " ") for k, v in took.items()}))
+    return out
+
+
+def sentences(text: str) -> list[Found]:
+    """The known licence sentences of a text, in order. A sentence may be wrapped; it has whole lines, or what marks leave of them."""
+    out = []
+    for lines in _joined(text):
+        if _HINTED.search(text, lines[0][0], lines[-1][1]):
+            out += _in_sentence(text, lines)
+    return out
+
+
 def _name(rule: str, parts: list[Found]) -> str:
     took: dict = {}
     for p in parts:

@@ -68,6 +68,68 @@ def test_licence_rules():
     assert names("A licence to kill.") == names("") == []
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation."""
+ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_licences_of_wrapped_texts(mark, end):
+    def names(t):
+        t = end.join(mark + line for line in t.split("\n"))
+        return [n for _, n in licences.licences(licences.sentences(t))]
+
+    assert names(MIT) == ["MIT"] and names("Copyright (c) 2020 A. Body\n\n" + MIT) == ["MIT"] and names(ISC) == ["ISC"] and names(MPL) == ["MPL-2.0"]
+    assert names(BSD) == ["BSD-2-Clause"] and names(BSD + ENDORSE) == ["BSD-3-Clause"] and names(APACHE) == ["Apache-2.0"]
+    assert names("Some words on it\nLicensed under the GNU General Public License, version 2\nor any later version.") == ["GPL-2.0-or-later"]
+    assert names("Foo is released under the MIT License.") == names("The Foo library is released under the\nMIT License") == ["MIT"]
+    assert names("Released into the public\ndomain.") == ["Public-Domain"] and names("Foo is not licensed under the MIT License.") == []
+    assert names("Foo is distributed under the terms of the\nBar License.") == ["UNKNOWN"]
+    assert names("Copyright 2020 Foo\nAll rights reserved") == ["Proprietary"]
+
+
+def test_places_of_wrapped_sentences():
+    text = "Intro.\n" + BSD
+    spans = [(f.name, text[f.start : f.stop]) for f in licences.sentences(text)]
+    assert [n for n, _ in spans] == ["bsd_grant", "bsd_source", "bsd_binary"]
+    assert spans[0][1].startswith("Redistribution and use") and spans[0][1].endswith("are met:") and spans[1][1].endswith("disclaimer.")
+
+
 def test_licences(spark, sf, odd, nothing):
     assert licences.scan(odd).count() == odd.count() and licences.scan(nothing).count() == 0
     df = spark.createDataFrame([(1, "é漢.\nReleased under the MIT License."), (None, None)], "doc_id long, text string")
