@@ -6,7 +6,7 @@ are mapped to the identifier of a known licence sentence, if they are one. The
 sequence of a document's identifiers is then matched against ordered rules, the most
 specific first; a rule takes the identifiers that it matches, so that later rules see what
 is left (the approach of German, Manabe and Inoue, 2010). Sentences that are known but
-taken by no rule are reported as UNKNOWN.
+taken by no rule are reported as UNKNOWN, except copyright lines.
 """
 
 from __future__ import annotations
@@ -169,7 +169,7 @@ def _name(rule: str, parts: list[Found]) -> str:
 
 
 def licences(found: list[Found]) -> list[tuple[int, str]]:
-    """(place in the sequence, licence) by the ordered rules; UNKNOWN for a licence sentence that no rule takes."""
+    """(place in the sequence, licence) by the ordered rules; UNKNOWN for a known sentence that no rule takes, but for copyright lines."""
     free, out = [True] * len(found), []
     for rule, names in RULES:
         i = 0
@@ -190,7 +190,7 @@ def licences(found: list[Found]) -> list[tuple[int, str]]:
                 i = j
             else:
                 i += 1
-    out += [(i, "UNKNOWN") for i, f in enumerate(found) if free[i] and f.name == "any_licence"]
+    out += [(i, "UNKNOWN") for i, f in enumerate(found) if free[i] and f.name != "copyright"]
     return sorted(out)
 
 

@@ -123,6 +123,13 @@ def test_licences_of_wrapped_texts(mark, end):
     assert names("Copyright 2020 Foo\nAll rights reserved") == ["Proprietary"]
 
 
+def test_known_sentences_that_no_rule_takes():
+    names = lambda t: [n for _, n in licences.licences(licences.sentences(t))]
+    assert names("Redistributions of source code must retain the above copyright notice.") == ["UNKNOWN"]
+    assert names("Released under the MIT License.\n\nYou may not use this file except in compliance with the License.") == ["MIT", "UNKNOWN"]
+    assert names("Copyright 2020 Foo") == []
+
+
 def test_places_of_wrapped_sentences():
     text = "Intro.\n" + BSD
     spans = [(f.name, text[f.start : f.stop]) for f in licences.sentences(text)]
