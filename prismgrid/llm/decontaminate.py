@@ -84,7 +84,7 @@ class Items:
 
 
 def _blocks(items: DataFrame, words: int, share: float, most: int) -> Iterator[Items]:
-    """The items in blocks of at most about `most` shingles; the driver holds one block at a time."""
+    """The items in blocks of at most about `most` shingles; the driver holds one block at a time. Null ids become 0."""
 
     def run(batches):
         for batch in batches:
@@ -96,12 +96,12 @@ def _blocks(items: DataFrame, words: int, share: float, most: int) -> Iterator[I
                 yield pa.RecordBatch.from_arrays([piece.column("item_id").take(pa.array(keep)), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in keep], pa.binary())], ["item_id", "shingles"])
 
     ids, sets, size = [], [], 0
-    for row in texts_of(items.where("item_id is not null"), "item_id").mapInArrow(run, "item_id long, shingles binary").toLocalIterator():
+    for row in texts_of(items, "item_id").mapInArrow(run, "item_id long, shingles binary").toLocalIterator():
         s = np.frombuffer(bytes(row.shingles), np.uint64)
         if sets and size + len(s) > most:
             yield Items.build(ids, sets, share)
             ids, sets, size = [], [], 0
-        ids.append(row.item_id)
+        ids.append(row.item_id or 0)
         sets.append(s)
         size += len(s)
     if sets:
@@ -113,12 +113,12 @@ def contained(docs: DataFrame, items: DataFrame, words: int = WORDS, share: floa
 
     docs: doc_id, text; items: item_id, text; other columns are ignored. Words are runs
     without ASCII white space, A-Z in lower case. Null and empty texts and items of fewer
-    than `words` words match nothing. Rows with the same id are judged each by itself. An
+    than `words` words match nothing, nor do items with a null id. Rows with the same id are judged each by itself. An
     empty table on either side gives no rows.
     """
     schema = "doc_id long, item_id long, n_item long, n_found long"
     spark, docs, out = docs.sparkSession, texts_of(docs, "doc_id"), None
-    for block in _blocks(items, words, share, most):
+    for block in _blocks(items.where("item_id is not null"), words, share, most):
         held = spark.sparkContext.broadcast(block)
 
         def run(batches, held=held):
@@ -137,7 +137,10 @@ def contained(docs: DataFrame, items: DataFrame, words: int = WORDS, share: floa
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, words: int = WORDS, share: float = SHARE, most: int = BLOCK_SHINGLES) -> DataFrame:
-    """docs without the rows that hold an item to this share, with the columns it came with; other rows are kept as they are."""
+    """docs without the rows that hold an item to this share, with the columns it came with; other rows are kept as they are.
+
+    Items with a null id count as well; those of fewer than `words` words do not.
+    """
     spark = docs.sparkSession
     for block in _blocks(items, words, share, most):
         held = spark.sparkContext.broadcast(block)

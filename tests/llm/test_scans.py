@@ -174,6 +174,13 @@ def test_contained_by_definition(spark, odd, odd_texts, most):
     assert kept == Counter((i, t) for i, t in odd_texts if not contained([(i, t)], items)) and hit
 
 
+def test_items_without_an_id_leak_too(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "not in any of the items here")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "b c d e f g"), (0, "an item that is nowhere else")], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.without_leaks(docs, items).collect()] == [2]
+    assert decontaminate.contained(docs, items).count() == 0
+
+
 def test_contained_of_nothing(spark, odd, nothing):
     items = nothing.select(F.col("doc_id").alias("item_id"), "text")
     assert decontaminate.contained(odd, items).count() == 0 and decontaminate.without_leaks(odd, items).count() == odd.count()
