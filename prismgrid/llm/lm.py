@@ -10,7 +10,8 @@ so an arc's weight is the log of the whole, and a failure arc's is log(m / (c(h)
 weights out of a state sum to one. At the bottom is the unigram state, absolutely
 discounted: P(w) = (c(w) - d) / N, with the mass d V / N on words never seen.
 
-A text is scored in one pass from left to right that carries the state. Counts are exact,
+The arcs and failure arcs of all tokens of a chunk are looked up at once, order by order,
+from the words before each; no state is carried along the text. Counts are exact,
 over all training texts. They are never gathered in one place: each chunk of texts asks
 the tasks that count a range of n-gram hashes for what it needs, and takes failure arcs
 where a count is zero. What is exchanged grows with the corpus.
