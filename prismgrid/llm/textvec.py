@@ -5,13 +5,15 @@ A word is a maximal run of bytes other than the six ASCII white-space bytes 0x20
 by numpy over the column's byte buffer: no Python object is made per word.
 
 Nulls count as empty texts; empty texts have no words. Hashes are 64-bit, the same on
-every machine and in every run.
+every machine and in every run. A very long text, or word, is worked on as a whole: it
+takes memory in proportion to its length.
 """
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,28 +23,15 @@ import pyarrow as pa
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_BYTE[_SPACE] = 0
-_BYTE_LOWER = _BYTE.copy()
-_BYTE_LOWER[65:91] = _BYTE[97:123]
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_BASE_INV = pow(_BASE, -1, 2**64)
-_SEGMENT = 1 << 18  # bytes hashed at a time: the working arrays stay in the cache
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: _FIRST[n] leaves the first n bytes of eight; words of more than _LONG bytes are hashed by BLAKE2b.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_LONG = 64
 #: Text bytes that one call works on, so that memory does not follow the batch.
 SLICE_BYTES = 1 << 21
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(1, U64)
-    while len(out) < n:
-        out = np.concatenate([out, out * U64(pow(base, len(out), 2**64))])
-    return out[:n]
-
-
-_POW, _INV = _powers(_BASE, _SEGMENT), _powers(_BASE_INV, _SEGMENT)
-
-
 def fmix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit (the finaliser of MurmurHash3)."""
     h = h ^ (h >> U64(33))
@@ -69,6 +58,11 @@ class Words:
     ends: np.ndarray
     first: np.ndarray
     hashes: np.ndarray
+    lower: bool = False
+
+    def again(self, seed: int = 1) -> np.ndarray:
+        """Hashes of the words that are independent of `hashes`."""
+        return word_hashes(self.data, self.starts, self.ends, self.lower, seed)
 
     @property
     def counts(self) -> np.ndarray:
@@ -99,30 +93,33 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def hash_from(data: np.ndarray, starts: np.ndarray, lower: bool) -> np.ndarray:
-    """Hash of the bytes from each start to the next, white space left out."""
-    table, out, i, n = _BYTE_LOWER if lower else _BYTE, np.empty(len(starts), U64), 0, len(starts)
-    while i < n:
-        at = int(starts[i])
-        j = int(np.searchsorted(starts, at + _SEGMENT, "right")) - 1  # words i..j-1 end before starts[j]
-        if i < j or j == n - 1 and len(data) - at <= _SEGMENT:
-            j = n if len(data) - at <= _SEGMENT else j
-            to = int(starts[j]) if j < n else len(data)
-            v = table[data[at:to]]
-            v *= _POW[: to - at]
-            rel = starts[i:j] - at
-            out[i:j] = np.add.reduceat(v, rel) * _INV[rel]
-        else:  # a word (with the space after it) longer than a segment
-            j = i + 1
-            to = int(starts[j]) if j < n else len(data)
-            total = 0
-            for a in range(at, to, _SEGMENT):
-                v = table[data[a : min(to, a + _SEGMENT)]]
-                v = v * _POW[: len(v)]
-                total += int(v.sum(dtype=U64)) * pow(_BASE, a - at, 2**64)
-            out[i] = U64(total % 2**64)
-        i = j
-    return fmix(out)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """Hash of the bytes from each start to its end; seeds give independent hashes. lower: A-Z as a-z.
+
+    Eight bytes at a time are mixed into the state, which begins with the length, so that
+    words of up to eight bytes and the same length never collide. Longer words do so by
+    chance alone (1 in 2**64): nothing is linear in the bytes. Words of more than _LONG
+    bytes go through a cryptographic hash.
+    """
+    if not len(starts):
+        return np.zeros(0, U64)
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = _LOWER[data] if lower else data
+    eight = np.ndarray(len(data) + 8, "<u8", padded, strides=(1,))
+    size = ends - starts
+    out = fmix(size.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(seed * 0xD6E8FEB86659FD93 % 2**64 + 1))
+    out = fmix(out ^ (eight[starts] & _FIRST[np.minimum(size, 8)]))
+    at, done = np.flatnonzero((size > 8) & (size <= _LONG)), 8
+    while len(at):
+        v = eight[starts[at] + done] & _FIRST[np.minimum(size[at] - done, 8)]
+        out[at] = fmix(out[at] ^ v)
+        done += 8
+        at = at[size[at] > done]
+    key = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(size > _LONG).tolist():
+        digest = hashlib.blake2b(padded[starts[i] : ends[i]], digest_size=8, key=key).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
 
 
 def split(texts: pa.Array, lower: bool = False, hashed: bool = True) -> Words:
@@ -140,7 +137,8 @@ def split(texts: pa.Array, lower: bool = False, hashed: bool = True) -> Words:
     end[inner - 1] = word[inner - 1]
     starts = np.flatnonzero(begin)
     ends = np.flatnonzero(end) + 1
-    return Words(data, starts, ends, np.searchsorted(starts, offsets), hash_from(data, starts, lower) if hashed else np.zeros(0, U64))
+    hashes = word_hashes(data, starts, ends, lower) if hashed else np.zeros(0, U64)
+    return Words(data, starts, ends, np.searchsorted(starts, offsets), hashes, lower)
 
 
 def gram(hashes: np.ndarray, n: int) -> np.ndarray:

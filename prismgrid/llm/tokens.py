@@ -7,9 +7,11 @@ gives the id at a place, the number of an id's occurrences and the place of its
 occurrence from one file, without writing the ids out.
 
 File format (little-endian): "PGWM", version u8, planes u8, reserved u16, ids u64,
-documents u64; then fields of u64 length + packed bytes: document ids (i64), nulls among
-them (u8), tokens a document (u64), and for each plane its bits and its rank directory
-(ones before every 512 bits, u32); last the CRC-32 of all before it.
+documents u64; then fields of u64 length + bytes: packed, the document ids (i64), nulls among
+them (u8) and tokens a document (u64); as they are, for each plane its bits and its rank
+directory (ones before every 512 bits, u32), each from a multiple of eight bytes, so that a
+file that is mapped into memory is read only where an access looks; last the CRC-32 of all
+before it.
 """
 
 from __future__ import annotations
@@ -147,33 +149,35 @@ def write_shard(doc_ids: pa.Array, counts: np.ndarray, ids: np.ndarray) -> bytes
     m = WaveletMatrix.build(ids)
     nulls = np.asarray(doc_ids.is_null()).astype(np.uint8)
     fields = [doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), nulls, counts.astype(np.uint64)]
-    for plane in m.planes:
-        fields += [plane.packed, plane.ranks]
-    out = bytearray(MAGIC + bytes([1, len(m.planes), 0, 0]) + len(ids).to_bytes(8, "little") + len(counts).to_bytes(8, "little"))
-    for f in fields:
-        blob = tv.pack(f)
-        out += len(blob).to_bytes(8, "little") + blob
+    blobs = [tv.pack(f) for f in fields] + [x.tobytes() for plane in m.planes for x in (plane.packed, plane.ranks.astype("<u4"))]
+    out = bytearray(MAGIC + bytes([2, len(m.planes), 0, 0]) + len(ids).to_bytes(8, "little") + len(counts).to_bytes(8, "little"))
+    for blob in blobs:
+        out += len(blob).to_bytes(8, "little") + blob + bytes(-len(blob) % 8)
     return bytes(out + zlib.crc32(out).to_bytes(4, "little"))
 
 
-def read_shard(blob: bytes) -> tuple[pa.Array, np.ndarray, WaveletMatrix]:
-    """Documents' ids, token counts and the wavelet matrix of a shard file."""
-    if blob[:4] != MAGIC or zlib.crc32(memoryview(blob)[:-4]) != int.from_bytes(blob[-4:], "little"):
+def read_shard(blob, check: bool = True) -> tuple[pa.Array, np.ndarray, WaveletMatrix]:
+    """Documents' ids, token counts and the wavelet matrix of a shard file (bytes, or a file mapped into memory).
+
+    The planes are views of the file. check: compare the checksum, which reads all of it.
+    """
+    blob = memoryview(blob)
+    if blob[:4] != MAGIC or blob[4] != 2 or check and zlib.crc32(blob[:-4]) != int.from_bytes(blob[-4:], "little"):
         raise ValueError("not a shard, or damaged")
     n, at = int.from_bytes(blob[8:16], "little"), 24
 
-    def field(dtype) -> np.ndarray:
+    def field() -> memoryview:
         nonlocal at
-        size = int.from_bytes(blob[at : at + 8], "little")
-        at += 8 + size
-        return tv.unpack(blob[at - size : at], dtype)
+        a, size = at + 8, int.from_bytes(blob[at : at + 8], "little")
+        at = a + size + -size % 8
+        return blob[a : a + size]
 
-    ids, nulls, counts = field(np.int64), field(np.uint8), field(np.uint64).astype(np.int64)
+    ids, nulls, counts = (tv.unpack(bytes(field()), kind) for kind in (np.int64, np.uint8, np.uint64))
     planes = []
     for _ in range(blob[5]):
-        bits = field(np.uint8)
-        planes.append(BitPlane(bits, n, field(np.uint32)))
-    return pa.array(ids, mask=nulls.astype(bool)), counts, WaveletMatrix(planes, n)
+        bits = np.frombuffer(field(), np.uint8)
+        planes.append(BitPlane(bits, n, np.frombuffer(field(), "<u4")))
+    return pa.array(ids, mask=nulls.astype(bool)), counts.astype(np.int64), WaveletMatrix(planes, n)
 
 
 # Marks that the tokenizer's pattern parts from a letter or digit before them, whatever follows.
@@ -183,15 +187,15 @@ _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 
 
-def _pieces(texts: pa.Array) -> tuple[tv.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _pieces(texts: pa.Array) -> tuple[tv.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """What is encoded once: words, the marks at a word's end apart, ASCII case folded as the tokenizer does.
 
-    Returns the words, the pieces' starts, ends and hashes, and each text's first piece. Texts
+    Returns the words, the pieces' starts, ends and two hashes, and each text's first piece. Texts
     that may hold a special token keep their words and case whole.
     """
     w = tv.split(texts, hashed=False)
     if b"<|" in w.data.tobytes():
-        return w, w.starts, w.ends, tv.hash_from(w.data, w.starts, False), w.first
+        return w, w.starts, w.ends, *(tv.word_hashes(w.data, w.starts, w.ends, False, seed) for seed in (2, 3)), w.first
     core = w.ends.copy()
     for _ in range(8):
         more = _TAIL[w.data[core - 1]] & (core - 1 > w.starts)
@@ -202,14 +206,16 @@ def _pieces(texts: pa.Array) -> tuple[tv.Words, np.ndarray, np.ndarray, np.ndarr
     starts = np.insert(w.starts, np.flatnonzero(cut) + 1, core[cut])
     n = np.concatenate([[0], np.cumsum(cut)])
     ends = np.insert(w.ends, np.flatnonzero(cut), core[cut])
-    return w, starts, ends, tv.hash_from(w.data, starts, True), w.first + n[w.first]
+    return w, starts, ends, *(tv.word_hashes(w.data, starts, ends, True, seed) for seed in (0, 1)), w.first + n[w.first]
 
 
 class Encoder:
     """Ids of texts by a word-bounded tokenizer, each distinct word encoded once and remembered.
 
     The tokenizer must drop white space and look at nothing beyond it, so that a text's ids
-    are its words' ids in order; ASCII white space separates words here.
+    are its words' ids in order; ASCII white space separates words here. A word is known by
+    a hash and confirmed by a second one, which up to eight bytes stands for the bytes
+    themselves; a word that is not confirmed is encoded by itself and not remembered.
     """
 
     _made: dict[str, Encoder] = {}
@@ -232,7 +238,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.start, self.size, self.second = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64)
         self.store = np.zeros(0, np.uint16 if self.small else np.uint32)
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -265,13 +271,14 @@ class Encoder:
         at[order] = np.cumsum(size[order]) - size[order]
         return flat[_ranges(at, size)], size
 
-    def _learn(self, words: list[str], hashes: np.ndarray) -> None:
+    def _learn(self, words: list[str], hashes: np.ndarray, second: np.ndarray) -> None:
         ids, size = self._ids(words)
         where = np.searchsorted(self.known, hashes)
         self.place = np.insert(self.place, where, np.arange(len(self.start), len(self.start) + len(size), dtype=np.int32))
         self.known = np.insert(self.known, where, hashes)
         self.start = np.concatenate([self.start, len(self.store) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size.astype(np.int32)])
+        self.second = np.concatenate([self.second, second])
         self.store = np.concatenate([self.store, ids])
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
@@ -283,7 +290,9 @@ class Encoder:
 
     def encode(self, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with `end` after it; how many each text has)."""
-        w, starts, ends, hashes, first_piece = _pieces(texts)
+        w, starts, ends, hashes, second, first_piece = _pieces(texts)
+        raw = w.data.tobytes()
+        words = lambda at: [raw[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
         code, seen = pd.factorize(hashes)
         place = self._find(seen)
         new = np.flatnonzero(place < 0)
@@ -294,14 +303,20 @@ class Encoder:
             new = new[np.argsort(seen[new])]
             first = np.empty(len(seen), np.int64)
             first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-            raw = w.data.tobytes()
-            self._learn([raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)], seen[new])
+            self._learn(words(first[new]), seen[new], second[first[new]])
             place = self._find(seen)
+        own = place[code] if len(code) else np.zeros(0, np.int64)
+        start, size, store = self.start, self.size, self.store
+        other = np.flatnonzero(self.second[own] != second)
+        if len(other):  # another word with the same hash
+            more, n = self._ids(words(other))
+            own[other] = len(start) + np.arange(len(other))
+            start, size, store = np.concatenate([start, len(store) + np.cumsum(n) - n]), np.concatenate([size, n.astype(np.int32)]), np.concatenate([store, more])
         # the end is one more word, behind each text's own
-        order = np.insert(place[code] if len(code) else np.zeros(0, np.int64), first_piece[1:], len(self.start))
-        start, size = np.append(self.start, len(self.store)), np.append(self.size, np.int32(1))
+        order = np.insert(own, first_piece[1:], len(start))
+        start, size = np.append(start, len(store)), np.append(size, np.int32(1))
         n = size[order].astype(np.int64)
-        ids = np.append(self.store, self.store.dtype.type(end))[_ranges(start[order], n)]
+        ids = np.append(store, store.dtype.type(end))[_ranges(start[order], n)]
         stop = np.concatenate([[0], np.cumsum(n)])
         return ids, np.diff(stop[first_piece + np.arange(len(first_piece))])
 
@@ -351,7 +366,8 @@ def write(docs: DataFrame, tokenizer: str, end: int = END, shard: int = SHARD, o
     docs: doc_id, text and `order`; other columns are ignored. tokenizer: the path of a
     tokenizers file. Null texts count as empty and have the end id alone; rows of the same
     order value are sorted by their text, null ids come first. Shards are numbered by
-    partition and within it; an empty table has none.
+    partition and within it; an empty table has none. A very long text is encoded whole and
+    makes a shard of its own size.
     """
     spark = docs.sparkSession
     with open(tokenizer, encoding="utf-8") as f:
