@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import math
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,9 +20,15 @@ from prismgrid.llm import textvec as tv
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a folder of our own if all tasks run in the driver's process; an
+    error on a cluster, whose machines would each write to their own disk.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="prismgrid-")
         spark.sparkContext.setCheckpointDir(at)
     elif not spark.sparkContext.getCheckpointDir():
@@ -29,7 +36,14 @@ def shared_folder(spark: SparkSession) -> str:
     return at
 
 
-_SCRATCH: list[list[tuple[str, str]]] = []
+class _Scratch(threading.local):
+    """The scratch() blocks that a thread is in, each with its tables."""
+
+    def __init__(self):
+        self.blocks: list[list[tuple[str, str]]] = []
+
+
+_SCRATCH = _Scratch()
 
 
 def _remove(spark: SparkSession, path: str, table: str) -> None:
@@ -45,18 +59,36 @@ def _remove(spark: SparkSession, path: str, table: str) -> None:
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
     """Tables that are saved inside go at its end, but for those saved with keep: results must not read the others."""
-    _SCRATCH.append([])
+    _SCRATCH.blocks.append([])
     try:
         yield
     finally:
-        for path, table in _SCRATCH.pop():
+        for path, table in _SCRATCH.blocks.pop():
             _remove(spark, path, table)
 
 
-def saved(df: DataFrame, bucket: str | None = None, keep: bool = False, dealt: bool = False) -> DataFrame:
+#: Bytes of input for a bucket of a chunk table, about.
+BUCKET_BYTES = 128 << 20
+
+
+def buckets_of(df: DataFrame) -> int:
+    """Into how many buckets to lay out a table made of df: by the size of its sources, one a shuffle partition at least.
+
+    The size is what Spark knows of the files; sources of unknown size count for nothing.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    spark = df.sparkSession
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    known = sum(x for x in sizes if x < 2**60)  # Spark gives 2**63 - 1 where it does not know
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(known // BUCKET_BYTES, most))
+
+
+def saved(df: DataFrame, bucket: str | None = None, keep: bool = False, dealt: bool = False, buckets: int | None = None) -> DataFrame:
     """df as a table written to the shared folder: cuts the lineage and survives lost executors.
 
-    bucket: lay the table out by this column, so that joins on it move only the other side;
+    bucket: lay the table out by this column, so that joins on it move only the other side,
+    into so many buckets (shuffle partitions);
     dealt: with a shuffle before, for one file a bucket in place of one a task and bucket.
     The table goes with the innermost scratch(), with the one around that if keep, or when
     the driver ends.
@@ -64,7 +96,7 @@ def saved(df: DataFrame, bucket: str | None = None, keep: bool = False, dealt: b
     spark = df.sparkSession
     name = f"prismgrid_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark).rstrip('/')}/{name}"
-    around = _SCRATCH[: len(_SCRATCH) - keep]
+    around = _SCRATCH.blocks[: len(_SCRATCH.blocks) - keep]
     if around:
         around[-1].append((path, name if bucket else ""))
     else:
@@ -72,7 +104,7 @@ def saved(df: DataFrame, bucket: str | None = None, keep: bool = False, dealt: b
     if bucket is None:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     if dealt:
         df = df.repartition(n, bucket)
     df.write.bucketBy(n, bucket).option("path", path).format("parquet").saveAsTable(name)
@@ -118,7 +150,8 @@ def text_chunks(docs: DataFrame, most: int) -> DataFrame:
             }
             yield pa.RecordBatch.from_pylist([row])
 
-    return saved(texts_of(docs, "doc_id").mapInArrow(pack, _TEXTS), bucket="chunk", dealt=True)
+    docs = texts_of(docs, "doc_id")
+    return saved(docs.mapInArrow(pack, _TEXTS), bucket="chunk", dealt=True, buckets=buckets_of(docs))
 
 
 def texts_in(row: pa.RecordBatch) -> tuple[pa.Array, pa.Array]:
@@ -161,7 +194,7 @@ def asks(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.R
             pa.array([chunk] * len(on), pa.int64()),
             pa.array(on, pa.int32()),
             pa.array([tv.pack_sorted(keys[cut[b] : cut[b + 1]]) for b in on], pa.binary()),
-            pa.array([tv.pack(counts[cut[b] : cut[b + 1]].astype(np.uint32)) for b in on], pa.binary()),
+            pa.array([tv.pack(counts[cut[b] : cut[b + 1]].astype(np.uint64)) for b in on], pa.binary()),
         ],
         ["chunk", "bucket", "keys", "counts"],
     )
@@ -186,23 +219,23 @@ def _own_bucket(table: pa.Table) -> pa.Table:
     chunk = np.repeat(table["chunk"].to_numpy(), np.diff(ends, prepend=0))
     order = np.lexsort((chunk, flat))
     flat = flat[order]
-    out = np.empty(len(flat), np.uint32)
+    out = np.empty(len(flat), np.uint64)
     out[order] = np.r_[True, flat[1:] != flat[:-1]]
     return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "totals": pa.array([tv.pack(x) for x in np.split(out, ends[:-1])], pa.binary())})
 
 
 def _sum_bucket(table: pa.Table) -> pa.Table:
     flat, ends = _flat(table)
-    counts = np.concatenate([tv.unpack(x, np.uint32) for x in table["counts"].to_pylist()])
+    counts = np.concatenate([tv.unpack(x, np.uint64) for x in table["counts"].to_pylist()])
     order = np.argsort(flat)
     flat = flat[order]
     new = np.r_[True, flat[1:] != flat[:-1]]
-    total = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(new))
-    out = np.empty(len(flat), np.uint32)
-    out[order] = np.minimum(total, 2**32 - 1)[np.cumsum(new) - 1]
+    total = np.add.reduceat(counts[order], np.flatnonzero(new))
+    out = np.empty(len(flat), np.uint64)
+    out[order] = total[np.cumsum(new) - 1]
     parts = np.split(out, ends[:-1])
     # and one row of the bucket's own: how many keys have a total of 1 or more, of 1, of 2
-    about = tv.pack(np.array([(total >= 1).sum(), (total == 1).sum(), (total == 2).sum()], np.uint32))
+    about = tv.pack(np.array([(total >= 1).sum(), (total == 1).sum(), (total == 2).sum()], np.uint64))
     bucket = table["bucket"].to_pylist()
     return pa.table({"chunk": pa.array([*table["chunk"].to_pylist(), -1], pa.int64()), "bucket": pa.array([*bucket, bucket[0]], pa.int32()), "totals": pa.array([*(tv.pack(x) for x in parts), about], pa.binary())})
 
@@ -232,13 +265,13 @@ def about(tallied: DataFrame) -> tuple[int, int, int]:
     """How many keys have a total of 1 or more, of 1, and of 2: a few numbers from each bucket, summed."""
     sums = [0, 0, 0]
     for row in tallied.where("chunk < 0").select("totals").toLocalIterator():
-        sums = [a + int(b) for a, b in zip(sums, tv.unpack(bytes(row.totals), np.uint32), strict=True)]
+        sums = [a + int(b) for a, b in zip(sums, tv.unpack(bytes(row.totals), np.uint64), strict=True)]
     return tuple(sums)
 
 
 def totals(blobs: list[bytes] | None) -> np.ndarray:
     """The totals of a chunk as one array."""
-    return np.concatenate([tv.unpack(b, np.uint32) for b in blobs]) if blobs else np.zeros(0, np.uint32)
+    return np.concatenate([tv.unpack(b, np.uint64) for b in blobs]).view(np.int64) if blobs else np.zeros(0, np.int64)
 
 
 def map_rows(fn: Callable[[dict], Iterator[pa.RecordBatch] | list[pa.RecordBatch]]) -> Callable:
