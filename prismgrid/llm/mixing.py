@@ -9,7 +9,11 @@ others; when no block is released, the clock moves on to the next release.
 
 The schedule runs from the first block to the last in frames of FRAME blocks: one pass over a
 row of the sources keeps their states where frames begin, and frames then list their blocks
-side by side. A step looks at every source with blocks left.
+side by side, each with the number of documents before it. A step looks at every source with
+blocks left.
+
+Documents are numbered in parts: a hash of doc_id deals a source to as many parts as the
+table's size asks for, so that no part follows the size of a source.
 """
 
 from __future__ import annotations
@@ -19,8 +23,8 @@ from pyspark.sql import functions as F
 
 from prismgrid.llm.common import saved
 
-#: Documents in a block; slots in a period where one is asked for (about, and at least one a source); ranges a source is numbered by.
-BLOCK, PERIOD, RANGES = 64, 1000, 1021
+#: Documents in a block; documents of the table for each part that sources are numbered by, and parts at least.
+BLOCK, PART, PARTS = 64, 1 << 18, 64
 #: Blocks in a frame of the schedule (at least one a source); how near to a whole number a time is taken for it.
 FRAME, NEAR = 1000, 1e-13
 
@@ -31,9 +35,10 @@ def _key(source: Column) -> Column:
 
 
 def _parted(docs: DataFrame, *keep: str) -> DataFrame:
-    """doc_id, source, key, part and the columns to keep: each source in RANGES parts by doc_id."""
-    part = F.coalesce(F.pmod("doc_id", F.lit(RANGES)), F.lit(-1)).cast("int")
-    return docs.select("doc_id", "source", *keep).withColumns({"key": _key(F.col("source")), "part": part})
+    """doc_id, source, key, part and the columns to keep: sources in parts by a hash of doc_id, null ids in one of their own."""
+    parts = max(PARTS, -(-docs.count() // PART))
+    part = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long") % parts
+    return docs.select("doc_id", "source", *keep).withColumns({"key": _key(F.col("source")), "part": F.coalesce(part, F.lit(-1)).cast("int")})
 
 
 def _sizes(rows: DataFrame) -> DataFrame:
@@ -44,15 +49,6 @@ def _sizes(rows: DataFrame) -> DataFrame:
     return size.select("key", "part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), F.sum("n").over(every).alias("total"))
 
 
-def shares(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, period: int = PERIOD) -> DataFrame:
-    """key, slots: each source's slots in a period.
-
-    weights: target weights by source (sources without one get no weight of their own but
-    one slot a period). None: in proportion to the number of documents to this power.
-    """
-    return _slots(docs.groupBy(_key(F.col("source")).alias("key")).agg(F.count("*").alias("n")), weights, power, period)
-
-
 def _weights(n: DataFrame, weights: dict[str, float] | None, power: float) -> DataFrame:
     """The sources' sizes (key, n) with their weights w, which need not sum to one."""
     if weights is None:
@@ -63,19 +59,13 @@ def _weights(n: DataFrame, weights: dict[str, float] | None, power: float) -> Da
     return n.withColumn("w", cases)
 
 
-def _slots(n: DataFrame, weights: dict[str, float] | None, power: float, period: int) -> DataFrame:
-    """shares() from the sources' sizes (key, n)."""
-    n = _weights(n, weights, power)
-    total = F.greatest(F.sum("w").over(Window.partitionBy(F.lit(0))), F.lit(1e-300))  # a row a source
-    return n.select("key", F.greatest(F.lit(1), F.floor(period * F.col("w") / total)).cast("int").alias("slots"))
-
-
-def _block(late: Column, pace: Column, blocks: Column, i: Column, j: Column) -> Column:
-    """Block j of source i with its times, null if there is none."""
-    whole = lambda x: F.least(x, F.lit(1e18)).cast("long")
-    release = whole(F.floor(j * pace * (1 + NEAR) + NEAR).cast("double"))
-    due = whole(F.ceil((j + 1) * pace * (1 - NEAR) - NEAR).cast("double"))
-    return F.when(j < blocks, F.struct(late.alias("late"), release.alias("release"), due.alias("due"), i.alias("i"), j.alias("j"), pace.alias("pace"), blocks.alias("blocks")))
+def _block(x: Column, i: Column, j: Column) -> Column:
+    """Block j of source i with its times, null if there is none; x: the source's late, pace, blocks and n."""
+    whole = lambda t: F.least(t, F.lit(1e18)).cast("long")
+    release = whole(F.floor(j * x["pace"] * (1 + NEAR) + NEAR).cast("double"))
+    due = whole(F.ceil((j + 1) * x["pace"] * (1 - NEAR) - NEAR).cast("double"))
+    own = [x[c].alias(c) for c in ("pace", "blocks", "n")]
+    return F.when(j < x["blocks"], F.struct(x["late"].alias("late"), release.alias("release"), due.alias("due"), i.alias("i"), j.alias("j"), *own))
 
 
 def _let(value: Column, body) -> Column:
@@ -83,84 +73,74 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _run(state: Column, steps: Column, listed: bool) -> Column:
-    """The state (t: the clock, next: the sources' next blocks) after some steps; listed: the blocks that they run instead."""
-    ran = F.array().cast("array<struct<slot:bigint,i:int,j:bigint>>")
+def _run(state: Column, steps: Column, block: int, listed: bool) -> Column:
+    """The state after some steps; listed: the blocks that they run instead.
+
+    The state is t (the clock), docs (how many have their places) and next (the sources' next blocks).
+    """
+    ran = F.array().cast("array<struct<slot:bigint,i:int,j:bigint,start:bigint>>")
 
     def step(acc: Column, _: Column) -> Column:
-        ready = F.transform(acc["next"], lambda x: F.when(x.isNotNull(), F.struct(x["late"].alias("late"), F.greatest(x["release"], acc["t"]).alias("slot"), x["due"].alias("due"), x["i"].alias("i"), x["j"].alias("j"))))
+        def waiting(x: Column) -> Column:
+            size = F.least(F.lit(block), x["n"] - x["j"] * block)
+            return F.struct(x["late"].alias("late"), F.greatest(x["release"], acc["t"]).alias("slot"), x["due"].alias("due"), x["i"].alias("i"), x["j"].alias("j"), size.alias("size"))
+
+        ready = F.transform(acc["next"], lambda x: F.when(x.isNotNull(), waiting(x)))
 
         def after(p: Column) -> Column:
-            following = F.transform(acc["next"], lambda x: F.when(x["i"] == p["i"], _block(x["late"], x["pace"], x["blocks"], x["i"], x["j"] + 1)).otherwise(x))
-            out = [F.array_append(acc["ran"], F.struct(p["slot"].alias("slot"), p["i"].alias("i"), p["j"].alias("j"))).alias("ran")] if listed else []
-            return F.struct((p["slot"] + 1).alias("t"), following.alias("next"), *out)
+            following = F.transform(acc["next"], lambda x: F.when(x["i"] == p["i"], _block(x, x["i"], x["j"] + 1)).otherwise(x))
+            one = F.struct(p["slot"].alias("slot"), p["i"].alias("i"), p["j"].alias("j"), acc["docs"].alias("start"))
+            out = [F.array_append(acc["ran"], one).alias("ran")] if listed else []
+            return F.struct((p["slot"] + 1).alias("t"), (acc["docs"] + p["size"]).alias("docs"), following.alias("next"), *out)
 
         return _let(F.array_min(ready), after)
 
-    start = F.struct(state["t"].alias("t"), state["next"].alias("next"), *([ran.alias("ran")] if listed else []))
-    done = (lambda acc: acc["ran"]) if listed else (lambda acc: F.struct(acc["t"].alias("t"), F.array_compact(acc["next"]).alias("next")))
-    return F.aggregate(F.sequence(F.lit(1).cast("long"), steps), start, step, done)
+    start = F.struct(state["t"].alias("t"), state["docs"].alias("docs"), state["next"].alias("next"), *([ran.alias("ran")] if listed else []))
+    end = lambda acc: F.struct(acc["t"].alias("t"), acc["docs"].alias("docs"), F.array_compact(acc["next"]).alias("next"))
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), steps), start, step, (lambda acc: acc["ran"]) if listed else end)
 
 
-def schedule(sources: DataFrame, frame: int = FRAME) -> DataFrame:
-    """key, block, slot, turn, nr: the slot of every block of each source (key, w, blocks); earliest deadline first.
+def schedule(sources: DataFrame, block: int = BLOCK, frame: int = FRAME) -> DataFrame:
+    """key, block, slot, start: the slot of every block of each source (key, w, n) and the documents before it; earliest deadline first.
 
-    turn and nr: the block's frame and its place there. Sources of no weight come after all
-    others, in turn. The table of sources has a row a source; it becomes one row of arrays.
+    Sources of no weight come after all others, in turn. The table of sources has a row a
+    source; it becomes one row of arrays.
     """
     every = Window.partitionBy(F.lit(0))  # a row a source
     w = F.when(F.col("w") > 0, F.col("w")).otherwise(F.lit(0.0))
     late = (w == 0).cast("int")
     pace = F.when(w == 0, F.sum(late).over(every).cast("double")).otherwise(F.sum(w).over(every) / F.when(w > 0, w))
-    one = sources.where("blocks > 0").select("key", late.alias("late"), pace.alias("pace"), F.col("blocks").cast("long").alias("blocks"))
-    one = one.agg(F.sort_array(F.collect_list(F.struct("key", "late", "pace", "blocks"))).alias("s")).where("size(s) > 0")
+    n = F.col("n").cast("long")
+    one = sources.where("n > 0").select("key", late.alias("late"), pace.alias("pace"), F.ceil(n / block).cast("long").alias("blocks"), n.alias("n"))
+    one = one.agg(F.sort_array(F.collect_list(F.struct("key", "late", "pace", "blocks", "n"))).alias("s")).where("size(s) > 0")
     one = one.select("s", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["blocks"]).alias("total"), F.greatest(F.lit(frame), F.size("s")).cast("long").alias("frame"))
-    first = F.transform("s", lambda x, i: _block(x["late"], x["pace"], x["blocks"], i, F.lit(0).cast("long")))
-    begin = F.struct(F.lit(0).cast("long").alias("t"), first.alias("next"))
+    first = F.transform("s", lambda x, i: _block(x, i, F.lit(0).cast("long")))
+    begin = F.struct(F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("docs"), first.alias("next"))
     later = F.filter(F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / F.col("frame"))), lambda k: k > 0)
-    move = lambda acc, _: _let(_run(acc["now"], F.col("frame"), False), lambda now: F.struct(now.alias("now"), F.array_append(acc["all"], now).alias("all")))
+    move = lambda acc, _: _let(_run(acc["now"], F.col("frame"), block, False), lambda now: F.struct(now.alias("now"), F.array_append(acc["all"], now).alias("all")))
     states = F.aggregate(later, F.struct(begin.alias("now"), F.array(begin).alias("all")), move, lambda acc: acc["all"])
     frames = one.select(F.col("s.key").alias("keys"), "total", "frame", F.posexplode(states).alias("turn", "state")).withColumn("turn", F.col("turn").cast("long")).repartition("turn")
     steps = F.least(F.col("frame"), F.col("total") - F.col("turn") * F.col("frame"))
-    rows = frames.select("keys", "turn", F.posexplode(_run(F.col("state"), steps, True)).alias("nr", "b"))
-    return rows.select(F.get("keys", F.col("b.i")).alias("key"), F.col("b.j").alias("block"), F.col("b.slot").alias("slot"), "turn", "nr")
-
-
-def one_period(shares: DataFrame) -> DataFrame:
-    """key, slots, period, j, slot: the slot of each block j < slots of each source in one period; earliest deadline first."""
-    plan = schedule(shares.select("key", F.col("slots").cast("double").alias("w"), F.col("slots").alias("blocks")))
-    sizes = shares.select("key", "slots", F.sum("slots").over(Window.partitionBy(F.lit(0))).cast("int").alias("period"))
-    return plan.join(sizes, "key").select("key", "slots", "period", F.col("block").cast("int").alias("j0"), F.col("slot").cast("int").alias("slot0"))
+    rows = frames.select("keys", F.explode(_run(F.col("state"), steps, block, True)).alias("b"))
+    return rows.select(F.get("keys", F.col("b.i")).alias("key"), F.col("b.j").alias("block"), F.col("b.slot").alias("slot"), F.col("b.start").alias("start"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block: int = BLOCK, period: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block: int = BLOCK, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, block, slot, position (all from 0) and the columns to keep: the documents' places in the mixed order.
 
-    A source's documents are in order of doc_id mod RANGES, then doc_id, so that a large source
-    is numbered by many tasks. Every row gets one place; places run from 0 without gaps. A null source is a source of
-    its own; null ids come first in theirs, and rows with the same id in any order next to
-    each other. Empty tables give no rows. Other columns are ignored.
+    weights: target weights by source; sources without one, or with zero, come last. None: in
+    proportion to the number of documents to this power. A source's documents are in order of
+    their part, then doc_id. Every row gets one place; places run from 0 without gaps. A null
+    source is a source of its own; null ids come first in theirs, and rows with the same id in
+    any order next to each other. Empty tables give no rows. Other columns are ignored; texts
+    are not read, however long.
     """
     rows = _parted(docs, *keep)
     size = saved(_sizes(rows))
     counts = size.groupBy("key").agg(F.sum("n").alias("n"))
-    blocks_of = F.ceil(F.col("n") / block).alias("blocks")
-    if period is None:
-        sources = _weights(counts, weights, power).select("key", "w", blocks_of)
-    else:
-        sources = _slots(counts, weights, power, period).join(counts, "key").select("key", F.col("slots").cast("double").alias("w"), blocks_of)
-    last = F.floor((F.col("offset") + F.col("n") - 1) / block)
-    blocks = saved(schedule(sources)).join(counts.withColumnRenamed("n", "total"), "key")
-    blocks = blocks.select("key", "block", F.least(F.lit(block), F.col("total") - F.col("block") * block).alias("n"), "turn", "nr", "slot")
-    # where each begins: sums over groups of frames, frames, and blocks of a frame
-    blocks = blocks.withColumn("group", F.floor(F.col("turn") / 4096))
-    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    turns = blocks.groupBy("group", "turn").agg(F.sum("n").alias("n"))
-    groups = turns.groupBy("group").agg(F.sum("n").alias("n")).select("group", F.coalesce(F.sum("n").over(Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("g_start"))
-    turns = turns.select("group", "turn", F.coalesce(F.sum("n").over(before("group", "turn")), F.lit(0)).alias("t_start"))
-    blocks = blocks.withColumn("b_start", F.coalesce(F.sum("n").over(before("turn", "nr")), F.lit(0)))
-    blocks = blocks.join(turns, ["group", "turn"]).join(groups, "group").select("key", "block", "slot", (F.col("g_start") + F.col("t_start") + F.col("b_start")).alias("start"))
+    blocks = saved(schedule(_weights(counts, weights, power), block))
     # a row for each part with the blocks that it reaches: documents are joined where they have been numbered
+    last = F.floor((F.col("offset") + F.col("n") - 1) / block)
     reached = size.select("key", "part", F.explode(F.sequence(F.floor(F.col("offset") / block), last)).alias("block")).join(blocks, ["key", "block"])
     reached = reached.groupBy("key", "part").agg(F.sort_array(F.collect_list(F.struct("block", "slot", "start"))).alias("_b"))
     where = size.select("key", "part", "offset").join(reached, ["key", "part"])
@@ -170,10 +150,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     return rows.select("doc_id", "source", *place, *keep)
 
 
-def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block: int = BLOCK, period: int | None = None) -> DataFrame:
-    """All rows of docs with all its columns, sorted by their place in the mixed order."""
+def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, block: int = BLOCK) -> DataFrame:
+    """All rows of docs with all its columns, whatever their names, sorted by their place in the mixed order.
+
+    Nulls, ties, repeated rows and empty tables are as in mix(); very long texts move as they are.
+    """
     packed = docs.select(F.col("doc_id"), F.col("source"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return mix(packed, weights, power, block, period, keep=("row",)).orderBy("position").select("row.*")
+    return mix(packed, weights, power, block, keep=("row",)).orderBy("position").select("row.*")
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -184,32 +167,30 @@ def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
 SQL = {
     "op1_mix_sources": f"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, coalesce('=' || source, '') AS key, coalesce(((doc_id % {RANGES}) + {RANGES}) % {RANGES}, -1) AS part FROM documents
-), w AS (
-  SELECT key, count(*) AS n, sqrt(CAST(count(*) AS DOUBLE)) AS w FROM d GROUP BY key
-), share AS (
-  SELECT key, greatest(1, CAST(floor({PERIOD} * w / (SELECT sum(w) FROM w)) AS BIGINT)) AS slots FROM w
+  SELECT doc_id, source, coalesce('=' || source, '') AS key,
+         coalesce(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % (SELECT greatest({PARTS}, (count(*) + {PART} - 1) // {PART}) FROM documents), -1) AS part
+  FROM documents
+), n AS (
+  SELECT key, count(*) AS n FROM d GROUP BY key
 ), one AS (
-  SELECT list(key ORDER BY key) AS keys, list(slots ORDER BY key) AS slots, CAST(sum(slots) AS BIGINT) AS period FROM share
-), sim(t, pick, j, done) AS (
-  SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), list_transform(slots, lambda x: CAST(0 AS BIGINT)) FROM one
+  SELECT list(key ORDER BY key) AS keys, list((SELECT sum(sqrt(CAST(n AS DOUBLE))) FROM n) / sqrt(CAST(n AS DOUBLE)) ORDER BY key) AS pace, list((n + {BLOCK} - 1) // {BLOCK} ORDER BY key) AS blocks FROM n
+), sim(turn, t, pick, j, slot, done) AS (
+  SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), list_transform(keys, lambda k: CAST(0 AS BIGINT)) FROM one
   UNION ALL
-  SELECT t + 1, p, done[p], list_transform(range(1, len(done) + 1), lambda i: done[i] + CASE WHEN i = p THEN 1 ELSE 0 END)
+  SELECT turn + 1, p.slot + 1, p.i, done[p.i], p.slot, list_transform(range(1, len(done) + 1), lambda i: done[i] + CASE WHEN i = p.i THEN 1 ELSE 0 END)
   FROM (
-    SELECT t, done, period, list_min(list_transform(range(1, len(done) + 1), lambda i:
-      CASE WHEN (done[i] * period) // slots[i] <= t + 1 THEN (((done[i] + 1) * period + slots[i] - 1) // slots[i]) * 1000000 + i ELSE 1000000000000000 END)) % 1000000 AS p
-    FROM sim, one WHERE t + 1 < period
-  )
-), plan AS (
-  SELECT keys[pick] AS key, slots[pick] AS slots, period, j AS j0, t AS slot0 FROM sim, one WHERE t >= 0
+    SELECT turn, done, list_sort(list_transform(list_filter(range(1, len(done) + 1), lambda i: done[i] < blocks[i]), lambda i: struct_pack(
+      slot := greatest(t, CAST(floor(done[i] * pace[i] * (1 + {NEAR}::DOUBLE) + {NEAR}::DOUBLE) AS BIGINT)),
+      due := CAST(ceil((done[i] + 1) * pace[i] * (1 - {NEAR}::DOUBLE) - {NEAR}::DOUBLE) AS BIGINT), i := i)))[1] AS p
+    FROM sim, one WHERE t IS NOT NULL
+  ) WHERE p IS NOT NULL
 ), num AS (
   SELECT *, row_number() OVER (PARTITION BY key ORDER BY part, doc_id) - 1 AS nr FROM d
 ), placed AS (
-  SELECT doc_id, source, nr // {BLOCK} AS block, (nr // {BLOCK}) // slots * period + slot0 AS slot, nr
-  FROM num JOIN plan ON plan.key = num.key AND plan.j0 = (nr // {BLOCK}) % slots
+  SELECT doc_id, source, nr // {BLOCK} AS block, slot, nr, turn FROM num JOIN (SELECT keys[pick] AS key, j, slot, turn FROM sim, one WHERE turn >= 0) AS plan ON plan.key = num.key AND plan.j = nr // {BLOCK}
 )
 SELECT doc_id, source, CAST(block AS BIGINT) AS block, CAST(slot AS BIGINT) AS slot,
-       CAST(row_number() OVER (ORDER BY slot, nr) - 1 AS BIGINT) AS position
+       CAST(row_number() OVER (ORDER BY turn, nr) - 1 AS BIGINT) AS position
 FROM placed
 """,
 }
