@@ -54,18 +54,49 @@ ALLOW = (
     r"(?i)^(?:0123456789abcdef)+$|^(?:abcdefghijklmnopqrstuvwxyz)",
     r"^[A-Z]?[a-z]+(?:[-_/][A-Z]?[a-z]+)*$",
 )
+#: Windows that are looked at in one piece of a run, so that memory does not follow the run's length; matches that are placed at a time.
+PIECE, GROUP = 2048, 256
+
+
+def _in_java(rule: str) -> str:
+    """The rule with possessive repetitions of groups, for which Java's matcher needs no stack; they match the same here.
+
+    A repetition of one of the groups above can be left in one way only, so giving back
+    what it took never helps.
+    """
+    return re.sub(r"(\(\?:[^()]*\))([*+])", r"\1\2+", rule)
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value evaluated once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def _places(text: Column, pattern: str) -> Column:
-    """All leftmost non-overlapping matches: array of (start, match), in code points from 0."""
+    """All leftmost non-overlapping matches: array of (start, match), in code points from 0.
+
+    The running sums go through the matches in groups, as appending copies what is there:
+    the work is in proportion to the matches, however many a text has.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("match"))  # evaluated once, not in the loop
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x["gap"]) + F.length(x["match"])).alias("at"),
-        F.array_append(acc["out"], F.struct((acc["at"] + F.length(x["gap"])).alias("start"), x["match"].alias("match"))).alias("out"),
-    )
-    empty = F.array().cast("array<struct<start:int,match:string>>")
-    return F.aggregate(F.filter(both, lambda x: x["match"].isNotNull()), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+    none, kind = F.array(), "array<struct<start:int,match:string>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        return F.struct((start + F.length(x["match"])).alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), x["match"].alias("match"))).alias("out"))
+
+    def group(acc: Column, some: Column) -> Column:
+        done = F.aggregate(some, F.struct(acc["at"].alias("at"), none.cast(kind).alias("out")), step)
+        return _let(done, lambda r: F.struct(r["at"].alias("at"), F.array_append(acc["out"], r["out"]).alias("out")))
+
+    def all_of(x: Column) -> Column:
+        cuts = F.sequence(F.lit(1), F.size(x), F.lit(GROUP))
+        begin = F.struct(F.lit(0).alias("at"), none.cast(f"array<{kind}>").alias("out"))
+        groups = F.aggregate(F.transform(cuts, lambda i: F.slice(x, i, GROUP)), begin, group, lambda acc: F.flatten(acc["out"]))
+        return F.when(F.size(x) > 0, groups).otherwise(none.cast(kind))
+
+    return _let(F.filter(both, lambda x: x["match"].isNotNull()), all_of)
 
 
 def base_spans(text: Column, kind: str) -> Column:
@@ -84,24 +115,46 @@ def _span(start: Column, rank: int, kind: str, stop: Column) -> Column:
 
 
 def top_entropy(s: Column, cls: Entropy) -> Column:
-    """The highest Shannon entropy of any window of cls.window characters of s, by incremental counts."""
-    w, n = cls.window, len(cls.alphabet)
+    """The highest Shannon entropy of any window of cls.window characters of s, by incremental counts.
+
+    The counts by character are fields of a few bits in an array of long numbers: a
+    character that enters or leaves changes one of them.
+    """
+    w, bits = cls.window, cls.window.bit_length()
+    each = 63 // bits
     folded = F.lower(s) if cls.kind == "entropy_hex" else s
-    codes = F.transform(F.filter(F.split(folded, "", -1), lambda c: c != ""), lambda c: F.instr(F.lit(cls.alphabet), c))
-    moves = F.arrays_zip(codes.alias("into"), F.concat(F.array_repeat(F.lit(0), w), codes).alias("out"), F.sequence(F.lit(0), F.length(s) - 1).alias("i"))
+
+    def field(c: Column) -> Column:
+        code = F.instr(F.lit(cls.alphabet), c) - 1
+        shift = (code % each * bits).cast("int")
+        return F.struct(F.floor(code / each).cast("int").alias("word"), shift.alias("shift"), F.call_function("shiftleft", F.lit(1).cast("long"), shift).alias("unit"))
+
+    chars = F.transform(F.filter(F.split(folded, "", -1), lambda c: c != ""), field)
+    before = F.struct(F.lit(0).alias("word"), F.lit(0).alias("shift"), F.lit(0).cast("long").alias("unit"))
     clog = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
     def move(acc: Column, x: Column) -> Column:
         into, out = x["into"], x["out"]
-        c_in, c_out = F.get(acc["counts"], into), F.get(acc["counts"], out)
-        leaves = F.when(out > 0, clog(c_out - 1) - clog(c_out)).otherwise(F.lit(0.0))
-        total = acc["sum"] + F.when(into == out, F.lit(0.0)).otherwise(clog(c_in + 1) - clog(c_in) + leaves)
-        counts = F.transform(acc["counts"], lambda c, j: c + (j == into).cast("int") - ((j == out) & (out > 0)).cast("int"))
-        return F.struct(counts.alias("counts"), total.alias("sum"), F.when(x["i"] >= w - 1, F.least(acc["least"], total)).otherwise(acc["least"]).alias("least"))
+        count = lambda y: F.call_function("shiftrightunsigned", F.get(acc["counts"], y["word"]), y["shift"]).bitwiseAND(F.lit(2**bits - 1))
+        gain = _let(count(into), lambda c: clog(c + 1) - clog(c))
+        loss = F.when(out["unit"] > 0, _let(count(out), lambda c: clog(c) - clog(c - 1))).otherwise(F.lit(0.0))
+        total = acc["sum"] + F.when(into == out, F.lit(0.0)).otherwise(gain - loss)
+        change = lambda y, j: F.when(y["word"] == j, y["unit"]).otherwise(F.lit(0))
+        counts = F.transform(acc["counts"], lambda c, j: c + change(into, j) - change(out, j))
+        return _let(total, lambda t: F.struct(counts.alias("counts"), t.alias("sum"), F.when(x["i"] >= w - 1, F.least(acc["least"], t)).otherwise(acc["least"]).alias("least")))
+
+    def all_of(x: Column) -> Column:
+        moves = F.arrays_zip(x.alias("into"), F.concat(F.array_repeat(before, w), F.slice(x, 1, F.size(x) - w)).alias("out"), F.sequence(F.lit(0), F.size(x) - 1).alias("i"))
+        start = F.struct(F.array_repeat(F.lit(0).cast("long"), -(-len(cls.alphabet) // each)).alias("counts"), F.lit(0.0).alias("sum"), F.lit(1e9).alias("least"))
+        # H = log2(w) - sum(c log2 c) / w, so the highest entropy has the least sum
+        return F.aggregate(moves, start, move, lambda acc: F.log2(F.lit(float(w))) - acc["least"] / w)
+
+    return _let(chars, all_of)
+
 
-    start = F.struct(F.array_repeat(F.lit(0), n + 1).alias("counts"), F.lit(0.0).alias("sum"), F.lit(1e9).alias("least"))
-    # H = log2(w) - sum(c log2 c) / w, so the highest entropy has the least sum
-    return F.aggregate(F.filter(moves, lambda x: x["i"].isNotNull()), start, move, lambda acc: F.log2(F.lit(float(w))) - acc["least"] / w)
+def _in_pieces(s: Column, window: int, size: int, test) -> Column:
+    """Whether test(piece) holds for any piece of s; pieces have `size` windows, so that each window is in one."""
+    return F.exists(F.sequence(F.lit(0), F.length(s) - window, F.lit(size)), lambda i: test(F.substring(s, i + 1, F.lit(size + window - 1))))
 
 
 def entropy_spans(text: Column, cls: Entropy, rank: int) -> Column:
@@ -112,8 +165,10 @@ def entropy_spans(text: Column, cls: Entropy, rank: int) -> Column:
         s = m["match"]
         known = F.lit(False)
         for rule in ALLOW:
-            known = known | s.rlike(rule)
-        return F.when(~s.rlike(cls.needs) | known, F.lit(False)).otherwise(top_entropy(s, cls) >= cls.bits - 1e-9)
+            known = known | s.rlike(_in_java(rule))
+        high = lambda x: top_entropy(x, cls) >= cls.bits - 1e-9
+        some = _in_pieces(s, cls.window, PIECE * PIECE // 4, lambda x: _in_pieces(x, cls.window, PIECE, high))
+        return F.when(~s.rlike(cls.needs) | known, F.lit(False)).otherwise(some)
 
     return F.transform(F.filter(runs, keep), lambda m: _span(m["start"], rank, cls.kind, m["start"] + F.length(m["match"])))
 
@@ -132,7 +187,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     Places are code points from 0, stop exclusive. A null text counts as empty and an
     empty one has no spans; every row gives one row, also if its doc_id is null or
-    repeated. Columns other than doc_id and text are ignored.
+    repeated. Columns other than doc_id and text are ignored. A very long text is scanned
+    whole, runs in it piece by piece.
     """
     text = F.col("text")
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,stop:int>>")
