@@ -25,17 +25,21 @@ from prismgrid.llm.common import texts_of
 # Known licence sentences, as patterns over whole lines of normalised sentences. The first that fits gives the identifier.
 # A space is also a line end, but not after .*, which stays on its line; (?s:...) goes over lines. _SUBJECT is what is licensed.
 _SUBJECT = r"(?:(?:.* )?(?:is|are) )?"
+# What may stand before a sentence that is known by its beginning, where a text has been put on one line.
+_AFTER = r"(?:.* )?"
+_GNU = r"gnu (?P<family{0}>lesser |library |affero )?general public license"
 SENTENCES = (
     ("spdx", r"(?:.* )?spdx license identifier (?P<spdx>[a-z0-9. +]+)"),
     ("apache2", _SUBJECT + r"(?:licensed|released|distributed) under (?:the )?(?:terms of the )?apache license,? version 2(?:\.0)?(?: the license)?"),
     ("apache_limits", r"you may not use this (?:file|work|software) except in compliance with the license"),
-    ("apache_asis", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis.*"),
+    ("apache_title", r"apache license version 2\.0 january 2004"),
+    ("apache_asis", _AFTER + r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis.*"),
     ("mit", _SUBJECT + r"(?:licensed|released|distributed) under (?:the )?(?:terms of the )?mit license"),
-    ("mit_grant", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files.*"),
-    ("mit_notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    ("isc_grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted.*"),
-    ("asis", r"the software is provided as is(?: without warranty of any kind)?.*"),
-    ("bsd_grant", r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("mit_grant", _AFTER + r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files.*"),
+    ("mit_notice", _AFTER + r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("isc_grant", _AFTER + r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted.*"),
+    ("asis", _AFTER + r"the software is provided as is(?: without warranty of any kind)?.*"),
+    ("bsd_grant", _AFTER + r"redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("bsd_source", r"(?:\d )?redistributions of source code must retain the above copyright notice.*"),
     ("bsd_binary", r"(?:\d )?redistributions in binary form must reproduce the above copyright notice.*"),
     ("bsd_endorse", r"(?:\d )?neither the name of (?s:.*?) may be used to endorse or promote products.*"),
@@ -43,9 +47,14 @@ SENTENCES = (
     ("gpl", _SUBJECT + r"(?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu general public license,? version (?P<gpl>[23])(?:\.0)?(?P<gplplus> or(?: any)? later(?: version)?)?"),
     ("lgpl", _SUBJECT + r"(?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu lesser general public license,? version (?P<lgpl>2\.1|3)(?:\.0)?"),
     ("agpl", _SUBJECT + r"(?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu affero general public license,? version 3(?:\.0)?"),
-    ("or_later", r"(?:either version \d of the license )?or at your option any later version"),
-    ("mpl", r"this source code form is subject to the terms of the mozilla public license v 2\.0"),
-    ("cc", _SUBJECT + r"(?:licensed|released|distributed) under (?:the )?(?:terms of the )?(?:cc|creative commons) (?P<cc>by(?: nc| nd| sa)*|0)(?: (?P<ccv>\d\.\d))?(?: license)?"),
+    ("gnu_header", _AFTER + r"under the terms of the " + _GNU.format(1) + r" as published by the free software foundation (?:either )?version (?P<version1>\d(?:\.\d)?)(?: of the license)?(?P<plus1> or at your option any later version)?"),
+    ("gnu_terms", _AFTER + r"under the terms of the " + _GNU.format(2) + r" as published by the free software foundation"),
+    ("gnu_version", r"(?:either )?version (?P<version2>\d(?:\.\d)?) of the license(?P<plus2> or at your option any later version)?"),
+    ("gnu_title", _GNU.format(3) + r" version (?P<version3>\d(?:\.\d)?) \d{1,2} \w+ \d{4}"),
+    ("or_later", r"or at your option any later version"),
+    ("mpl_title", r"mozilla public license version 2\.0"),
+    ("mpl", _AFTER + r"this source code form is subject to the terms of the mozilla public license v 2\.0"),
+    ("cc", _SUBJECT + r"(?:licensed|released|distributed) under (?:the )?(?:terms of the )?(?:a )?(?:cc|creative commons) (?:(?P<cc>by(?: nc| nd| sa)*|0)|attribution(?P<ccnc> non ?commercial)?(?P<ccnd> no ?deriv(?:ative)?s)?(?P<ccsa> share ?alike)?)(?: (?P<ccv>\d\.\d))?(?: international| unported)?(?: public)?(?: license)?"),
     ("public_domain", r"(?:(?:.* )?(?:is|are) |released into |dedicated to )(?:in )?the public domain"),
     ("reserved", r"(?:copyright .* )?all rights reserved"),
     ("copyright", r"copyright (?:c )?\d{4}.*"),
@@ -61,6 +70,8 @@ RULES = (
     ("MIT", ("mit",)),
     ("ISC", ("isc_grant", "asis")),
     ("ISC", ("isc_grant",)),
+    ("BSD-3-Clause", ("reserved", "bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse")),
+    ("BSD-2-Clause", ("reserved", "bsd_grant", "bsd_source", "bsd_binary")),
     ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse")),
     ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary")),
     ("BSD-{bsd}-Clause", ("bsd",)),
@@ -68,13 +79,20 @@ RULES = (
     ("GPL-{gpl}.0{gplplus}", ("gpl",)),
     ("LGPL-{lgpl}", ("lgpl",)),
     ("AGPL-3.0", ("agpl",)),
+    ("{gnu}", ("gnu_header",)),
+    ("{gnu}", ("gnu_terms", "gnu_version")),
+    ("{gnu}", ("gnu_title",)),
+    ("Apache-2.0", ("apache_title",)),
     ("MPL-2.0", ("mpl",)),
+    ("MPL-2.0", ("mpl_title",)),
     ("CC-{cc}{ccv}", ("cc",)),
     ("Public-Domain", ("public_domain",)),
     ("Proprietary", ("reserved",)),
 )
 # Fixed value: every known sentence has one of these.
-HINT = r"(?i)licen[sc]|copyright|permission|rights\W+reserved|redistribution|public\W+domain|as\W+is|may not use this|neither\W+the\W+name|later\W+version|spdx"
+HINT = r"(?i)licen[sc]|copyright|permission|rights[\W_]+reserved|redistribution|public[\W_]+domain|as[\W_]+is|may[\W_]+not[\W_]+use[\W_]+this|neither[\W_]+the[\W_]+name|later[\W_]+version|spdx|cc[\W_]+(?:by|0)|creative[\W_]+commons"
+# The GNU licences by what stands before "general public license".
+_FAMILY = {"": "GPL", "lesser": "LGPL", "library": "LGPL", "affero": "AGPL"}
 # Known sentences of which only the beginning is given: they go on to the end of the sentence, or to the next that is known.
 OPEN = ("apache_asis", "mit_grant", "isc_grant", "asis", "bsd_source", "bsd_binary", "bsd_endorse")
 
@@ -163,9 +181,11 @@ def _name(rule: str, parts: list[Found]) -> str:
     for p in parts:
         took |= {k: v for k, v in p.took.items() if v}
     plus = "-or-later" if took.get("gplplus") else ""
-    cc = took.get("cc", "").upper().replace(" ", "-")
+    cc = took.get("cc", "").upper().replace(" ", "-") or "-".join(["BY", *(x.upper() for x in ("nc", "nd", "sa") if took.get(f"cc{x}"))])
+    one = lambda name: next((took[f"{name}{i}"] for i in (1, 2, 3) if f"{name}{i}" in took), "").strip()
+    gnu = _FAMILY[one("family")] + f"-{one('version')}{'' if '.' in one('version') else '.0'}" + ("-or-later" if one("plus") else "")
     version = f"-{took['ccv']}" if took.get("ccv") else ""
-    return rule.format(spdx=took.get("spdx", "").strip(), bsd=took.get("bsd"), gpl=took.get("gpl"), gplplus=plus, lgpl=took.get("lgpl"), cc=cc, ccv=version)
+    return rule.format(spdx=took.get("spdx", "").strip(), bsd=took.get("bsd"), gpl=took.get("gpl"), gplplus=plus, lgpl=took.get("lgpl"), gnu=gnu, cc=cc, ccv=version)
 
 
 def licences(found: list[Found]) -> list[tuple[int, str]]:
@@ -201,7 +221,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, sentences (identifier, place in code points) and licences, in order of the text.
 
     A null text counts as empty; empty texts have neither. Every row gives one row, also
-    with repeated or null ids. Columns other than doc_id and text are ignored.
+    with repeated or null ids. Columns other than doc_id and text are ignored. A very long
+    text is read whole, sentence by sentence.
     """
     kind = pa.list_(pa.struct([("name", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
 
