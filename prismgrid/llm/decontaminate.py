@@ -9,13 +9,17 @@ Koslicki and Zabeti, 2019). Items are partitioned by their number of shingles; a
 fixes the sketch's length and how many of its values a document must have, five standard
 deviations below the expected number at the threshold. Candidates are verified by exact
 containment of the whole shingle sets.
+
+An item of fewer words than a shingle has its whole word sequence as its one shingle; it is
+a partition by its number of words and is looked for among the documents' sequences of
+that length.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -53,14 +57,37 @@ class Items:
     items: np.ndarray
     least: np.ndarray
     share: float
+    #: The short items by their number of words: (sorted hashes of their sequences, their items).
+    short: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     @classmethod
-    def build(cls, ids: list[int], sets: list[np.ndarray], share: float) -> Items:
-        plan = [partition(len(s), share) for s in sets]
+    def build(cls, ids: list[int], sets: list[np.ndarray], sizes: list[int], share: float) -> Items:
+        """sizes: words of each item that has fewer than a shingle, else 0; its set is its sequence's hash."""
+        plan = [(0, 1) if n else partition(len(s), share) for s, n in zip(sets, sizes, strict=True)]
         values = np.concatenate([s[:k] for s, (k, _) in zip(sets, plan, strict=True)])
         items = np.repeat(np.arange(len(sets)), [k for k, _ in plan])
         order = np.argsort(values, kind="stable")
-        return cls(np.array(ids, np.int64), sets, values[order], items[order], np.array([m for _, m in plan]), share)
+        short = {}
+        for n in sorted(set(sizes) - {0}):
+            at = np.flatnonzero(np.array(sizes) == n)
+            h = np.array([sets[i][0] for i in at], np.uint64)
+            rank = np.argsort(h, kind="stable")
+            short[n] = h[rank], at[rank]
+        return cls(np.array(ids, np.int64), sets, values[order], items[order], np.array([m for _, m in plan]), share, short)
+
+    def found(self, texts: pa.Array, words: int) -> list[tuple[int, int, int]]:
+        """(text, item, shingles found) of all pairs that reach the share."""
+        w = tv.split(texts, lower=True)
+        out = self.search(*tv.shingle_sets(w, words)) if len(self.values) else []
+        of = w.text_of()
+        for n, (h, items) in self.short.items():
+            at = w.windows(n)
+            own = tv.gram(w.hashes, n)[at] if len(at) else w.hashes[:0]
+            lo, hi = np.searchsorted(h, own, "left"), np.searchsorted(h, own, "right")
+            hit = np.flatnonzero(hi > lo)
+            pairs = {(int(of[at[i]]), int(items[j])) for i in hit for j in range(lo[i], hi[i])}
+            out += [(t, i, 1) for t, i in sorted(pairs)]
+        return out
 
     def search(self, text: np.ndarray, shingle: np.ndarray) -> list[tuple[int, int, int]]:
         """(text, item, shingles found) of all pairs that reach the share; text and shingle as from shingle_sets()."""
@@ -91,30 +118,35 @@ def _blocks(items: DataFrame, words: int, share: float, most: int) -> Iterator[I
             for piece in tv.slices(batch):
                 w = tv.split(piece.column("text"), lower=True)
                 text, h = tv.shingle_sets(w, words)
-                keep = np.flatnonzero(w.counts >= words)
+                keep = np.flatnonzero(w.counts)
                 cut = np.searchsorted(text, np.arange(piece.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([piece.column("item_id").take(pa.array(keep)), pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in keep], pa.binary())], ["item_id", "shingles"])
+                sets = [h[cut[i] : cut[i + 1]] if w.counts[i] >= words else tv.gram(w.hashes[w.first[i] : w.first[i + 1]], int(w.counts[i])) for i in keep]
+                short = np.where(w.counts[keep] < words, w.counts[keep], 0)
+                yield pa.RecordBatch.from_arrays([piece.column("item_id").take(pa.array(keep)), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array(short, pa.int32())], ["item_id", "shingles", "short"])
 
-    ids, sets, size = [], [], 0
-    for row in texts_of(items, "item_id").mapInArrow(run, "item_id long, shingles binary").toLocalIterator():
+    ids, sets, sizes, size = [], [], [], 0
+    for row in texts_of(items, "item_id").mapInArrow(run, "item_id long, shingles binary, short int").toLocalIterator():
         s = np.frombuffer(bytes(row.shingles), np.uint64)
         if sets and size + len(s) > most:
-            yield Items.build(ids, sets, share)
-            ids, sets, size = [], [], 0
+            yield Items.build(ids, sets, sizes, share)
+            ids, sets, sizes, size = [], [], [], 0
         ids.append(row.item_id or 0)
         sets.append(s)
+        sizes.append(row.short)
         size += len(s)
     if sets:
-        yield Items.build(ids, sets, share)
+        yield Items.build(ids, sets, sizes, share)
 
 
 def contained(docs: DataFrame, items: DataFrame, words: int = WORDS, share: float = SHARE, most: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, item_id, n_item, n_found: documents that hold at least this share of an item's word shingles.
 
     docs: doc_id, text; items: item_id, text; other columns are ignored. Words are runs
-    without ASCII white space, A-Z in lower case. Null and empty texts and items of fewer
-    than `words` words match nothing, nor do items with a null id. Rows with the same id are judged each by itself. An
-    empty table on either side gives no rows.
+    without ASCII white space, A-Z in lower case. An item of fewer than `words` words has its
+    whole sequence as its one shingle, and a document that has these words in a row holds it.
+    Null and empty texts match nothing, nor do items with a null id. Rows with the same id are
+    judged each by itself. A very long text is searched whole. An empty table on either side
+    gives no rows.
     """
     schema = "doc_id long, item_id long, n_item long, n_found long"
     spark, docs, out = docs.sparkSession, texts_of(docs, "doc_id"), None
@@ -125,7 +157,7 @@ def contained(docs: DataFrame, items: DataFrame, words: int = WORDS, share: floa
             block = held.value
             for batch in batches:
                 for piece in tv.slices(batch):
-                    found = block.search(*tv.shingle_sets(tv.split(piece.column("text"), lower=True), words))
+                    found = block.found(piece.column("text"), words)
                     t, i, n = (np.array([x[c] for x in found], np.int64) for c in range(3))
                     size = np.array([len(block.sets[x]) for x in i], np.int64)
                     yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array(t)), pa.array(block.ids[i], pa.int64()), pa.array(size, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "item_id", "n_item", "n_found"])
@@ -139,7 +171,8 @@ def contained(docs: DataFrame, items: DataFrame, words: int = WORDS, share: floa
 def without_leaks(docs: DataFrame, items: DataFrame, words: int = WORDS, share: float = SHARE, most: int = BLOCK_SHINGLES) -> DataFrame:
     """docs without the rows that hold an item to this share, with the columns it came with; other rows are kept as they are.
 
-    Items with a null id count as well; those of fewer than `words` words do not.
+    Items with a null id count as well. Null and empty texts stay, and so does every row if
+    there are no items; very long texts are searched whole.
     """
     spark = docs.sparkSession
     for block in _blocks(items, words, share, most):
@@ -149,7 +182,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, words: int = WORDS, share:
             for batch in batches:
                 for piece in tv.slices(batch):
                     keep = np.ones(piece.num_rows, bool)
-                    keep[[t for t, _, _ in held.value.search(*tv.shingle_sets(tv.split(piece.column(piece.schema.get_field_index("text")), lower=True), words))]] = False
+                    keep[[t for t, _, _ in held.value.found(piece.column(piece.schema.get_field_index("text")), words)]] = False
                     yield piece.filter(pa.array(keep))
             tv.give_back()
 
@@ -162,17 +195,18 @@ def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contained(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
-_SHINGLES = """
-  SELECT DISTINCT {id}, list_aggregate(list_slice(w, i, i + 4), 'string_agg', ' ') AS s
-  FROM (SELECT {id}, w, unnest(range(1, len(w) - 3)) AS i
-        FROM (SELECT {id}, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}))
+_WORDS = """
+  SELECT {id}, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}
 """
 SQL = {
     "op7_decontaminate": f"""
-WITH i AS ({_SHINGLES.format(id="item_id", table="benchmark")}), d AS ({_SHINGLES.format(id="doc_id", table="documents")}),
+WITH iw AS ({_WORDS.format(id="item_id", table="benchmark")}), dw AS ({_WORDS.format(id="doc_id", table="documents")}),
+z AS (SELECT DISTINCT least(len(w), 5) AS n FROM iw WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS s FROM (SELECT item_id, w, least(len(w), 5) AS n, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS i FROM iw WHERE len(w) > 0)),
+d AS (SELECT DISTINCT doc_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw CROSS JOIN z WHERE len(w) >= n)),
 n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id)
 SELECT doc_id, item_id, n_item, CAST(count(*) AS BIGINT) AS n_found
-FROM d JOIN i USING (s) JOIN n USING (item_id)
+FROM d JOIN i USING (n, s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, n_item HAVING count(*) >= CAST(ceil(0.8 * n_item - 1e-9) AS BIGINT)
 """,
 }
