@@ -7,7 +7,8 @@ most len * sum(m1*m2 + s1*s2). Resolutions run from coarse to fine; a pair goes
 while its bound reaches the query's k-th best score so far, and exact integer products are
 computed for the survivors alone. Nothing is approximate.
 
-Queries and candidates are packed into blocks. Every block of queries meets every block of
+Queries and candidates are packed into blocks. One block of candidates gives each query a
+first floor, the k-th best score there, so that the others send only what beats it. Every block of queries meets every block of
 candidates in a task of its own (an equi-join on the block's number), so that no task, and
 not the driver, ever holds either side as a whole. A task gives at most k rows a query.
 """
@@ -59,31 +60,28 @@ def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def best_in_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """For each query its k best rows of x (query index, row id, score), and how many products were exact."""
+def best_in_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """For each query its k best rows of x (query index, row id, score), and how many products were exact.
+
+    floor: a score for each query that k other rows are known to reach; rows below it are left out.
+    """
     none = np.zeros(0, np.int64)
     if not len(ids) or not len(q_ids):
         return none, none, none, 0
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
     alive = q_ids[:, None] != ids[None, :]
-    floor = np.full(len(q), -np.inf)
+    floor = np.full(len(q), -np.inf) if floor is None else floor.copy()
     slack = 1e-6 + 1e-9 * np.linalg.norm(q.astype(float), axis=1) * np.linalg.norm(x.astype(float), axis=1).max()  # for rounding
-    few = np.unique(ids, return_counts=True)[1].max() + k  # so many rows have k different ids at least
     for parts in _levels(x.shape[1]):
         bound = _stats(q.astype(float), parts) @ _stats(x.astype(float), parts).T
         bound += slack[:, None]
         bound[~alive] = -np.inf
-        if len(ids) > few:  # the most promising rows, exactly: the k-th best of different ids is a floor
-            seeds = np.argpartition(-bound, few, axis=1)[:, : few + 1]
+        if len(ids) > k:  # the most promising rows, exactly: the k-th best is a floor
+            seeds = np.argpartition(-bound, k - 1, axis=1)[:, :k]
             score = np.einsum("qd,qsd->qs", q.astype(float), x[seeds].astype(float))
-            ok = np.isfinite(np.take_along_axis(bound, seeds, 1))
-            for i in range(len(q)):
-                best: dict = {}
-                for c, v in zip(ids[seeds[i, ok[i]]].tolist(), score[i, ok[i]].tolist(), strict=True):
-                    best[c] = max(best.get(c, -np.inf), v)
-                if len(best) >= k:
-                    floor[i] = max(floor[i], sorted(best.values())[-k] - slack[i])
+            score[~np.take_along_axis(alive, seeds, 1)] = -np.inf
+            floor = np.maximum(floor, score.min(1) - slack)
         alive &= bound >= floor[:, None]
     qi, xi = np.nonzero(alive)
     if not len(qi):
@@ -95,17 +93,35 @@ def best_in_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarr
     full = len(qi)
     some = score >= floor[qi]
     qi, xi, score = qi[some], xi[some], score[some]
-    # best first; an id that is repeated counts once, with its best score
-    rank = np.lexsort((ids[xi], -score, qi))
+    rank = np.lexsort((ids[xi], -score, qi))  # best first
     qi, got, score = qi[rank], ids[xi[rank]], score[rank]
-    seen = np.lexsort((np.arange(len(qi)), got, qi))
-    again = np.zeros(len(qi), bool)
-    again[seen[1:]] = (got[seen[1:]] == got[seen[:-1]]) & (qi[seen[1:]] == qi[seen[:-1]])
-    qi, got, score = qi[~again], got[~again], score[~again]
     at = np.arange(len(qi)) - np.searchsorted(qi, qi)
     return qi[at < k], got[at < k], score[at < k], full
 
 
+def _floors(k: int):
+    """For a block of queries, the k-th best score that each has among the rows of one block."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                q_ids, q, ids, x = _matrices(r)
+                floor = np.full(len(q_ids), -np.inf)
+                qi, _, score, _ = best_in_block(q_ids, q, ids, x, k)
+                at = np.arange(len(qi)) - np.searchsorted(qi, qi)
+                floor[qi[at == k - 1]] = np.nextafter(score[at == k - 1].astype(float), -np.inf)  # not above it, however rounded
+                yield pa.RecordBatch.from_pydict({"q": pa.array([r["q"]], pa.int64()), "floor": pa.array([floor.tobytes()], pa.binary())})
+
+    return run
+
+
+def _matrices(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and vectors of the queries and of the rows of a pair of blocks."""
+    q_ids, ids = (np.frombuffer(r[c], np.int64) for c in ("q_ids", "ids"))
+    q, x = (np.frombuffer(r[c], np.int64).reshape(len(i), r["dim"]) for c, i in (("q_data", q_ids), ("data", ids)))
+    return q_ids, q, ids, x
+
+
 def _pack(size: int):
     """Rows of (id, dim, v) into blocks of one dimension: (dim, block, ids, data)."""
 
@@ -148,10 +164,9 @@ def _search(k: int):
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                q_ids, ids = (np.frombuffer(r[c], np.int64) for c in ("q_ids", "ids"))
-                q, x = (np.frombuffer(r[c], np.int64).reshape(len(i), r["dim"]) for c, i in (("q_data", q_ids), ("data", ids)))
-                qi, got, score, _ = best_in_block(q_ids, q, ids, x, k)
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(q_ids[qi], pa.int64()), "vec_id": pa.array(got, pa.int64()), "score": pa.array(score, pa.int64())})
+                q_ids, q, ids, x = _matrices(r)
+                qi, got, score, _ = best_in_block(q_ids, q, ids, x, k, np.frombuffer(r["floor"], float))
+                yield pa.RecordBatch.from_pydict({"q": pa.array(np.full(len(qi), r["q"])), "nr": pa.array(qi), "query_id": pa.array(q_ids[qi], pa.int64()), "vec_id": pa.array(got, pa.int64()), "score": pa.array(score, pa.int64())})
 
     return run
 
@@ -161,10 +176,11 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, q
 
     Both have vec_id and embedding; other columns are ignored. Returns query_id, rank (from
     1), vec_id, score; ties go to the smaller vec_id. Rows with the query's vec_id are its
-    own and no candidates. A vec_id that occurs repeatedly counts once, with its best
-    score (as a query too). Null vectors or ids, and vectors that hold null or non-finite
-    components, take no part; vectors of different lengths are not compared. With fewer
-    than k candidates all are returned; empty tables give no rows.
+    own and no candidates. Rows are judged each by itself: a vec_id that is repeated among
+    the candidates can have several ranks, and each row of a repeated query has its own k.
+    Null vectors or ids, and vectors that hold null or non-finite components, take no part;
+    vectors of different lengths are not compared. With fewer than k candidates all are
+    returned; empty tables give no rows. A very long vector only makes its block larger.
     """
 
     def blocks(df: DataFrame, size: int) -> DataFrame:
@@ -173,12 +189,16 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, q
 
     q = blocks(queries, query_block).select("dim", F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     x = blocks(vectors, row_block)
+    # one block of each dimension gives every query a score to beat, before the others are looked at
+    numbers = x.select("dim", "block")
+    first = numbers.groupBy("dim").agg(F.min("block").alias("block"))
+    pairs = q.join(first, "dim").join(x.drop("dim"), "block")
+    q = q.join(saved(pairs.select("q", "dim", "q_ids", "q_data", "ids", "data").mapInArrow(_floors(k), "q long, floor binary")), "q")
     # a row for each pair of blocks: numbers first, then the blocks themselves by equi-joins
-    todo = x.select("dim", "block").join(q.select("dim", "q"), "dim")
+    todo = numbers.join(q.select("dim", "q"), "dim")
     todo = todo.join(q.drop("dim"), "q").repartition("block", "q").join(x.drop("dim"), "block")
-    found = todo.select("dim", "q_ids", "q_data", "ids", "data").mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = todo.select("dim", "q", "q_ids", "q_data", "floor", "ids", "data").mapInArrow(_search(k), "q long, nr long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("q", "nr").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -191,16 +211,16 @@ def op5_exact_topk(spark, sf_dir: str) -> DataFrame:
 SQL = {
     "op5_exact_topk": """
 WITH ok AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+  SELECT row_number() OVER () AS nr, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
   FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, x.vec_id,
+  SELECT q.nr, q.vec_id AS query_id, x.vec_id,
          CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * x.v[i])) AS BIGINT) AS score
   FROM ok q JOIN ok x ON q.vec_id % 50 = 0 AND q.vec_id <> x.vec_id AND len(q.v) = len(x.v)
 ), ranked AS (
-  SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored
+  SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY nr ORDER BY score DESC, vec_id) AS r FROM scored
 )
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
 """,
