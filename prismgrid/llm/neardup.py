@@ -118,7 +118,8 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, k: int = SKETCH)
     empty: without words n_shingles is 0, node is null and component_id is the row's own
     doc_id. Else component_id is the smallest doc_id among all rows that are linked to this
     one through any number of links of at least percent/100; null ids are left out of
-    account. Rows with the same id are rows of their own. Extra columns are ignored.
+    account. Rows with the same id are rows of their own. Extra columns are ignored. A very
+    long text takes part whole and makes a chunk of its own size. An empty table gives no rows.
     """
     with scratch(docs.sparkSession):
         chunks = text_chunks(docs, CHUNK)
@@ -275,7 +276,11 @@ def _blocks(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each class of groups(), that with the smallest doc_id, with the columns of docs; rows without words all stay."""
+    """One row of each class of groups(), that with the smallest doc_id, with the columns of docs; rows without words all stay.
+
+    A class of null ids alone keeps one of its rows; of repeated rows one stays. Columns may
+    have any names; very long texts take part whole. An empty table gives no rows.
+    """
     free = "_"
     while any(c.startswith(free) for c in docs.columns):  # names that the columns of docs do not have
         free += "_"

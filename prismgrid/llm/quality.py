@@ -149,7 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     labels: doc_id, quality (0/1). Repeated labels of a doc_id count as 1 if any is; null
     ids and labels are left out. The sample of ids is bounded and so broadcast; texts
-    become feature sets where they are, and only these come to the driver.
+    become feature sets where they are, and only these come to the driver. Null texts count
+    as empty, rows with the same id are rows of their own, and the whole of a very long text
+    counts; other columns are ignored. Without labelled rows the model knows nothing.
     """
     ids = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("label"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -175,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model, columns: list[str], schema: str) -> DataFrame:
-    """The columns of docs named, with `score`. Null and empty texts are scored as empty; every row gives one row."""
+    """The columns of docs named, with `score`. Null and empty texts are scored as empty, very long ones whole; every row gives one row."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

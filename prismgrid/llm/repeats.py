@@ -8,8 +8,9 @@ looked at in the next, and the levels end when none are left.
 Below n, a window is judged by one of its parts alone: of the parts of the level's length
 in it, the one with the smallest hash. Equal windows choose the same part, so none is
 lost, and neighbouring windows mostly share theirs, so that few parts are counted. At n
-itself the whole window counts, with a second hash for the windows that have repeated:
-two different windows are taken for equal only if both of its 64-bit hashes collide.
+itself the whole window counts, and those that have repeated once more with a hash of other
+word hashes, independent of the first: two different windows are taken for equal only if
+both of its 64-bit hashes collide.
 
 Parts are counted over the whole corpus by ranges of their hash; texts stay in their chunk
 and get back what their parts' counts are.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismgrid.llm import textvec as tv
-from prismgrid.llm.common import answers, asks, buckets_for, distinct, map_rows, tally, text_chunks, texts_in, totals
+from prismgrid.llm.common import about, answers, asks, buckets_for, distinct, map_rows, tally, text_chunks, texts_in, totals
 
 WORDS, CHUNK = 35, 4 << 20
 
@@ -73,7 +74,7 @@ class _Chunk:
         size, last = levels(self.n)[level], level == len(levels(self.n)) - 1
         if not len(self.alive):
             return self.hashes[:0], np.zeros(0, np.int64), self.hashes[:0]
-        h = tv.gram(tv.fmix(self.hashes + np.uint64(0x2545F4914F6CDD1D)) if last else self.hashes, size)
+        h = tv.gram(self.words.again()[self.index] if last else self.hashes, size)
         part = self.alive if size == self.n else _least(h, self.n - size + 1)[self.alive]
         chosen = np.zeros(len(h), bool)
         chosen[part] = True
@@ -141,6 +142,7 @@ def remove_repeats(docs: DataFrame, n: int = WORDS) -> DataFrame:
     input. Words are runs without ASCII white space, unchanged. A null text counts as empty;
     texts of fewer than n words lose nothing. Repeated rows repeat each other, whatever
     their ids are; every row gives one row. Columns other than doc_id and text are ignored.
+    A very long text is judged whole and makes a chunk of its own size.
     """
     chunks = text_chunks(docs, CHUNK)
     words = int(chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]) // 5  # about
@@ -159,6 +161,10 @@ def remove_repeats(docs: DataFrame, n: int = WORDS) -> DataFrame:
 
         told = tally(judged.mapInArrow(map_rows(ask), asked_by))
         judged = judged.join(answers(told, f"totals{level}"), "chunk", "left")
+        parts, once, _ = about(told)
+        if parts == once:  # no part is in two places: no window is left
+            sizes = sizes[: level + 1]
+            break
 
     def run(row):
         c = _Chunk(row, n)
