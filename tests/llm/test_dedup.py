@@ -44,6 +44,25 @@ def test_repeats_within_one_text(spark):
     assert got == {0: 80, 1: 60, 2: 0}
 
 
+def test_words_that_cancel_out_are_told_apart(spark):
+    """Thue-Morse words, whose polynomial hashes are equal modulo any power of two."""
+    one, two = ("".join(x[i.bit_count() & 1] for i in range(2048)) for x in ("ab", "ba"))
+    rng = random.Random(12)
+    rest = prose(rng, 40, 10**6)
+    df = spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, one), (4, two)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in repeats.remove_repeats(df).collect()} == {1: 40, 2: 40, 3: 0, 4: 0}
+    found = neardup.groups(df, words=3, percent=100)
+    assert {r.doc_id: r.component_id for r in found.collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_the_levels_end_when_nothing_repeats(spark, monkeypatch):
+    rng = random.Random(5)
+    asked = []
+    monkeypatch.setattr(repeats, "tally", lambda df, real=repeats.tally: asked.append(1) or real(df))
+    df = spark.createDataFrame([(i, prose(rng, 60, 10**7)) for i in range(5)], "doc_id long, text string")
+    assert {r.n_removed for r in repeats.remove_repeats(df).collect()} == {0} and len(asked) == 1
+
+
 def test_repeats_of_nothing(nothing):
     assert repeats.remove_repeats(nothing).count() == 0
     assert repeats.levels(35) == [9, 18, 35, 35] and repeats.levels(3) == [3, 3]

@@ -1,13 +1,16 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from prismgrid.llm import decontaminate, licences, mixing, secrets, topk
+from prismgrid.llm import decontaminate, licences, mixing, neardup, repeats, secrets, topk
 
 from .conftest import words
 
@@ -42,16 +45,71 @@ def test_secrets(spark, tmp_path):
     assert extra[11] and extra[16] == ["entropy_b64:4:37"] and not extra[17] and not extra[18] and not extra[19] and not extra[2]
 
 
-def test_secrets_of_odd_rows(odd, nothing):
-    assert secrets.scan(odd).count() == odd.count() and secrets.scan(nothing).count() == 0
+def top_entropy(text, window):
+    """The highest entropy of a window, in bits a character."""
+    windows = (Counter(text[i : i + window]) for i in range(len(text) - window + 1))
+    return max(-sum(c / window * math.log2(c / window) for c in w.values()) for w in windows)
+
+
+def entropy_spans(text):
+    """Spans of high entropy, by definition."""
+    out = []
+    for cls in secrets.CLASSES:
+        for m in re.finditer(f"[{cls.chars}]{{{cls.window},}}", text or ""):
+            run = m.group()
+            if not re.search(cls.needs, run) or any(re.search(rule, run) for rule in secrets.ALLOW):
+                continue
+            if top_entropy(run.lower() if cls.kind == "entropy_hex" else run, cls.window) >= cls.bits - 1e-9:
+                out.append((m.start(), m.end(), cls.kind))
+    return sorted(out)
+
+
+def found(df):
+    rows = secrets.scan(df).collect()  # all spans, so that the scan runs
+    return [(r.doc_id, *(len(r[k]) for k in ("assign", "access", "hex")), sorted((s.start, s.stop, s.kind) for s in r.entropy)) for r in rows]
+
+
+def by_definition(i, text):
+    base = Counter(kind for kind, p, g, n in BASE for m in p.finditer(text or "") if len(m.group(g)) >= n)
+    return i, base["assign"], base["access"], base["hex"], entropy_spans(text)
+
+
+def test_secrets_of_odd_rows(odd, odd_texts, nothing):
+    assert sorted(found(odd), key=str) == sorted((by_definition(i, t) for i, t in odd_texts), key=str)
+    assert found(nothing) == []
+
+
+def test_entropy_spans_by_definition(spark):
+    """Both classes, the allow-list in every place of a run, cases and separators."""
+    rng = random.Random(8)
+    alphabets = ("0123456789abcdef", "0123456789ABCDEFabcdef", "abcXYZ019", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-", "abcdefghijklmnopqrstuvwxyz-_/ABC")
+    known = ("", "", "", "example", "EXAMPLE", "xxxx", "TestKey", "test_key", "123e4567-e89b-12d3-a456-426614174000", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "Some-Words/in_a-Row")
+    texts = []
+    for k in range(400):
+        runs = ["".join(rng.choice(a) for _ in range(rng.randrange(12, 45))) for a in rng.sample(alphabets, 2)]
+        texts.append(f"{rng.choice(known)}{runs[0]} é {runs[1]}{rng.choice(known)} {rng.choice(known)}")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got, want = found(df), [by_definition(i, t) for i, t in enumerate(texts)]
+    assert sorted(got) == want and len({kind for *_, e in want for *_, kind in e}) == 2
+
+
+@pytest.mark.parametrize("run", ["a" + "-Ab" * 350_000 + "1", "0123456789abcdef" * 65_536, "x" * 1_000_000, "aB1" * 350_000, "-" * 1_000_000, "token" + " " * 1_000_000, "password=" + "a.b-C" * 200_000])
+def test_secrets_of_very_long_runs(spark, run):
+    df = spark.createDataFrame([(1, f"é {run} deadbeefdeadbeef")], "doc_id long, text string")
+    assert found(df) == [by_definition(1, f"é {run} deadbeefdeadbeef")]
+
+
+def test_secrets_of_very_many_matches(spark):
+    rng = random.Random(2)
+    text = " ".join(f"{rng.getrandbits(64):016x}" for _ in range(30_000))
+    assert found(spark.createDataFrame([(1, text)], "doc_id long, text string")) == [by_definition(1, text)]
 
 
 @pytest.mark.parametrize("text", ["0123456789abcdef0123", "aaaaaaaaaaaaaaaabcde", "0f1e2d3c4b5a69788796a5b4c3d2e1f0aaaa"])
 def test_entropy_by_definition(spark, text):
     cls = secrets.CLASSES[0]
     got = spark.createDataFrame([(text,)], "s string").select(secrets.top_entropy(F.col("s"), cls)).first()[0]
-    windows = [Counter(text[i : i + cls.window]) for i in range(len(text) - cls.window + 1)]
-    assert math.isclose(got, max(-sum(c / cls.window * math.log2(c / cls.window) for c in w.values()) for w in windows), abs_tol=1e-9)
+    assert math.isclose(got, top_entropy(text, cls.window), abs_tol=1e-9)
 
 
 def test_licence_rules():
@@ -123,6 +181,149 @@ def test_licences_of_wrapped_texts(mark, end):
     assert names("Copyright 2020 Foo\nAll rights reserved") == ["Proprietary"]
 
 
+# Texts and headers of licences, as they are usually wrapped.
+WHOLE = {
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.""",
+    "GPL-2.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, version 2 of the License.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "AGPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU Affero General Public License for more details.
+
+You should have received a copy of the GNU Affero General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "MIT": """The MIT License (MIT)
+
+Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.""",
+    "BSD-3-Clause": """Copyright (c) 2020, Jane Doe
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+}
+
+
+@pytest.mark.parametrize("shape", ["", "one line", " * ", "# ", "// ", "\r\n"])
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_licence_texts(name, shape):
+    text = WHOLE[name]
+    if shape == "one line":
+        text = " ".join(text.split())
+    elif shape == "\r\n":
+        text = text.replace("\n", "\r\n")
+    else:
+        text = "\n".join(shape + line for line in text.split("\n"))
+    assert [n for _, n in licences.licences(licences.sentences(text))] == [name]
+    assert pc.match_substring_regex(pa.array([text]), licences.HINT)[0].as_py()
+
+
+@pytest.mark.parametrize("text, name", [
+    ("This work is released under CC BY 4.0.", "CC-BY-4.0"), ("Distributed under creative_commons BY-SA 3.0.", "CC-BY-SA-3.0"), ("Licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"),
+    ("GNU LESSER GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007", "LGPL-3.0"), ("Apache License\n  Version 2.0, January 2004", "Apache-2.0"), ("Mozilla Public License Version 2.0", "MPL-2.0"),
+])
+def test_sentences_that_the_hint_must_let_through(spark, text, name):
+    got = licences.scan(spark.createDataFrame([(1, f"Some words.\n\n{text}\n\nOthers.")], "doc_id long, text string")).first()
+    assert got.licences == [name]
+
+
+def by_all_sentences(text):
+    """Licences without the hint: every sentence is held against every pattern."""
+    out = []
+    for lines in licences._joined(text):
+        out += licences._in_sentence(text, lines)
+    return [n for _, n in licences.licences(out)]
+
+
+def test_the_hint_loses_nothing(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    want = {r.doc_id: by_all_sentences(r.text or "") for r in docs.collect()}
+    got = {r.doc_id: r.licences for r in licences.scan(docs).collect()}
+    assert got == want and any(got.values())
+
+
 def test_known_sentences_that_no_rule_takes():
     names = lambda t: [n for _, n in licences.licences(licences.sentences(t))]
     assert names("Redistributions of source code must retain the above copyright notice.") == ["UNKNOWN"]
@@ -147,12 +348,13 @@ def test_licences(spark, sf, odd, nothing):
 
 
 def contained(rows, items, n=5, share=0.8):
-    sets = lambda t: {tuple(w[k : k + n]) for w in [words(t, lower=True)] for k in range(len(w) - n + 1)}
+    sets = lambda t, n: {tuple(w[k : k + n]) for w in [words(t, lower=True)] for k in range(len(w) - n + 1)}
     out = Counter()
-    known = [(i, sets(t)) for i, t in items if i is not None]
+    size = lambda t: min(n, len(words(t)))
+    known = [(i, size(t), sets(t, size(t)) if size(t) else set()) for i, t in items if i is not None]
     for d, t in rows:
-        own = sets(t)
-        for i, s in known:
+        for i, k, s in known:
+            own = sets(t, k)
             if s and len(s & own) >= math.ceil(share * len(s) - 1e-9):
                 out[d, i, len(s), len(s & own)] += 1
     return out
@@ -166,7 +368,7 @@ def test_contained_by_definition(spark, odd, odd_texts, most):
     df = spark.createDataFrame(items, "item_id long, text string")
     got = Counter(tuple(r) for r in decontaminate.contained(odd, df, most=most).collect())
     want = contained(odd_texts, items)
-    assert got == want and {k[1] for k in want} >= {1, 2, 6, 7}
+    assert got == want and {k[1] for k in want} >= {1, 2, 3, 6, 7}
     out = decontaminate.without_leaks(odd, df, most=most)
     hit = {k[0] for k in want}
     assert out.columns == odd.columns
@@ -174,6 +376,19 @@ def test_contained_by_definition(spark, odd, odd_texts, most):
     assert kept == Counter((i, t) for i, t in odd_texts if not contained([(i, t)], items)) and hit
 
 
+def test_short_items(spark, tmp_path):
+    docs = [(1, "a b c d e f g h"), (2, "c d"), (3, "C d x"), (4, "d c"), (5, None), (6, "x"), (7, "a b c d"), (8, "cd c  d")]
+    items = [(1, "c d"), (2, "A B\nc D"), (3, "x"), (4, ""), (5, "c d"), (6, "a b c d e f"), (7, "b c d e x y z")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = Counter(tuple(r) for r in decontaminate.op7_decontaminate(spark, str(tmp_path)).collect())
+    assert got == contained(docs, items) == Counter(con.execute(decontaminate.SQL["op7_decontaminate"]).fetchall())
+    assert {(1, 1), (2, 1), (3, 1), (8, 1), (7, 2), (3, 3), (6, 3), (1, 6)} <= {k[:2] for k in got}
+
+
 def test_items_without_an_id_leak_too(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h"), (2, "not in any of the items here")], "doc_id long, text string")
     items = spark.createDataFrame([(None, "b c d e f g"), (0, "an item that is nowhere else")], "item_id long, text string")
@@ -198,16 +413,16 @@ def test_mixing_deviates_less_than_a_block(spark):
     rows = [(i, f"s{(i * i) % 11 % 5}") for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, source string")
     weights = {"s0": 0.5, "s1": 0.2, "s3": 0.2, "s4": 0.1}
-    out = mixing.mix(df, weights, block=8, period=50).toPandas()
+    out = mixing.mix(df, weights, block=8).toPandas()
     assert sorted(out.position) == list(range(3000))
-    plan = mixing.one_period(mixing.shares(df, weights, period=50)).toPandas().sort_values("slot0")
-    period = len(plan)
-    assert sorted(plan.slot0) == list(range(period))
-    for _, own in plan.groupby("key"):
-        w = own.slots.iloc[0] / period
-        for t in range(period + 1):
-            assert abs((own.slot0 < t).sum() - w * t) < 1
-        assert (own.j0.tolist() == list(range(len(own)))) and ((own.slot0 >= (own.j0 / w).astype(int) - 1e-9) & (own.slot0 < -(-(own.j0 + 1) / w // 1))).all()
+    plan = out.drop_duplicates(["source", "block"])
+    most = plan.groupby("source").slot.max().drop("s2", errors="ignore").min()  # all have blocks left until then
+    for source, w in weights.items():
+        own = plan[plan.source == source].sort_values("block")
+        for t in range(most + 1):
+            assert abs((own.slot < t).sum() - w * t) < 1
+        own = own[own.slot < most]
+        assert ((own.slot >= (own.block / w + 1e-9).astype(int)) & (own.slot < -(-(own.block + 1) / w // 1))).all()
     order = out.sort_values("position")
     assert (order.slot.diff().fillna(0) >= 0).all()
     assert out.groupby(["source", "block"]).size().max() <= 8 and out.groupby("slot").source.nunique().max() == 1
@@ -231,15 +446,15 @@ def test_mixing_follows_the_weights_themselves(spark, weights):
 
 
 def test_mixing_of_odd_rows(spark, odd, nothing):
-    out = mixing.mix(odd, block=2, period=10).collect()
+    out = mixing.mix(odd, block=2).collect()
     assert sorted(r.position for r in out) == list(range(odd.count()))
     assert Counter((r.doc_id, r.source) for r in out) == Counter((r.doc_id, r.source) for r in odd.collect())
     assert mixing.mix(nothing).count() == 0
-    whole = mixing.in_mixed_order(odd, block=2, period=10)
+    whole = mixing.in_mixed_order(odd, block=2)
     assert whole.columns == odd.columns and whole.count() == odd.count() and mixing.in_mixed_order(nothing).count() == 0
 
 
-@pytest.mark.parametrize("module", [mixing, topk, decontaminate])
+@pytest.mark.parametrize("module", [mixing, topk, decontaminate, secrets, repeats, neardup])
 def test_queries_equal_sql(spark, sf, module):
     con = duckdb.connect()
     for t in ("documents", "embeddings", "benchmark"):
@@ -250,6 +465,21 @@ def test_queries_equal_sql(spark, sf, module):
         assert key(got) == key(want)
 
 
+@pytest.mark.parametrize("block", [1, 3])
+def test_mixing_sql_on_uneven_sources(spark, tmp_path, monkeypatch, block):
+    """The query's SQL is the schedule itself: equal where weights are no whole thousandths."""
+    sizes = {"hot": 1400, None: 300, **{f"s{k}": 31 + 7 * k for k in range(9)}}
+    rows = [(i * 1021, s) for s, n in sizes.items() for i in range(n)]
+    spark.createDataFrame([(i, s, "") for i, s in rows], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    sql = mixing.SQL["op1_mix_sources"].replace(f"// {mixing.BLOCK}", f"// {block}").replace(f"+ {mixing.BLOCK} -", f"+ {block} -")
+    want = con.execute(sql).fetchall()
+    got = mixing.mix(spark.read.parquet(str(tmp_path / "documents.parquet")), block=block).select("doc_id", "source", "block", "slot", "position").collect()
+    # ids repeat across sources, never within one
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_topk_by_definition(spark):
     import random
 
@@ -260,13 +490,11 @@ def test_topk_by_definition(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("?")).repartition(3)
     ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and i != 5000]
     queries = [(i, v) for i, v in ok if i % 50 == 0 or i >= 3000 or i == 7]
-    want = {}
-    for q, a in queries:
-        best = want.setdefault(q, {})
-        for i, b in ok:
-            if i != q and len(a) == len(b):
-                best[i] = max(best.get(i, -(10**30)), sum(x * y for x, y in zip(a, b, strict=True)))
-    want = sorted((q, r, i, s) for q, best in want.items() for r, (s, i) in enumerate(sorted((-s, i) for i, s in best.items())[:5], 1) for s in [-s])
+    want = []
+    for q, a in queries:  # each row by itself, on both sides
+        best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in ok if i != q and len(a) == len(b))
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(best[:5], 1)]
+    want.sort()
     some = df.where("vec_id is null or vec_id <> 5000")
     for blocks in ((1024, 4096), (7, 13)):
         got = sorted(tuple(r) for r in topk.topk(some, some.where("vec_id % 50 = 0 or vec_id >= 3000 or vec_id = 7"), query_block=blocks[0], row_block=blocks[1]).collect())
@@ -274,6 +502,31 @@ def test_topk_by_definition(spark):
     assert topk.topk(df.where("1=0"), df).count() == 0
 
 
+def test_topk_sql_with_repeated_ids(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)], i) for i in range(120)]
+    rows += [(i, rows[k][1], 0) for k, i in ((3, 3), (3, 4), (50, 50), (0, 50), (7, 100), (7, 7))] + [(None, rows[1][1], 0), (150, None, 0), (200, [float("inf")] + [0.0] * 7, 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = sorted(map(tuple, topk.op5_exact_topk(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()))
+    assert got == sorted(con.execute(topk.SQL["op5_exact_topk"]).fetchall()) and len(got) == 5 * 5
+
+
+def test_a_floor_leaves_out_what_cannot_count():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = (rng.normal(size=(500, 16)) * 100).astype(np.int64)
+    q = (rng.normal(size=(3, 16)) * 100).astype(np.int64)
+    every = [np.sort(x @ v)[::-1] for v in q]
+    floor = np.array([e[2] for e in every], float)
+    qi, _, score, _ = topk.best_in_block(np.array([-1, -2, -3]), q, np.arange(500), x, 5, floor)
+    assert [score[qi == k].tolist() for k in range(3)] == [e[:3].tolist() for e in every]
+
+
 def test_bounds_prune():
     import numpy as np
 

@@ -20,28 +20,22 @@ def plain_scores(rows, order, strength):
     count = Counter(w for t in train for w in t)
     grams = {n: Counter() for n in range(2, order + 1)}
     for t in train:
-        for k in range(len(t)):
-            for n in grams:
-                if n == 2:
-                    grams[2][(t[k - 1] if k else "<s>", t[k])] += 1
-                elif k >= n - 1:
-                    grams[n][tuple(t[k - n + 1 : k + 1])] += 1
+        t = ["<s>", *t]
+        for n in grams:
+            grams[n].update(tuple(t[k : k + n]) for k in range(len(t) - n + 1))
     total, kinds = sum(count.values()), len(count)
     once, twice = (sum(v == x for v in count.values()) for x in (1, 2))
     d = once / (once + 2 * twice) if once and twice else 0.5
     out = []
     for (i, _), t, h in zip(rows, toks, held, strict=True):
         score = 0
-        for k, w in enumerate(t):
-            p = ((count[w] - d) if count[w] else d * kinds) / total
-            for n in grams:
-                if n == 2:
-                    c, ctx = grams[2][(t[k - 1] if k else "<s>", w)], count[t[k - 1]] if k else len(train)
-                elif k >= n - 1:
-                    c, ctx = grams[n][tuple(t[k - n + 1 : k + 1])], grams[n - 1][(t[k - 2], t[k - 1]) if n == 3 else tuple(t[k - n + 1 : k])]
-                else:
-                    continue
-                p = (c + strength * p) / (ctx + strength) if ctx else p
+        for k, w in enumerate(t, 1):
+            p = (count[w] - d if count[w] else d) / total
+            past = ["<s>", *t]
+            for n in range(2, min(order, k + 1) + 1):
+                before = tuple(past[k - n + 1 : k])
+                ctx = (len(train) if before == ("<s>",) else count[before[0]]) if n == 2 else grams[n - 1][before]
+                p = (grams[n][(*before, w)] + strength * p) / (ctx + strength) if ctx else p
             score += math.log10(p)
         base = sum(math.log10((count[w] + 1) / (total + kinds + 1)) for w in t)
         out.append((i, h, len(t), sum(count[w] > 0 for w in t), total, round(base, 5), round(score, 5)))
@@ -60,16 +54,58 @@ def test_scores_by_definition(odd, odd_texts, order):
     assert near(got) == near(want)
 
 
-def test_probabilities_sum_to_one():
-    words_, total = np.array([5, 3, 1, 1, 0]), 10  # the last stands for all words never seen
-    uni = 10 ** lm.log_probs(words_, [], total, 4, 0.4, 3, np.zeros(0, int), 1.0)
-    assert np.isclose(uni.sum(), 1)
-    # a context seen 6 times, with arcs for three of the words
-    first = np.array([[6, w] for w in words_]).ravel()
-    arcs = np.zeros(10)
-    arcs[1::2] = [3, 2, 1, 0, 0]
-    p = 10 ** lm.log_probs(first, [(np.arange(10), arcs)], total, 4, 0.4, 3, np.arange(0, 10, 2), 7.0)
-    assert np.isclose(p[1::2].sum(), 1)
+def whole_chunk(texts, held=()):
+    """A chunk with all texts, and the counts that the whole corpus would give it."""
+    toks = pa.array(texts, pa.string())
+    lm_rows = list(lm._chunks(iter([pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "held": [k in held for k in range(len(texts))], "text": toks})])))
+    return lm._Chunk(lm_rows[0])
+
+
+def corpus_counts(c, order, strength):
+    first = np.bincount(c.codes[c.train], minlength=len(c.keys))
+    seen = [first]
+    for n in range(2, order + 1):
+        on, h = c.grams(n)
+        values = np.unique(h)
+        seen.append(np.bincount(np.searchsorted(values, h), c.train[on], len(values)).astype(np.int64))
+    return seen, lm.Counts(int(c.train.sum()), int((first > 0).sum()), int((~c.held).sum()), 0.4, strength)
+
+
+@pytest.fixture()
+def one_task(monkeypatch):
+    monkeypatch.setattr(lm, "chunked", lambda batches, most: enumerate(batches))
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_probabilities_sum_to_one(one_task, order):
+    """Over the words seen, the end and as many distinct unseen words as the model reckons with, in every context."""
+    vocabulary = [f"w{i}" for i in range(6)]
+    unseen = [f"new{i}" for i in range(7)]  # six words and the end are seen
+    train = ["w0 w1 w2 w3", "w0 w1 w2 w4 w5", "w2 w0 w1 w2 w3 w3", "w5"]
+    for history in ("", "w0", "w0 w1", "w1 w2", "w4 new0", "w3 w3 w3"):
+        texts = [*train, *(f"{history} {w}" for w in [*vocabulary, *unseen]), history]
+        c = whole_chunk(texts, held=range(len(train), len(texts)))
+        seen, corpus = corpus_counts(c, order, 2.0)
+        logs = lm.automaton(c, seen, corpus).run(c.codes.astype(np.int64), c.first, c.counts, order)
+        place = len(history.split())
+        last = [c.first[k] + place for k in range(len(train), len(texts))]
+        assert np.isclose((10 ** logs[last]).sum(), 1)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lanes_make_no_difference(one_task, order):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 9, n)) for n in (0, 1, 2, 3, 40, 700, 1500)]
+    c = whole_chunk(texts, held=(4, 6))
+    seen, corpus = corpus_counts(c, order, 2.0)
+    a = lm.automaton(c, seen, corpus)
+    run = lambda lane: a.run(c.codes.astype(np.int64), c.first, c.counts, order, lane)
+    assert np.array_equal(run(10**6), run(order - 1)) and np.array_equal(run(10**6), run(64))
+    # failure arcs lead to shorter contexts and end at the root
+    state = np.arange(len(a.fail))
+    for _ in range(order):
+        state = a.fail[state]
+    assert not state.any() and (a.fail_weights[1:] < 0).all()
 
 
 def test_scores_of_nothing(nothing, odd):
@@ -87,6 +123,9 @@ def test_op4(spark, sf):
         assert abs(r.base_score - base) < 1e-4 and abs(r.score - score) < 1e-4
     held = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    # the gain does not come from words never seen: texts whose every word is known gain too
+    known = [r for r in held if r.n_known == r.n_tokens]
+    assert sum(r.score for r in known) > sum(r.base_score for r in known)
 
 
 def test_quality_on_held_out_rows(spark):

@@ -1,5 +1,6 @@
 import importlib
 import json
+import mmap
 import subprocess
 import sys
 import zlib
@@ -59,6 +60,30 @@ def test_a_full_memory_starts_anew(library, monkeypatch):
         assert ids.tolist() == [x for t in texts for x in encoded(library, t)]
 
 
+def test_words_with_one_hash_keep_their_own_ids(library, monkeypatch):
+    """The first hash is made nearly useless: the second one tells words apart."""
+    real = tokens.tv.word_hashes
+    monkeypatch.setattr(tokens.tv, "word_hashes", lambda *a: real(*a) & np.uint64(3) if a[-1] in (0, 2) else real(*a))
+    coder = tokens.Encoder(Path(FILE).read_text())
+    for k in range(3):
+        texts = [" ".join(f"word{k}{i} again, thing" for i in range(30)), "", "again <|endoftext|> word00", None]
+        ids, counts = coder.encode(pa.array(texts))
+        want = [encoded(library, t) for t in texts]
+        assert ids.tolist() == [x for w in want for x in w] and counts.tolist() == [len(w) for w in want]
+
+
+def test_a_mapped_file_is_read_where_it_is_looked_at(tmp_path):
+    a = np.random.default_rng(3).integers(0, 50_000, 20_000).astype(np.uint32)
+    path = tmp_path / "shard"
+    path.write_bytes(tokens.write_shard(pa.array([1], pa.int64()), np.array([len(a)]), a))
+    with open(path, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as blob:
+        _, _, m = tokens.read_shard(blob, check=False)
+        assert all(not p.packed.flags.owndata and not p.ranks.flags.owndata for p in m.planes)
+        assert [m.access(i) for i in (0, 777, 19_999)] == a[[0, 777, 19_999]].tolist()
+        assert m.rank(int(a[5])) == int((a == a[5]).sum()) and a[m.select(int(a[5]), 0)] == a[5]
+        del m
+
+
 def test_other_tokenizers_take_the_long_way():
     j = json.loads(Path(FILE).read_text())
     j["normalizer"] = None
@@ -165,8 +190,8 @@ def test_pipeline_by_stages(spark, library):
 def test_stored_order_is_the_mixed_order(spark, odd, tmp_path):
     from prismgrid.llm import mixing
 
-    place = {(r.doc_id, r.text): r.position for r in mixing.mix(odd, block=2, period=10, keep=("text",)).collect()}
-    mixing.in_mixed_order(odd, block=2, period=10).write.parquet(str(tmp_path / "out"))
+    place = {(r.doc_id, r.text): r.position for r in mixing.mix(odd, block=2, keep=("text",)).collect()}
+    mixing.in_mixed_order(odd, block=2).write.parquet(str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out")).select("doc_id", "text", F.col("_metadata.file_name").alias("f"), F.col("_metadata.row_index").alias("i")).orderBy("f", "i").collect()
     once = [r for r in back if sum((b.doc_id, b.text) == (r.doc_id, r.text) for b in back) == 1]
     assert [place[r.doc_id, r.text] for r in once] == sorted(place[r.doc_id, r.text] for r in once)
