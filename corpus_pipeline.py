@@ -26,25 +26,42 @@ from prismgrid.shipping import ship
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality classifier rejects; it is fitted on a bounded sample of labels."""
+    """Without the documents that the quality classifier rejects; it is fitted on a bounded sample of labels.
+
+    Null texts are judged as empty, very long ones whole, repeated rows each by itself; null
+    ids have no labels. Without labels of both classes, and of an empty table, all rows stay.
+    """
     ship(spark)
     return quality.rejects(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies.
+
+    Documents without words (null or empty texts) are copies of nothing and stay. Of repeated
+    rows one stays; of a class the row with the smallest id, null ids only if it has no other.
+    Very long texts are compared whole. An empty table gives no rows.
+    """
     ship(spark)
     return neardup.keep_one(docs, words=5, percent=80)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that hold a benchmark item."""
+    """Without the documents that hold a benchmark item.
+
+    Null and empty texts hold none; very long ones are searched whole. Repeated rows share
+    their fate. Items without words match nothing; without items all rows stay.
+    """
     ship(spark)
     return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, sorted by their place in the mixed order; weights follow the square roots of the sources' sizes."""
+    """All documents, sorted by their place in the mixed order; weights follow the square roots of the sources' sizes.
+
+    A null source is a source of its own; null ids come first in theirs, repeated rows side by
+    side. Texts, null, empty or very long, move as they are. An empty table gives no rows.
+    """
     return mixing.in_mixed_order(docs)
 
 
@@ -52,7 +69,9 @@ def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str |
     """Places, lengths and checksums in the token shards, which hold the documents in their stored order.
 
     The stored order is that of the files' numbers and the rows in them. Documents that do
-    not come straight from files are taken in order of doc_id. path: where the shards stay.
+    not come straight from files are taken in order of doc_id. Null and empty texts have the
+    end id alone; a very long text is encoded whole; repeated rows and null ids are rows of
+    their own. An empty table gives no rows. path: where the shards stay.
     """
     import public_tokenizers
 
