@@ -127,12 +127,16 @@ class FilterSpec:
     cluster_refine: int = 0
     component: int = -1
     seed: int = 0
+    local_statistics_prior: bool = False
+    local_statistics_delta: float = 0.0
 
     def __post_init__(self):
         if self.sigma_space <= 0 or self.sigma_range <= 0:
             raise ValueError("sigmas must be positive")
         if self.variant in (Variant.INTERPOLATION2, Variant.INTERPOLATION3):
             raise NotImplementedError(f"{self.variant}: no public definition; use interpolation, soft or nystrom")
+        if self.local_statistics_prior or self.local_statistics_delta:
+            raise NotImplementedError("the local statistics prior and its delta have no public definition")
         if self.cluster_refine:
             raise NotImplementedError("cluster refinement modes other than 0 have no public definition")
         if self.patch_pca_method:

@@ -65,11 +65,17 @@ def linear_map(f: Column, matrix: list[list[float]]) -> Column:
     return F.array(*(sum((F.get(f, i) * F.lit(float(w)) for i, w in enumerate(row)), F.lit(0.0)) for row in matrix))
 
 
+def hashed_uniform(*parts: Column) -> Column:
+    """A number above 0 and up to 1 from the parts' text by MD5: 52 bits, the same on every engine and under any partitioning."""
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", *(p.cast("string") for p in parts))), 1, 13), 16, 10).cast("double")
+    return (bits + 1) / F.lit(float((1 << 52) + 1))
+
+
 def add_noise(px: DataFrame, sigma: float, seed: int = 0, column: str = "f") -> DataFrame:
     """Gaussian noise by channel, the same for a seed under any partitioning."""
 
     def uniform(salt: int, i: Column) -> Column:
-        return (F.pmod(F.xxhash64("img_id", "y", "x", i, F.lit(seed * 2 + salt)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+        return hashed_uniform(F.col("img_id"), F.col("y"), F.col("x"), i, F.lit(seed * 2 + salt))
 
     noise = lambda v, i: v + F.lit(float(sigma)) * F.sqrt(-2 * F.log(uniform(0, i))) * F.cos(F.lit(6.283185307179586) * uniform(1, i))
     return px.withColumn(column, F.transform(column, noise))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismgrid.model import Cluster
+from prismgrid.operators.channels import hashed_uniform
 
 Centres = list[list[float]]
 
@@ -63,7 +64,7 @@ def cost(px: DataFrame, mu: Centres, column: str = "g") -> float:
 
 
 def _uniform(seed: int) -> Column:
-    return (F.pmod(F.xxhash64("img_id", "y", "x", F.lit(seed)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+    return hashed_uniform(F.col("img_id"), F.col("y"), F.col("x"), F.lit(seed))
 
 
 def random_sample(px: DataFrame, k: int, seed: int = 0, column: str = "g") -> Centres:

@@ -19,12 +19,22 @@ from prismgrid.operators.border import _copies, sized
 from prismgrid.operators.tiling import apply_tiles
 
 
-def hdgf(px: DataFrame, *, sigma_space: float, sigma_range: float, radius: int | None = None, border: int = Border.REFLECT101, plan: str = "tile", tile: tuple[int, int] | None = None, divisions: tuple[int, int] | None = None, shape: tuple[int, int] | None = None) -> DataFrame:
-    """px with f filtered. plan "tile": a kernel for each tile, one shuffle; "join": SQL only, a row for each tap, for small radii."""
+def hdgf(px: DataFrame, *, sigma_space: float, sigma_range: float, radius: int | None = None, border: int = Border.REFLECT101, plan: str = "tile", tile: tuple[int, int] | None = None, divisions: tuple[int, int] | None = None, shape: tuple[int, int] | None = None, patch: int = 0, column: str = "g") -> DataFrame:
+    """px with f filtered. plan "tile": a kernel for each tile, one shuffle; "join": SQL only, a row for each tap, for small radii.
+
+    patch: the guide is the patches of this radius of `column`, made in the tile (non-local means).
+    """
     r = radius_of(sigma_space, radius)
     if plan == "join":
+        if patch or column != "g":
+            raise ValueError("the join has the guide as it is: use im2col first")
         return _by_join(px, r, sigma_space, sigma_range, border, shape)
-    return apply_tiles(px, lambda b: kernels.hdgf(b.image("f"), b.image("g"), r, sigma_space, sigma_range, b.inside()), r, border, tile, divisions, shape)
+
+    def kernel(b):
+        g = b.patches(column, r, patch) if patch else b.image(column, r)
+        return kernels.hdgf(b.image("f", r), g, r, sigma_space, sigma_range, b.inside(r))
+
+    return apply_tiles(px, kernel, r + patch, border, tile, divisions, shape)
 
 
 def _by_join(px: DataFrame, r: int, sigma_space: float, sigma_range: float, border: int, shape) -> DataFrame:
@@ -64,22 +74,18 @@ def hdgf_tile_pca(px: DataFrame, *, sigma_space: float, sigma_range: float, pca_
 def range_smooth(vectors: DataFrame, *, sigma_range: float, block: int = 2048) -> DataFrame:
     """The filter without an image: each vector becomes the mean of all, weighted by the Gaussian of their distance.
 
-    vectors: id, g. Blocks of vectors meet in pairs, each pair in a task of its own; a task
-    gives a partial sum a vector. Returns id, f.
+    vectors: id, g. A hash of the id deals vectors to blocks of about `block`; blocks meet in
+    pairs, each pair in a task of its own, and a task gives a partial sum a vector. Returns id, f.
     """
     import numpy as np
     import pyarrow as pa
 
-    def pack(batches):
-        from pyspark import TaskContext
+    blocks = max(1, -(-vectors.count() // block))
 
-        part, n = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            for a in range(0, batch.num_rows, block):
-                piece = batch.slice(a, block)
-                g = piece.column("g").flatten().to_numpy(zero_copy_only=False).astype(float)
-                yield pa.RecordBatch.from_pydict({"block": pa.array([part + n], pa.int64()), "ids": pa.array([piece.column("id").to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary()), "g": pa.array([g.tobytes()], pa.binary())})
-                n += 1
+    def pack(key, table):
+        g = table["g"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+        ids = table["id"].to_numpy().astype(np.int64)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "g": pa.array([g.tobytes()], pa.binary())})
 
     def meet(batches):
         for batch in batches:
@@ -93,10 +99,10 @@ def range_smooth(vectors: DataFrame, *, sigma_range: float, block: int = 2048) -
                 sums = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * a.shape[1], pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([pa.array(ids), sums, pa.array(w.sum(1))], ["id", "s", "w"])
 
-    packed = vectors.select(F.col("id").cast("long").alias("id"), "g").mapInArrow(pack, "block long, ids binary, g binary")
-    names = packed.select(F.col("block").alias("other"), F.col("g").alias("other_g"))
-    todo = packed.select("block").crossJoin(names.select("other"))  # numbers of blocks only
-    todo = todo.join(packed, "block").join(names, "other").select("ids", "g", "other_g")
+    rows = vectors.select(F.col("id").cast("long").alias("id"), "g").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    packed = rows.groupBy("block").applyInArrow(pack, "block int, ids binary, g binary")
+    others = packed.select(F.col("block").alias("other"), F.col("g").alias("other_g"))
+    todo = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition("block", "other").join(others, "other").select("ids", "g", "other_g")
     part = todo.mapInArrow(meet, "id long, s array<double>, w double")
     long = part.select("id", "w", F.posexplode("s").alias("c", "v"))
     out = long.groupBy("id", "c").agg((F.sum("v") / F.sum("w")).alias("v"))

@@ -3,27 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from prismgrid.functions import kernels
 from prismgrid.model import Border
-from prismgrid.operators.border import _copies, sized
+from prismgrid.operators.tiling import apply_tiles
 
 
 def im2col(px: DataFrame, r: int, border: int = Border.REFLECT101, shape: tuple[int, int] | None = None, column: str = "g") -> DataFrame:
     """px with the guide replaced by each pixel's (2r+1)^2 patch of `column`.
 
-    Channel ((dy+r)(2r+1) + dx+r)C + c holds channel c at offset (dy, dx). Each pixel is
-    sent to the pixels whose patch it is in, so that there is one shuffle.
+    Channel ((dy+r)(2r+1) + dx+r)C + c holds channel c at offset (dy, dx). A tile gets r more
+    pixels on each side, so that a pixel is sent about once; patches are made in the tile.
     """
     if border == Border.CONSTANT:
         raise ValueError("patches need a border other than constant")
-    side = 2 * r + 1
-    rows = sized(px, shape).withColumn("_y", F.explode(_copies(F.col("y"), F.col("_h"), r, border))).withColumn("_x", F.explode(_copies(F.col("x"), F.col("_w"), r, border)))
-    offsets = F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit((dy + r) * side + dx + r).alias("pos")) for dy in range(-r, r + 1) for dx in range(-r, r + 1)))
-    rows = rows.withColumn("_o", F.explode(offsets)).select(
-        "img_id", (F.col("_y") - F.col("_o.dy")).cast("int").alias("_py"), (F.col("_x") - F.col("_o.dx")).cast("int").alias("_px"), F.col("_o.pos").alias("pos"), F.col(column).alias("_v"),
-        F.when((F.col("_o.dy") == 0) & (F.col("_o.dx") == 0), F.col("f")).alias("_f"), "_h", "_w",
-    )
-    rows = rows.where("_py >= 0 and _py < _h and _px >= 0 and _px < _w")
-    out = rows.groupBy("img_id", F.col("_py").alias("y"), F.col("_px").alias("x")).agg(F.max("_f").alias("f"), F.sort_array(F.collect_list(F.struct("pos", "_v"))).alias("_p"))
-    return out.select("img_id", "y", "x", "f", F.flatten(F.col("_p._v")).alias("g"))
+    return apply_tiles(px, lambda b: kernels.im2col(b.image(column, r), r), r, border, shape=shape, into="g")

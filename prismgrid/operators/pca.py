@@ -27,13 +27,12 @@ def moments(px: DataFrame, column: str = "g") -> DataFrame:
 
     schema = "img_id int, n double, total array<double>, gram array<double>"
     part = px.select("img_id", column).mapInArrow(partial, schema)
-    long = part.select("img_id", F.lit(0).alias("kind"), F.posexplode(F.array("n")).alias("i", "v"))
-    for kind, c in ((1, "total"), (2, "gram")):
-        long = long.unionByName(part.select("img_id", F.lit(kind).alias("kind"), F.posexplode(c).alias("i", "v")))
-    sums = long.groupBy("img_id", "kind", "i").agg(F.sum("v").alias("v"))
-    one = sums.groupBy("img_id", "kind").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("p"))
-    wide = one.groupBy("img_id").pivot("kind", [0, 1, 2]).agg(F.first(F.col("p.v")))
-    return wide.select("img_id", F.col("0")[0].alias("n"), F.col("1").alias("total"), F.col("2").alias("gram"))
+    # n, then the totals, then the matrix, summed place by place: one pass, a few hundred rows a batch at most
+    long = part.select("img_id", F.posexplode(F.concat(F.array("n"), "total", "gram")).alias("i", "v"))
+    sums = long.groupBy("img_id", "i").agg(F.sum("v").alias("v"))
+    one = sums.groupBy("img_id").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("p")).select("img_id", F.col("p.v").alias("v"))
+    dims = F.floor((F.sqrt(4 * F.size("v") - 3) - 1) / 2).cast("int")  # 1 + c + c^2 values
+    return one.withColumn("c", dims).select("img_id", F.get("v", 0).alias("n"), F.slice("v", 2, F.col("c")).alias("total"), F.slice("v", 2 + F.col("c"), F.col("c") * F.col("c")).alias("gram"))
 
 
 def fit(px: DataFrame, dims: int, column: str = "g") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from prismgrid.functions import kernels, lowrank
 from prismgrid.model import Border, scale_of
 from prismgrid.operators.border import sized
+from prismgrid.operators.channels import hashed_uniform
 from prismgrid.operators.tiling import Block, with_tiles
 
 
@@ -59,9 +60,9 @@ def importance(px: DataFrame, rate: float, seed: int = 0, column: str = "g", bor
     rows = with_gradient(px, column, border, shape)
     mean = rows.groupBy("img_id").agg(F.avg("gradient").alias("_m"))
     rows = rows.join(mean, "img_id")
-    draw = (F.pmod(F.xxhash64("img_id", "y", "x", F.lit(seed)), F.lit(1 << 52))) / F.lit(float(1 << 52))
+    draw = hashed_uniform(F.col("img_id"), F.col("y"), F.col("x"), F.lit(seed))
     chance = F.when(F.col("_m") > 0, F.col("gradient") * F.lit(float(rate)) / F.col("_m")).otherwise(F.lit(float(rate)))
-    return rows.where(draw < chance).select(*px.columns)
+    return rows.where(draw <= chance).select(*px.columns)
 
 
 def dither(px: DataFrame, rate: float, by_dog: bool = False, sigma: float = 3.0, tile=None, divisions=None, shape=None) -> DataFrame:

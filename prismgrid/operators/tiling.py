@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismgrid.functions.kernels import remap
+from prismgrid.functions.kernels import im2col, remap
 from prismgrid.model import Border
 from prismgrid.operators.border import sized
 
@@ -98,6 +98,16 @@ class Block:
             out[:, at[1] < 0] = value
         return out
 
+    def patches(self, column: str, halo: int, r: int) -> np.ndarray:
+        """image(column, halo) with each pixel's (2r+1)^2 patch as its channels; pixels outside the image have the patch of the pixel they stand for."""
+        out = im2col(self.image(column, halo + r), r)
+        if self.border == Border.WRAP or not halo:  # a translation: the patches are the same
+            return out
+        if self.border == Border.CONSTANT:
+            raise ValueError("patches need a border other than constant")
+        at = [remap(np.arange(a - halo, a + n + halo), size, self.border) - (a - halo) for a, n, size in ((self.y0, self.h, self.shape[0]), (self.x0, self.w, self.shape[1]))]
+        return out[at[0].clip(0, out.shape[0] - 1)][:, at[1].clip(0, out.shape[1] - 1)]
+
     def inside(self, halo: int | None = None) -> np.ndarray | None:
         """Which of image()'s pixels lie in the image; None if all count."""
         if self.border != Border.CONSTANT:
@@ -117,14 +127,16 @@ def _rows(block: Block, **columns: np.ndarray) -> pa.Table:
     return pa.table(out)
 
 
-def apply_tiles(px: DataFrame, kernel: Callable[[Block], np.ndarray], halo: int, border: int = Border.REFLECT101, tile: tuple[int, int] | None = None, divisions: tuple[int, int] | None = None, shape: tuple[int, int] | None = None, keep_guide: bool = True) -> DataFrame:
-    """px with f replaced by what the kernel makes of each tile: an image over the tile's own pixels."""
+def apply_tiles(px: DataFrame, kernel: Callable[[Block], np.ndarray], halo: int, border: int = Border.REFLECT101, tile: tuple[int, int] | None = None, divisions: tuple[int, int] | None = None, shape: tuple[int, int] | None = None, keep_guide: bool = True, into: str = "f") -> DataFrame:
+    """px with f (or g, by `into`) replaced by what the kernel makes of each tile: an image over the tile's own pixels."""
     columns = ["img_id", "y", "x", "f", "g", "tj", "ti", "_h", "_w", "_th", "_tw"]
     rows = with_tiles(px, halo, tile, divisions, border, shape).select(*columns)
 
     def run(key, table):
         block = Block(key, table, halo, border)
         out = kernel(block)
+        if into == "g":
+            return _rows(block, f=block.image("f", 0), g=out)
         return _rows(block, f=out, g=block.image("g", 0)) if keep_guide else _rows(block, f=out)
 
     schema = "img_id int, y int, x int, f array<double>" + ", g array<double>" * keep_guide
@@ -148,10 +160,10 @@ def from_tiles(tiles: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for t in batch.to_pylist():
+            for i, t in enumerate(batch.drop_columns(["f", "g"]).to_pylist()):
                 side = t["h"] + 2 * t["halo"], t["w"] + 2 * t["halo"]
                 r = t["halo"]
-                own = {c: np.array(t[c]).reshape(*side, -1)[r : r + t["h"], r : r + t["w"]] for c in ("f", "g")}
+                own = {c: batch.column(c)[i].values.to_numpy(zero_copy_only=False).reshape(*side, -1)[r : r + t["h"], r : r + t["w"]] for c in ("f", "g")}
                 place = type("Place", (), {"img": t["img_id"], "y0": t["y0"], "x0": t["x0"], "h": t["h"], "w": t["w"]})
                 yield from _rows(place, **own).to_batches()
 

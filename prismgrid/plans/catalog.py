@@ -6,6 +6,8 @@ a plain definition of what each operator computes: gathers of neighbours by join
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from prismgrid.operators.approximate import cluster_filter, kd_tree_filter, kern
 from prismgrid.operators.patches import im2col
 from prismgrid.operators.spatial import gaussian
 from prismgrid.operators.tiling import from_tiles, tile_index, to_tiles, with_tiles
+from prismgrid.plans import sql_clusters
 from prismgrid.plans.methods import run_cell, run_method
 from prismgrid.sources.grid import events_grid, part_grid
 from prismgrid.sources.images import stacked
@@ -83,9 +86,10 @@ def _separable(weights: str, r: int = 9, value: str = "f0") -> str:
 ), v2 AS (SELECT m2.y, m2.x, sum(wt * q.v) AS v FROM m2 JOIN v1 q ON q.y = m2.y AND q.x = m2.qx GROUP BY m2.y, m2.x)"""
 
 
-def _gauss(r: int = 9) -> str:
+def _gauss(r: int = 9, sigma: float = SS) -> str:
+    two = 2 * sigma * sigma
     return f"""e AS (SELECT CAST(unnest(range(-{r}, {r} + 1)) AS INTEGER) AS n), k AS (
-  SELECT n, exp(-CAST(n * n AS DOUBLE) / {2 * SS * SS}::DOUBLE) / (SELECT sum(exp(-CAST(n * n AS DOUBLE) / {2 * SS * SS}::DOUBLE)) FROM e) AS wt FROM e
+  SELECT n, exp(-CAST(n * n AS DOUBLE) / {two}::DOUBLE) / (SELECT sum(exp(-CAST(n * n AS DOUBLE) / {two}::DOUBLE)) FROM e) AS wt FROM e
 )"""
 
 
@@ -178,8 +182,7 @@ _PATCH = f"""WITH {_GRID}, o AS (SELECT CAST(unnest(range(-1, 2)) AS INTEGER) AS
 SELECT y, x, round(sum(wt * f0) / sum(wt), 6) AS v FROM w GROUP BY y, x""")
 def nlm_exact(spark, sf_dir):
     """Non-local means: the guide is the 3 x 3 patch of the signal, radius 2."""
-    px = im2col(events_grid(spark, sf_dir), 1, column="f")
-    return _value(exact.hdgf(px, sigma_space=SS, sigma_range=SR, radius=2))
+    return _value(exact.hdgf(events_grid(spark, sf_dir), sigma_space=SS, sigma_range=SR, radius=2, patch=1, column="f"))
 
 
 @_query("""WITH p AS (SELECT a.vec_id AS id, b.embedding AS e, exp(-list_sum(list_transform(range(1, 65), lambda i: (CAST(a.embedding[i] AS DOUBLE) - b.embedding[i]) * (CAST(a.embedding[i] AS DOUBLE) - b.embedding[i]))) / 0.5::DOUBLE) AS w FROM embeddings a CROSS JOIN embeddings b)
@@ -331,12 +334,12 @@ def fill_occlusion(spark, sf_dir):
     return _value(resample.fill_occlusion(events_grid(spark, sf_dir), F.get("f", 0) < 30))
 
 
-@_query(f"WITH {_GRID}, h AS (SELECT CASE WHEN y < 5 THEN 0 ELSE 1 END AS i, * FROM g WHERE y < 10 AND x < 40) SELECT CAST(y % 5 AS INTEGER) AS y, CAST(x + 40 * i AS INTEGER) AS x, round(f0, 6) AS v FROM h")
+@_query(f"WITH {_GRID} SELECT CAST(y // 2 AS INTEGER) AS y, CAST(x + 100 * (y % 2) AS INTEGER) AS x, round(f0, 6) AS v FROM g")
 def mosaic(spark, sf_dir):
-    """Two images side by side."""
-    px = events_grid(spark, sf_dir).where("y < 10 and x < 40")
-    px = px.withColumns({"img_id": F.when(F.col("y") < 5, 0).otherwise(1), "y": F.col("y") % 5})
-    return _value(resample.mosaic(px, 2, 5, 40))
+    """The grid's even and odd lines as two images side by side."""
+    px = events_grid(spark, sf_dir)
+    px = px.withColumns({"img_id": F.col("y") % 2, "y": F.floor(F.col("y") / 2).cast("int")})
+    return _value(resample.mosaic(px, 2, _height(spark, sf_dir) // 2, 100))
 
 
 @_query("SELECT CAST(event_id AS INTEGER) AS n, CAST(event_id // 8 AS INTEGER) AS tj, CAST(event_id % 8 AS INTEGER) AS ti FROM events")
@@ -523,9 +526,8 @@ def gain_vs_baseline(spark, sf_dir):
     """Medians less that of a baseline with the same setting."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("method"), (F.col("user_id") % 5).alias("k"), "value")
     med = statistics(e, "value", "method", "k")
-    base = e.agg(F.min("method").alias("base"))
-    med = med.crossJoin(F.broadcast(base))
-    at = F.max(F.when(F.col("method") == F.col("base"), F.col("median"))).over(Window.partitionBy("k"))
+    base = e.agg(F.min("method")).first()[0]
+    at = F.max(F.when(F.col("method") == F.lit(base), F.col("median"))).over(Window.partitionBy("k"))
     return med.withColumn("gain", F.round(F.col("median") - at, 6)).where("gain is not null").select("method", "k", "gain")
 
 
@@ -608,11 +610,11 @@ def signal_flash(spark, sf_dir):
     return out.select("y", "x", F.round(F.get("f", 0), 6).alias("f0"), *(F.round(F.get("g", i), 6).alias(f"c{i}") for i in range(2)))
 
 
-@_query(f"WITH {_GRID} SELECT a.y % 2 AS y, a.x, round(a.f0, 6) AS c0, round(b.f0, 6) AS c1, round(c.f0, 6) AS c2 FROM g a JOIN g b ON b.y = a.y + 2 AND b.x = a.x JOIN g c ON c.y = a.y + 4 AND c.x = a.x WHERE a.y < 2")
+@_query(f"WITH {_GRID}, b AS (SELECT x // 20 AS band, y, x % 20 AS x, f0 FROM g) SELECT y, CAST(x AS INTEGER) AS x, {', '.join(f'round(max(f0) FILTER (band = {i}), 6) AS c{i}' for i in range(5))} FROM b GROUP BY y, x")
 def stack_bands(spark, sf_dir):
-    """Three images of one channel as one image of three."""
-    px = events_grid(spark, sf_dir).where("y < 6").withColumn("band", F.floor(F.col("y") / 2)).withColumn("y", F.col("y") % 2)
-    return stacked(px, F.col("band")).select("y", "x", *(F.round(F.get("f", i), 6).alias(f"c{i}") for i in range(3)))
+    """Five upright strips of the grid, images of one channel, as one image of five."""
+    px = events_grid(spark, sf_dir).withColumns({"band": F.floor(F.col("x") / 20), "x": F.col("x") % 20})
+    return stacked(px, F.col("band")).select("y", "x", *(F.round(F.get("f", i), 6).alias(f"c{i}") for i in range(5)))
 
 
 @_query(f"""WITH {_GRID}, zm AS MATERIALIZED (SELECT g.y, g.x, 2 + {_map("(g.y - 2)", "(h - 4)", Border.REFLECT101)} AS qy, 2 + {_map("(g.x - 2)", "(w - 4)", Border.REFLECT101)} AS qx FROM g CROSS JOIN s)
@@ -659,26 +661,273 @@ def _free(name: str, run):
 
 for _variant in (Variant.NYSTROM, Variant.SOFT, Variant.INTERPOLATION):
     _free(f"cluster_{_variant}", lambda s, d, v=_variant: _value(cluster_filter(events_grid(s, d), _SPEC.but(variant=v))))
+
+def _tile_centres(s, d, method: Cluster) -> DataFrame:
+    """Centres of each of 1 x 5 tiles from every second pixel of every second line, and the pixels nearest to each."""
+    out = tile_centres(events_grid(s, d), _SPEC.but(cluster=method, sampler=Sampler.NEAREST, divisions=(1, 5)))
+    return out.select("tj", "ti", "k", *(F.round(F.get("mu", i), 6).alias(f"m{i}") for i in range(2)), "weight")
+
+
+def _table_centres(s, d, method: Cluster) -> DataFrame:
+    """Four centres of the whole image."""
+    mu = cluster.fit(events_grid(s, d), method, 4, 3)
+    return s.createDataFrame([(k, *m) for k, m in enumerate(mu)], "k int, m0 double, m1 double").select("k", F.round("m0", 6).alias("m0"), F.round("m1", 6).alias("m1"))
+
+
+_SAMPLED = f"WITH {_GRID}, p AS MATERIALIZED (SELECT x // 20 AS t, y * 100 + x AS id, 0 AS u, g0 AS a, g1 AS b FROM g WHERE y % 2 = 0 AND x % 2 = 0)"
+_COUNTED = """, z AS (SELECT x // 20 AS t, y * 100 + x AS id, g0 AS a, g1 AS b FROM g), zn AS ({near})
+SELECT 0 AS tj, CAST(c.t AS INTEGER) AS ti, CAST(c.k AS INTEGER) AS k, round(any_value(m0), 6) AS m0, round(any_value(m1), 6) AS m1, CAST(count(zn.id) AS DOUBLE) AS weight
+FROM c LEFT JOIN zn ON zn.t = c.t AND zn.k = c.k GROUP BY c.t, c.k""".format(near=sql_clusters._near("c", "z"))
+_TILE_CENTRES = {
+    Cluster.MEDIANCUT_MEDIAN: sql_clusters.cut(8, True),
+    Cluster.QUANTIZE_WAN: sql_clusters.cut(8, False),
+    Cluster.KMEANS_MEDIANCUT: f"{sql_clusters.cut(8, True, 'm')}, {sql_clusters.lloyd('m', 5)}",
+    Cluster.KMEANS_WAN: f"{sql_clusters.cut(8, False, 'm')}, {sql_clusters.lloyd('m', 5)}",
+    Cluster.QUANTIZE_DIV: sql_clusters.cells(8, 3, most=8),
+}
 for _c in Cluster:
-    _free(f"centres_{_c}", lambda s, d, c=_c: tile_centres(events_grid(s, d), _SPEC.but(cluster=c, sampler=Sampler.NEAREST, divisions=(1, 5))).select("tj", "ti", "k", F.get("mu", 0).alias("m0"), F.get("mu", 1).alias("m1"), "weight"))
-for _c in (Cluster.RANDOM_SAMPLE, Cluster.KMEANS, Cluster.KMEANS_PP, Cluster.GAUSS_INV_MEANS_PP, Cluster.KMEANS_MEDIANCUT, Cluster.QUANTIZE_DIV):
-    _free(f"table_{_c}", lambda s, d, c=_c: s.createDataFrame([(k, *m) for k, m in enumerate(cluster.fit(events_grid(s, d), c, 4, 3))], "k int, m0 double, m1 double"))
+    _steps = _TILE_CENTRES.get(_c)
+    _query(f"{_SAMPLED}, {_steps}{_COUNTED}" if _steps else None, f"centres_{_c}")(lambda s, d, c=_c: _tile_centres(s, d, c))
+
+_DRAWS = [sql_clusters.uniform("0", "id // 100", "id % 100", str(7919 * i)) for i in range(1, 4)]
+_POINTS = f"WITH {_GRID}, p AS MATERIALIZED (SELECT 0 AS t, y * 100 + x AS id, {sql_clusters.uniform('0', 'y', 'x', '0')} AS u, g0 AS a, g1 AS b FROM g)"
+_SEEDS = sql_clusters.plus_plus(4, 3, _DRAWS, "m")
+_TABLE_CENTRES = {
+    Cluster.RANDOM_SAMPLE: sql_clusters.by_hash(4),
+    Cluster.KMEANS: f"{sql_clusters.by_hash(4, 'm')}, {sql_clusters.lloyd('m', 3)}",
+    Cluster.KMEANS_PP: f"{_SEEDS}, {sql_clusters.lloyd('m', 3)}",
+    Cluster.KMEANS_PP_FAST: f"{_SEEDS}, {sql_clusters.lloyd('m', 3)}",
+    Cluster.GAUSS_INV_MEANS_PP: f"{_SEEDS}, {sql_clusters.lloyd('m', 3, 25.0)}",
+    Cluster.KMEANS_MEDIANCUT: f"{sql_clusters.cut(4, True, 'm')}, {sql_clusters.lloyd('m', 3)}",
+    Cluster.KMEANS_WAN: f"{sql_clusters.cut(4, False, 'm')}, {sql_clusters.lloyd('m', 3)}",
+    Cluster.MEDIANCUT_MEDIAN: sql_clusters.cut(4, True),
+    Cluster.QUANTIZE_WAN: sql_clusters.cut(4, False),
+    Cluster.QUANTIZE_DIV: sql_clusters.cells(4, 2, stretch=1e-9, same=True),
+}
+for _c, _steps in _TABLE_CENTRES.items():
+    _sql = f"{_POINTS}, {_steps} SELECT CAST(k AS INTEGER) AS k, round(m0, 6) AS m0, round(m1, 6) AS m1 FROM c"
+    _query(_sql, f"table_{_c}")(lambda s, d, c=_c: _table_centres(s, d, c))
+
+
+# ---- approximations against the exact filter -----------------------------------------
+
+
+def _scene(spark, sf_dir) -> DataFrame:
+    """The grid guided by its own two channels, smoothed: edges that a filter can follow."""
+    px = events_grid(spark, sf_dir)
+    at = ["img_id", "y", "x"]
+    a = gaussian(px, sigma_space=4.0, radius=12).select(*at, F.col("f").alias("_a"))
+    b = gaussian(px.withColumn("f", F.slice("g", 2, 1)), sigma_space=4.0, radius=12).select(*at, F.col("f").alias("_b"))
+    return px.drop("g").join(a, at).join(b, at).select(*at, "f", F.concat("_a", "_b").alias("g"))
+
+
+def _reached(exact_px: DataFrame, px: DataFrame, floor: float) -> DataFrame:
+    """Whether the image comes within `floor` decibels of the exact one, whose mean is given too."""
+    mean = exact_px.groupBy("img_id").agg(F.round(F.avg(F.get("f", 0)), 5).alias("exact_mean"))
+    near = psnr(exact_px, px).select("img_id", F.lit(floor).alias("floor_db"), (F.col("psnr_db") >= floor).alias("reached"))
+    return near.join(mean, "img_id").select("floor_db", "reached", "exact_mean")
+
+
+def _method_spec(nlm: bool, bands: int = 2) -> FilterSpec:
+    return _SPEC.but(sigma_range=18.0 if nlm else 6.0, pca_dim=3 if nlm or bands > 2 else 1)
+
+
+def _scene_sql(patch: int = 0) -> str:
+    """The exact filter's mean over the scene: sigmas 3 and 6 (18 over patches), radius 9."""
+    smooth = lambda v, n: _separable("", 12, v).lstrip(", ").replace("m1", f"{n}m1").replace("v1", f"{n}v1").replace("m2", f"{n}m2").replace("v2", f"{n}v2")
+    sr = 18.0 if patch else 6.0
+    sc = f"""{_gauss(12, 4.0)}, {smooth("f0", "s")}, {smooth("g1", "t")},
+sc AS MATERIALIZED (SELECT g.y, g.x, g.f0, a.v AS a, b.v AS b FROM g JOIN sv2 a ON a.y = g.y AND a.x = g.x JOIN tv2 b ON b.y = g.y AND b.x = g.x)"""
+    values = "list_value(a, b)"
+    if patch:
+        sc += f""", pm AS MATERIALIZED (
+  SELECT p.y, p.x, (i.d + 1) * 3 + j.d + 1 AS pos, {_map("p.y + i.d", "s.h", Border.REFLECT101)} AS qy, {_map("p.x + j.d", "s.w", Border.REFLECT101)} AS qx
+  FROM g p CROSS JOIN s CROSS JOIN (SELECT unnest(range(-1, 2)) AS d) i CROSS JOIN (SELECT unnest(range(-1, 2)) AS d) j
+), pv AS MATERIALIZED (SELECT pm.y, pm.x, flatten(list(list_value(q.a, q.b) ORDER BY pos)) AS g FROM pm JOIN sc q ON q.y = qy AND q.x = qx GROUP BY pm.y, pm.x)"""
+        base = "(SELECT sc.y, sc.x, sc.f0, pv.g FROM sc JOIN pv USING (y, x))"
+    else:
+        base = f"(SELECT y, x, f0, {values} AS g FROM sc)"
+    return f"""WITH {_GRID}, {sc}, px AS MATERIALIZED {base}, tm AS MATERIALIZED (
+  SELECT p.y, p.x, i.d AS dy, j.d AS dx, {_map("p.y + i.d", "s.h", Border.REFLECT101)} AS qy, {_map("p.x + j.d", "s.w", Border.REFLECT101)} AS qx
+  FROM g p CROSS JOIN s CROSS JOIN (SELECT unnest(range(-9, 10)) AS d) i CROSS JOIN (SELECT unnest(range(-9, 10)) AS d) j
+), tw AS (
+  SELECT tm.y, tm.x, q.f0, exp(-CAST(dy * dy + dx * dx AS DOUBLE) / {2 * SS * SS}::DOUBLE - pow(list_distance(p.g, q.g), 2) / {2 * sr * sr}::DOUBLE) AS wt
+  FROM tm JOIN px p ON p.y = tm.y AND p.x = tm.x JOIN px q ON q.y = tm.qy AND q.x = tm.qx
+), ex AS (SELECT y, x, sum(wt * f0) / sum(wt) AS v FROM tw GROUP BY y, x)
+SELECT {{floor}}::DOUBLE AS floor_db, TRUE AS reached, round(avg(v), 5) AS exact_mean FROM ex"""
+
+
+#: Decibels that each method reaches at least, whose settings are _method_spec(): without patches, over patches.
+_FLOORS = {0: (60.0, 60.0), 1: (55.0, 60.0), 2: (55.0, 60.0), 3: (48.0, 44.0), 4: (48.0, 48.0), 5: (48.0, 48.0), 6: (52.0, 52.0), 7: (52.0, 52.0), 8: (52.0, 52.0)}
+
+
+def _method_reaches(spark, sf_dir, code: int, nlm: bool) -> DataFrame:
+    """A method against the exact filter with the full guide."""
+    px, spec = _scene(spark, sf_dir), _method_spec(nlm)
+    return _reached(run_cell(0, 0, int(nlm), px, spec), run_method(code, px, spec, nlm), _FLOORS[code][nlm])
+
+
+def _cells_reach(spark, sf_dir, filter_kind: int) -> DataFrame:
+    """The command line's cells of one filter: three reductions, without and over patches."""
+    px, out = _scene(spark, sf_dir), None
+    for patch in (0, 1):
+        spec = _method_spec(bool(patch))
+        exact_px = run_cell(0, 0, patch, px, spec)
+        for reduction in range(3):
+            floor = _FLOORS[3 * (filter_kind - 1) + reduction][patch]
+            one = _reached(exact_px, run_cell(filter_kind, reduction, patch, px, spec), floor).select(F.lit(reduction).alias("reduction"), F.lit(patch).alias("patch"), "*")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+for _code, _floor in _FLOORS.items():
+    for _nlm in (False, True):
+        _sql = _scene_sql(int(_nlm)).format(floor=_floor[_nlm])
+        _query(_sql, f"method_{_code}{'_nlm' * _nlm}")(lambda s, d, c=_code, n=_nlm: _method_reaches(s, d, c, n))
+for _kind, _name in ((1, "clusters"), (2, "lattice"), (3, "kd_tree")):
+    _parts = [f"SELECT {r} AS reduction, {p} AS patch, * FROM ({_scene_sql(p).format(floor=_FLOORS[3 * (_kind - 1) + r][p])})" for p in (0, 1) for r in range(3)]
+    _query(" UNION ALL ".join(_parts), f"cells_{_name}")(lambda s, d, k=_kind: _cells_reach(s, d, k))
+
+
+def _bands(px: DataFrame) -> DataFrame:
+    """33 bands from the guide's two channels, filtered and guided by themselves but for the signal's first."""
+    mixed = F.array(*(F.get("g", 0) * F.lit(math.cos(i / 7)) + F.get("g", 1) * F.lit(math.sin(i / 5)) for i in range(33)))
+    return px.withColumn("g", mixed)
+
+
+_HSI = _scene_sql().replace("list_value(a, b)", "list_value(" + ", ".join(f"a * {math.cos(i / 7)!r}::DOUBLE + b * {math.sin(i / 5)!r}::DOUBLE" for i in range(33)) + ")").replace(f"{2 * 6.0 * 6.0}::DOUBLE", f"{2 * 24.0 * 24.0}::DOUBLE")
+
+
+@_query(_HSI.format(floor=55.0))
+def hsi_planar(spark, sf_dir):
+    """Clusters over 33 bands reduced to three components in each tile, against the exact filter over all 33."""
+    px, spec = _bands(_scene(spark, sf_dir)), _SPEC.but(sigma_range=24.0, pca_dim=min(3, 33))
+    return _reached(run_cell(0, 0, 0, px, spec), run_method(2, px, spec), 55.0)
+
+
+@_query(f"""{_PATCH.replace("q.f0 AS v)", "q.g0 AS v, q.g1 AS w)").replace("q.f0 AS v", "q.g0 AS v, q.g1 AS w")}, u AS (SELECT CAST(unnest(range(-2, 3)) AS INTEGER) AS d), t AS MATERIALIZED (
+  SELECT p.y, p.x, a.d AS dy, c.d AS dx, {_map("p.y + a.d", "s.h", Border.REFLECT101)} AS qy, {_map("p.x + c.d", "s.w", Border.REFLECT101)} AS qx FROM g p CROSS JOIN s CROSS JOIN u a CROSS JOIN u c
+), d AS (
+  SELECT t.y, t.x, t.dy, t.dx, qy, qx, sum((m.v - n.v) * (m.v - n.v) + (m.w - n.w) * (m.w - n.w)) AS d FROM t JOIN b m ON m.y = t.y AND m.x = t.x JOIN b n ON n.y = qy AND n.x = qx AND n.pos = m.pos GROUP BY ALL
+), w AS (SELECT d.y, d.x, exp(-CAST(dy * dy + dx * dx AS DOUBLE) / {2 * SS * SS}::DOUBLE - d / {2 * SR * SR}::DOUBLE) AS wt, g.f0 FROM d JOIN g ON g.y = qy AND g.x = qx)
+SELECT y, x, round(sum(wt * f0) / sum(wt), 6) AS v FROM w GROUP BY y, x""")
+def cell_exact_nlm(spark, sf_dir):
+    """The command line's exact cell over patches of both guide channels."""
+    return _value(run_cell(0, 0, 1, events_grid(spark, sf_dir), _SPEC.but(radius=2)))
+
+
+_NYSTROM_MU = [[10.0, 20.0], [40.0, 60.0], [120.0, 50.0]]
+
+
+@_query(f"""WITH {_GRID}, c(k, m0, m1) AS (VALUES {", ".join(f"({k}, {m[0]}::DOUBLE, {m[1]}::DOUBLE)" for k, m in enumerate(_NYSTROM_MU))}),
+q AS MATERIALIZED (SELECT g.y, g.x, g.f0, c.k, exp(-((g0 - m0) * (g0 - m0) + (g1 - m1) * (g1 - m1)) / {2 * SR * SR}::DOUBLE) AS c FROM g CROSS JOIN c),
+w AS MATERIALIZED (SELECT p.y, p.x, a.d AS dy, b.d AS dx, {_map("p.y + a.d", "s.h", Border.REFLECT101)} AS qy, {_map("p.x + b.d", "s.w", Border.REFLECT101)} AS qx FROM g p CROSS JOIN s CROSS JOIN (SELECT unnest(range(-3, 4)) AS d) a CROSS JOIN (SELECT unnest(range(-3, 4)) AS d) b),
+h AS MATERIALIZED (SELECT w.y, w.x, q.k, sum(exp(-CAST(dy * dy + dx * dx AS DOUBLE) / {2 * SS * SS}::DOUBLE) * c * f0) / sum(exp(-CAST(dy * dy + dx * dx AS DOUBLE) / {2 * SS * SS}::DOUBLE)) AS top,
+  sum(exp(-CAST(dy * dy + dx * dx AS DOUBLE) / {2 * SS * SS}::DOUBLE) * c) / sum(exp(-CAST(dy * dy + dx * dx AS DOUBLE) / {2 * SS * SS}::DOUBLE)) AS low FROM w JOIN q ON q.y = qy AND q.x = qx GROUP BY w.y, w.x, q.k),
+k AS (SELECT exp(-((a.m0 - b.m0) * (a.m0 - b.m0) + (a.m1 - b.m1) * (a.m1 - b.m1)) / {2 * SR * SR}::DOUBLE) AS v, a.k AS i, b.k AS j FROM c a CROSS JOIN c b),
+b AS (SELECT max(v) FILTER (i = 0 AND j = 1) AS b01, max(v) FILTER (i = 0 AND j = 2) AS b02, max(v) FILTER (i = 1 AND j = 2) AS b12 FROM k),
+v AS (SELECT *, 1 + 2 * b01 * b02 * b12 - b01 * b01 - b02 * b02 - b12 * b12 AS det FROM b),
+n(i, j, v) AS (SELECT 0, 0, (1 - b12 * b12) / det FROM v UNION ALL SELECT 1, 1, (1 - b02 * b02) / det FROM v UNION ALL SELECT 2, 2, (1 - b01 * b01) / det FROM v
+  UNION ALL SELECT 0, 1, (b02 * b12 - b01) / det FROM v UNION ALL SELECT 1, 0, (b02 * b12 - b01) / det FROM v UNION ALL SELECT 0, 2, (b01 * b12 - b02) / det FROM v
+  UNION ALL SELECT 2, 0, (b01 * b12 - b02) / det FROM v UNION ALL SELECT 1, 2, (b01 * b02 - b12) / det FROM v UNION ALL SELECT 2, 1, (b01 * b02 - b12) / det FROM v),
+o AS (SELECT q.y, q.x, any_value(q.f0) AS f0, sum(q.c * n.v * h.top) AS top, sum(q.c * n.v * h.low) AS low FROM q JOIN n ON n.i = q.k JOIN h ON h.y = q.y AND h.x = q.x AND h.k = n.j GROUP BY q.y, q.x)
+SELECT y, x, round(top / low, 2) + 0.0::DOUBLE AS v FROM o WHERE abs(low) > 0.05""")
+def nystrom_k3(spark, sf_dir):
+    """Nystrom with three given centres; the kernel between centres has a closed inverse. Where the denominator is not small."""
+    import numpy as np
+
+    from prismgrid.functions import kernels, lowrank
+    from prismgrid.functions.clustering import distances
+    from prismgrid.operators.tiling import apply_tiles
+
+    mu = np.array(_NYSTROM_MU)
+    spec = FilterSpec(sigma_space=SS, sigma_range=SR, radius=R, variant=Variant.NYSTROM, smoother=Smoother.FIR)
+
+    def both(b):
+        f, g = b.image("f"), b.image("g")
+        c = np.exp(-distances(g.reshape(-1, 2), mu) / (2 * SR**2)).reshape(*g.shape[:2], 3)
+        own = c[R:-R, R:-R] @ np.linalg.inv(np.exp(-distances(mu, mu) / (2 * SR**2)))
+        low = (own * kernels.smooth(c, SS, R)).sum(2, keepdims=True)
+        return np.concatenate([lowrank.filtered(f, g, mu, spec, R), low], axis=2)
+
+    out = apply_tiles(events_grid(spark, sf_dir), both, R, divisions=(5, 5))
+    return out.where(F.abs(F.get("f", 1)) > 0.05).select("y", "x", (F.round(F.get("f", 0), 2) + 0.0).alias("v"))
+
+
+@_query(f"WITH {_GRID}, {_centres(5)} SELECT round(CAST(count(DISTINCT a.k) AS DOUBLE), 6) AS total, round(sum(pow(exp(-((a.m0 - b.m0) * (a.m0 - b.m0) + (a.m1 - b.m1) * (a.m1 - b.m1)) / {2 * SR * SR}::DOUBLE), 2)), 6) AS squares FROM c a CROSS JOIN c b")
+def kernel_eigenvalue_sums(spark, sf_dir):
+    """The eigenvalues of the kernel between five given centres, by their sum and the sum of their squares."""
+    mu = [(0, 0, 0, k, m, 1.0) for k, m in enumerate(_first(events_grid(spark, sf_dir), 5))]
+    centres = spark.createDataFrame(mu, "img_id int, tj int, ti int, k int, mu array<double>, weight double")
+    return kernel_eigenvalues(centres, SR).agg(F.round(F.sum("value"), 6).alias("total"), F.round(F.sum(F.col("value") * F.col("value")), 6).alias("squares"))
+
+
 _free("sample_dither_gradient", lambda s, d: _value(sampling.dither(events_grid(s, d), 0.25, divisions=(5, 5))))
 _free("sample_dither_dog", lambda s, d: _value(sampling.dither(events_grid(s, d), 0.25, by_dog=True, sigma=1.0, divisions=(5, 5))))
-_free("sample_importance", lambda s, d: _value(sampling.importance(events_grid(s, d), 0.25)))
-_free("sample_cubic", lambda s, d: _value(sampling.cubic(events_grid(s, d), 0.25, divisions=(5, 5))))
-_free("patch_pca", lambda s, d: _value(pca.patch_pca(events_grid(s, d), 1, 3), column="g"))
-_free("patch_pca_tiles", lambda s, d: _value(pca.patch_pca_tiles(events_grid(s, d), 1, 3, divisions=(5, 5))))
+
+
+@_query(f"{_GRADIENT}, m AS (SELECT avg(e) AS m FROM e) SELECT y, x, round(f0, 6) AS v FROM e CROSS JOIN m WHERE {sql_clusters.uniform('0', 'y', 'x', '0')} <= e * 0.25::DOUBLE / m")
+def sample_importance(spark, sf_dir):
+    """Pixels kept with a chance in proportion to their gradient, a quarter on the whole."""
+    return _value(sampling.importance(events_grid(spark, sf_dir), 0.25))
+
+
+_KEYS = {-1: -0.09375, 0: 0.59375, 1: 0.59375, 2: -0.09375}  # the Keys kernel (a = -0.75) half way between points
+
+
+@_query(f"""WITH {_GRID}, k(d, wt) AS (VALUES {", ".join(f"({d}, {w}::DOUBLE)" for d, w in _KEYS.items())}),
+o AS (SELECT DISTINCT y // 2 AS oy, x // 2 AS ox FROM g),
+m AS MATERIALIZED (
+  SELECT oy, ox, a.wt * b.wt AS wt, oy * 2 // (h // 5) AS tj, ox * 2 // 20 AS ti, oy * 2 % (h // 5) + a.d AS ly, ox * 2 % 20 + b.d AS lx, h // 5 AS th
+  FROM o CROSS JOIN s CROSS JOIN k a CROSS JOIN k b
+), q AS (SELECT oy, ox, wt, tj * th + {_map("ly", "th", Border.REFLECT101)} AS qy, ti * 20 + {_map("lx", "20", Border.REFLECT101)} AS qx FROM m)
+SELECT CAST(oy AS INTEGER) AS y, CAST(ox AS INTEGER) AS x, round(sum(wt * g.f0) + 1e-9::DOUBLE, 6) AS v FROM q JOIN g ON g.y = qy AND g.x = qx GROUP BY oy, ox""")
+def sample_cubic(spark, sf_dir):
+    """Half the resolution by the Keys kernel, in 5 x 5 tiles that end by reflection. The sums often end in a half: they are moved off it."""
+    out = sampling.cubic(events_grid(spark, sf_dir), 0.25, divisions=(5, 5))
+    return out.select("y", "x", F.round(F.get("f", 0) + 1e-9, 6).alias("v"))
+
+
+@_query(f"WITH {_GRID} SELECT y, x, round(f0 + 15.0::DOUBLE * sqrt(-2 * ln({sql_clusters.uniform('0', 'y', 'x', '0', '0')})) * cos(6.283185307179586::DOUBLE * {sql_clusters.uniform('0', 'y', 'x', '0', '1')}), 6) AS v FROM g")
+def add_noise(spark, sf_dir):
+    """Gaussian noise that a hash of the place decides."""
+    return _value(channels.add_noise(events_grid(spark, sf_dir), 15.0))
+
+
+
+
+def _patch_pca(group: str) -> str:
+    """SQL of the first component of 18-channel patches, by squaring the covariance until one direction is left."""
+    steps = ["m0 AS MATERIALIZED (SELECT a.t, a.i, b.i AS j, covar_pop(a.v, b.v) AS v FROM r a JOIN r b USING (t, y, x) GROUP BY a.t, a.i, b.i)"]
+    for n in range(22):
+        steps.append(f"x{n} AS MATERIALIZED (SELECT a.t, a.i, b.j, sum(a.v * b.v) AS v FROM m{n} a JOIN m{n} b ON a.t = b.t AND a.j = b.i GROUP BY a.t, a.i, b.j)")
+        steps.append(f"m{n + 1} AS MATERIALIZED (SELECT t, i, j, v / (sum(v) FILTER (i = j) OVER (PARTITION BY t)) AS v FROM x{n})")
+    patch = _PATCH.replace("q.f0 AS v", "q.g0 AS v, q.g1 AS w")
+    return f"""{patch}, r AS MATERIALIZED (
+  SELECT {group} AS t, y, x, pos * 2 AS i, b.v FROM b CROSS JOIN s UNION ALL SELECT {group}, y, x, pos * 2 + 1, b.w FROM b CROSS JOIN s
+), {", ".join(steps)}, c AS (SELECT t, i AS c, v FROM (SELECT *, row_number() OVER (PARTITION BY t ORDER BY v DESC) AS nth FROM m22 WHERE i = j) WHERE nth = 1),
+u AS (SELECT m.t, m.i, m.v / sqrt(c.v) AS u FROM m22 m JOIN c ON c.t = m.t AND c.c = m.j)
+SELECT y, x, round(sum(r.v * u.u), 2) + 0.0::DOUBLE AS v FROM r JOIN u USING (t, i) GROUP BY y, x"""
+
+
+@_query(_patch_pca("0"))
+def patch_pca(spark, sf_dir):
+    """The first component of the guide's 3 x 3 patches over the whole image."""
+    return pca.patch_pca(events_grid(spark, sf_dir), 1, 3).select("y", "x", (F.round(F.get("g", 0), 2) + 0.0).alias("v"))
+
+
+@_query(_patch_pca("y // (h // 5) * 5 + x // 20"))
+def patch_pca_tiles(spark, sf_dir):
+    """The same in each of 5 x 5 tiles."""
+    return pca.patch_pca_tiles(events_grid(spark, sf_dir), 1, 3, divisions=(5, 5)).select("y", "x", (F.round(F.get("f", 0), 2) + 0.0).alias("v"))
+
+
 _free("lattice", lambda s, d: _value(lattice_filter(events_grid(s, d), _SPEC)))
 _free("lattice_tile_pca", lambda s, d: _value(lattice_filter(events_grid(s, d), _SPEC, pca_dim=1)))
 _free("kd_tree", lambda s, d: _value(kd_tree_filter(events_grid(s, d), _SPEC.but(sigma_space=2.0))))
 _free("kd_tree_tile_pca", lambda s, d: _value(kd_tree_filter(events_grid(s, d), _SPEC.but(sigma_space=2.0), pca_dim=1)))
 _free("nlm_tile_pca", lambda s, d: _value(cluster_filter(events_grid(s, d), _SPEC, pca_dim=3, patch=1)))
 _free("kernel_eigenvalues", lambda s, d: kernel_eigenvalues(tile_centres(events_grid(s, d), _SPEC), SR))
-_free("add_noise", lambda s, d: _value(channels.add_noise(events_grid(s, d), 15.0)))
-for _code in (0, 1, 2, 4):
-    _free(f"method_{_code}_nlm", lambda s, d, c=_code: _value(run_method(c, events_grid(s, d), _SPEC, nlm=True)))
-_free("cell_exact_nlm", lambda s, d: _value(run_cell(0, 0, 1, events_grid(s, d), _SPEC.but(radius=2))))
 
 
 def queries() -> dict:

@@ -56,8 +56,7 @@ def run_cell(filter_kind: int, reduction: int, patch_radius: int, px: DataFrame,
     if patch_radius:
         spec = spec.but(patch_radius=patch_radius)
     if filter_kind == 0:
-        rows = _patches(px, spec, shape) if patch_radius else px
-        return hdgf(rows, sigma_space=spec.sigma_space, sigma_range=spec.sigma_range, radius=spec.radius, border=spec.border, divisions=spec.divisions, shape=shape)
+        return hdgf(px, sigma_space=spec.sigma_space, sigma_range=spec.sigma_range, radius=spec.radius, border=spec.border, divisions=spec.divisions, shape=shape, patch=patch_radius)
     return run_method(3 * (filter_kind - 1) + reduction, px, spec, bool(patch_radius), shape)
 
 

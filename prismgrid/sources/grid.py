@@ -17,11 +17,12 @@ def events_grid(spark: SparkSession, sf_dir: str, width: int = 100) -> DataFrame
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value", "props")
     k = F.get_json_object("props", "$.k")
     at = F.col("event_id")
-    return grid_from_table(e, F.floor(at / width), at % width, [F.col("value")], [F.col("value"), k])
+    # the image's number is computed from the row: joins on a constant would be left without a key
+    return grid_from_table(e, F.floor(at / width), at % width, [F.col("value")], [F.col("value"), k], at * 0)
 
 
 def part_grid(spark: SparkSession, sf_dir: str, width: int = 20) -> DataFrame:
     """The part table as one image of two channels, size and price."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", "p_retailprice")
     at = F.col("p_partkey")
-    return grid_from_table(p, F.floor(at / width), at % width, [F.col("p_size"), F.col("p_retailprice")])
+    return grid_from_table(p, F.floor(at / width), at % width, [F.col("p_size"), F.col("p_retailprice")], img=at * 0)
