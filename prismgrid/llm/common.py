@@ -240,12 +240,17 @@ def _sum_bucket(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array([*table["chunk"].to_pylist(), -1], pa.int64()), "bucket": pa.array([*bucket, bucket[0]], pa.int32()), "totals": pa.array([*(tv.pack(x) for x in parts), about], pa.binary())})
 
 
+def dealt(asked: DataFrame, buckets: int) -> DataFrame:
+    """The rows of asks() with a task for each bucket: Spark would put buckets together by its number of cores."""
+    return asked.repartitionById(buckets, F.col("bucket"))
+
+
 def tally(asked: DataFrame) -> DataFrame:
     """Total of each key over all chunks, given back to each chunk that has the key.
 
-    asked has the rows of asks(). Keys go to tasks by ranges of their hash, once a chunk
-    however often they occur in it, so that a frequent key is no hot spot. The result is
-    for answers() and about().
+    asked has the rows of asks(), dealt() or not. Keys go to tasks by ranges of their hash,
+    once a chunk however often they occur in it, so that a frequent key is no hot spot. The
+    result is for answers() and about().
     """
     return saved(asked.groupBy("bucket").applyInArrow(_sum_bucket, _TALLY_OUT))
 

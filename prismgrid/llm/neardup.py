@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from prismgrid.llm import textvec as tv
-from prismgrid.llm.common import answers, asks, buckets_for, components, distinct, map_rows, owners, saved, scratch, tally, text_chunks, texts_in, totals
+from prismgrid.llm.common import answers, asks, buckets_for, components, dealt, distinct, map_rows, owners, saved, scratch, tally, text_chunks, texts_in, totals
 
 #: Values of a sketch; nodes of a list whose pairs are all candidates; nodes of a block.
 SKETCH, SHORT, NODES, CHUNK = 256, 12, 256, 4 << 20
@@ -136,7 +136,7 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, k: int = SKETCH)
             c = _Chunk(row, words)
             return [asks(c.number, c.keys, np.ones(len(c.keys)), buckets_for(size.docs))] if len(c.keys) else []
 
-        mine = answers(owners(chunks.mapInArrow(map_rows(ask_prints), _ASKED)), "own")
+        mine = answers(owners(dealt(chunks.mapInArrow(map_rows(ask_prints), _ASKED), buckets_for(size.docs))), "own")
         chunks = chunks.join(mine, "chunk", "left")
         buckets = buckets_for(min(size.bytes // 5, k * size.docs))
 
@@ -145,7 +145,7 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80, k: int = SKETCH)
             keys, counts = distinct(c.sketches(c.own(row.column("own")[0].as_py()), k)[0])
             return [asks(c.number, keys, counts, buckets)] if len(keys) else []
 
-        common = answers(tally(chunks.mapInArrow(map_rows(ask_values), _ASKED)), "freq")
+        common = answers(tally(dealt(chunks.mapInArrow(map_rows(ask_values), _ASKED), buckets)), "freq")
 
         def first_values(row):
             c = _Chunk(row, words)

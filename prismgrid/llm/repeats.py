@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismgrid.llm import textvec as tv
-from prismgrid.llm.common import about, answers, asks, buckets_for, distinct, map_rows, tally, text_chunks, texts_in, totals
+from prismgrid.llm.common import about, answers, asks, buckets_for, dealt, distinct, map_rows, tally, text_chunks, texts_in, totals
 
 WORDS, CHUNK = 35, 4 << 20
 
@@ -159,7 +159,7 @@ def remove_repeats(docs: DataFrame, n: int = WORDS) -> DataFrame:
             keys, counts, _ = c.ask(level)
             return [asks(c.number, keys, counts, buckets)] if len(keys) else []
 
-        told = tally(judged.mapInArrow(map_rows(ask), asked_by))
+        told = tally(dealt(judged.mapInArrow(map_rows(ask), asked_by), buckets))
         judged = judged.join(answers(told, f"totals{level}"), "chunk", "left")
         parts, once, _ = about(told)
         if parts == once:  # no part is in two places: no window is left
