@@ -78,7 +78,8 @@ class _Chunk:
         part = self.alive if size == self.n else _least(h, self.n - size + 1)[self.alive]
         chosen = np.zeros(len(h), bool)
         chosen[part] = True
-        return *distinct(h[chosen]), h[part]
+        # the smallest hashes crowd at the low end: mixed again, they fill all ranges alike
+        return *distinct(tv.fmix(h[chosen])), tv.fmix(h[part])
 
     def judge(self, level: int, blobs) -> None:
         """Leaves the windows whose part is in more than one place."""
