@@ -65,7 +65,7 @@ def to_png(px: DataFrame) -> DataFrame:
 
     def run(key, table):
         y, x = table["y"].to_numpy(), table["x"].to_numpy()
-        f = np.array(table["f"].to_pylist())
+        f = table["f"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(y), -1)
         image = np.zeros((y.max() + 1, x.max() + 1, f.shape[1]))
         image[y, x] = f
         return pa.table({"img_id": pa.array([key[0].as_py()], pa.int32()), "png": pa.array([png(image)], pa.binary())})
