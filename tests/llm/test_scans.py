@@ -503,8 +503,11 @@ def test_topk_by_definition(spark):
 
 
 def test_topk_sql_with_repeated_ids(spark, tmp_path):
+    import math
     import random
 
+    import numpy as np
+
     rng = random.Random(3)
     rows = [(i, [rng.gauss(0, 1) for _ in range(8)], i) for i in range(120)]
     rows += [(i, rows[k][1], 0) for k, i in ((3, 3), (3, 4), (50, 50), (0, 50), (7, 100), (7, 7))] + [(None, rows[1][1], 0), (150, None, 0), (200, [float("inf")] + [0.0] * 7, 0)]
@@ -512,7 +515,15 @@ def test_topk_sql_with_repeated_ids(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     got = sorted(map(tuple, topk.op5_exact_topk(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()))
-    assert got == sorted(con.execute(topk.SQL["op5_exact_topk"]).fetchall()) and len(got) == 5 * 5
+    assert got == sorted(con.execute(topk.SQL["op5_exact_topk"]).fetchall())
+    assert len(got) == 5 * sum(i is not None and i % 50 == 0 and i < 150 for i, _, _ in rows)  # every row with such an id is a query
+    ok = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v, _ in rows if i is not None and i < 150]
+    want = []
+    for q, a in ok:
+        if q % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in ok if i != q)
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(best[:5], 1)]
+    assert got == sorted(want)
 
 
 def test_a_floor_leaves_out_what_cannot_count():
