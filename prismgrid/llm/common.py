@@ -67,6 +67,21 @@ def scratch(spark: SparkSession):
             _remove(spark, path, table)
 
 
+@contextlib.contextmanager
+def tidy(spark: SparkSession):
+    """Shuffle files of a query that runs inside go when it ends, not when the driver's garbage collection finds them.
+
+    For queries whose result is collected or saved: nothing reads their shuffles again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 #: Bytes of input for a bucket of a chunk table, about.
 BUCKET_BYTES = 128 << 20
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prismgrid.llm import textvec as tv
-from prismgrid.llm.common import TALLY_IN, about, answers, asks, buckets_for, buckets_of, chunked, dealt, distinct, map_rows, saved, tally, texts_of, totals
+from prismgrid.llm.common import TALLY_IN, about, answers, asks, buckets_for, buckets_of, chunked, dealt, distinct, map_rows, saved, tally, texts_of, tidy, totals
 
 #: Order of the model, the m of each order above the first, text bytes in a chunk, and tokens in a lane.
 ORDER, STRENGTH, CHUNK, LANE = 3, 100.0, 4 << 20, 256
@@ -224,11 +224,12 @@ def score(docs: DataFrame, held_out: Column, order: int = ORDER, strength: float
     """
     rows = texts_of(docs.withColumn("_held", F.coalesce(held_out, F.lit(False))), "doc_id", "_held").withColumnRenamed("_held", "held")
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
-    chunks = saved(rows.mapInArrow(_chunks, _CHUNKS), bucket="chunk", buckets=buckets_of(rows))
-    size = chunks.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "n_train", "n_texts", "n_keys"))).first()
-    asked = [tally(dealt(chunks.mapInArrow(_ask(1, buckets_for(size.n_keys)), TALLY_IN), buckets_for(size.n_keys)))]
-    for n in range(2, order + 1):
-        asked.append(tally(dealt(chunks.mapInArrow(_ask(n, buckets_for(size.n_tokens)), TALLY_IN), buckets_for(size.n_tokens))))
+    with tidy(docs.sparkSession):  # the n-grams of one order at a time are on disk
+        chunks = saved(rows.mapInArrow(_chunks, _CHUNKS), bucket="chunk", buckets=buckets_of(rows))
+        size = chunks.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "n_train", "n_texts", "n_keys"))).first()
+        asked = [tally(dealt(chunks.mapInArrow(_ask(1, buckets_for(size.n_keys)), TALLY_IN), buckets_for(size.n_keys)))]
+        for n in range(2, order + 1):
+            asked.append(tally(dealt(chunks.mapInArrow(_ask(n, buckets_for(size.n_tokens)), TALLY_IN), buckets_for(size.n_tokens))))
     types, once, twice = about(asked[0])
     discount = once / (once + 2 * twice) if once and twice else 0.5
     joined = chunks

@@ -1,5 +1,7 @@
 import math
+import time
 from collections import Counter
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
@@ -54,6 +56,24 @@ def test_scores_by_definition(odd, odd_texts, order):
     assert near(got) == near(want)
 
 
+def shuffle_files(spark):
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    return {p.name for d in env.blockManager().diskBlockManager().localDirs() for p in Path(d.getPath()).rglob("shuffle_*.data")}
+
+
+def test_counted_ngrams_do_not_stay_on_disk(spark, odd):
+    """The shuffles of the counts go when their totals are saved; the session's settings are as before."""
+    odd.count()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffle_files(spark), spark.conf.get(key, None)
+    scores = lm.score(odd, held_out())
+    end = time.time() + 5
+    while (left := shuffle_files(spark) - before) and time.time() < end:  # they are removed in the background
+        time.sleep(0.2)
+    assert not left and spark.conf.get(key, None) == setting
+    assert scores.count() == odd.count()
+
+
 def whole_chunk(texts, held=()):
     """A chunk with all texts, and the counts that the whole corpus would give it."""
     toks = pa.array(texts, pa.string())
